@@ -23,7 +23,7 @@ def T() -> Column:
 
 
 def STRIPPED() -> Column:
-    return F.regexp_replace("text", r"^\s+|\s+$", "")
+    return F.btrim("text", F.lit(" \t\r\n\f\x0b"))
 
 
 
@@ -99,6 +99,11 @@ def _command_start() -> Column:
     return matches(STRIPPED(), fv.MEMBER_ROW) | matches(T(), fv.PROMPT_ROW)
 
 
+def _any_of(patterns: list[str]) -> str:
+    """One alternation, to drop most lines before the patterns are tried one by one."""
+    return "(?i)(?:" + "|".join(patterns) + ")"
+
+
 def _pattern_rows(df: DataFrame, rows: list[tuple[Column, dict[str, Column]]]) -> DataFrame:
     """One output row per matching pattern of a line, in one pass over the lines."""
     hits = F.filter(
@@ -599,13 +604,13 @@ def port_security(a: DataFrame, interface_rows: DataFrame) -> DataFrame:
 # --- indexes and pattern tables ---------------------------------------------
 def protocol_summary(lines: DataFrame) -> DataFrame:
     groups = {"ospf": 1, "eigrp": 1, "bgp": 1}
-    return _pattern_rows(lines, [
+    return _pattern_rows(lines.filter(T().rlike(_any_of([p for _, p in fv.PROTOCOL_PATTERNS]))), [
         (matches(T(), p), {"protocol": F.lit(n), "value": joined_groups(T(), p, groups.get(n, 0))}) for n, p in fv.PROTOCOL_PATTERNS
     ]).select("file_id", "protocol", "value", EV(0.76))
 
 
 def security_hardening(a: DataFrame) -> DataFrame:
-    rows = _pattern_rows(a, [
+    rows = _pattern_rows(a.filter(T().rlike(_any_of([r[1] for r in fv.HARDENING_PATTERNS]))), [
         (matches(T(), p), {"name": F.lit(n), "posture": F.lit(posture), "value": joined_groups(T(), p, g), "confidence": F.lit(c)})
         for n, p, g, posture, c in fv.HARDENING_PATTERNS
     ]).select("file_id", "name", "posture", "value", EV(F.col("confidence")))
@@ -626,14 +631,14 @@ def security_hardening(a: DataFrame) -> DataFrame:
 
 
 def wireless_hints(lines: DataFrame) -> DataFrame:
-    return _pattern_rows(lines, [
+    return _pattern_rows(lines.filter(T().rlike(_any_of([r[1] for r in fv.WIRELESS_HINT_PATTERNS]))), [
         (matches(T(), p), {"type": F.lit(n), "value": joined_groups(T(), p, g)}) for n, p, g in fv.WIRELESS_HINT_PATTERNS
     ]).select("file_id", "type", "value", EV(0.64))
 
 
 def device_facts(lines: DataFrame) -> DataFrame:
     value = lambda p, g: F.concat_ws(" | ", *[rx(T(), p, i) for i in range(1, g + 1)])
-    return _pattern_rows(lines, [
+    return _pattern_rows(lines.filter(T().rlike(_any_of([r[1] for r in fv.FACT_PATTERNS]))), [
         (matches(T(), p), {"name": F.lit(n), "value": value(p, g)}) for n, p, g in fv.FACT_PATTERNS
     ]).select("file_id", "name", "value", EV(0.70))
 
@@ -672,30 +677,38 @@ def raw_evidence(lines: DataFrame) -> DataFrame:
 
 def deep_evidence_index(lines: DataFrame) -> DataFrame:
     low = F.lower(T())
-    tags = F.filter(F.array(*[F.when(contains_any(low, words), F.lit(n)) for n, words in fv.EVIDENCE_TAXONOMY]),
-                    lambda t: t.isNotNull())
-    return lines.select("file_id", "line_no", "text", tags.alias("tags")).filter(F.size("tags") > 0).withColumn(
-        "weight", F.least(F.lit(1.0), F.round(F.lit(0.35) + F.lit(0.12) * F.size("tags"), 2)))
+    tags = F.concat_ws(",", *[F.when(contains_any(low, words), F.lit(n)) for n, words in fv.EVIDENCE_TAXONOMY])
+    return lines.select("file_id", "line_no", "text", _once(F.nullif(tags, F.lit(""))).alias("_t")).select(
+        "file_id", "line_no", "text", F.split("_t", ",").alias("tags")
+    ).withColumn("weight", F.least(F.lit(1.0), F.round(F.lit(0.35) + F.lit(0.12) * F.size("tags"), 2)))
+
+
+def _once(value: Column) -> Column:
+    """Generator that keeps rows with a value and computes it a single time, not in a filter and again in the output."""
+    return F.explode(F.filter(F.array(value), lambda x: x.isNotNull()))
 
 
 def all_config_commands(a: DataFrame) -> DataFrame:
+    cmd = F.col("_s")
+    a = a.withColumn("_s", STRIPPED()).filter(~cmd.isin("", "!", "end"))
     context = F.coalesce("context", F.lit("global"))
     category = F.coalesce(
-        *[F.when(matches(STRIPPED(), p), F.lit(n)) for n, p in fv.COMMAND_CATEGORIES],
+        *[F.when(matches(cmd, p), F.lit(n)) for n, p in fv.COMMAND_CATEGORIES],
         F.when((context != "global") & T().rlike(r"^\s+[A-Za-z0-9_-]"), F.lit("context_child")))
-    return a.filter(~STRIPPED().isin("", "!", "end")).select(
-        "file_id", "line_no", context.alias("context"), category.alias("category"),
-        redact_command(STRIPPED()).alias("command"), F.length(STRIPPED()).alias("raw_length"),
-    ).filter("category is not null").withColumn(
+    return a.select("file_id", "line_no", "_s", context.alias("context"), _once(category).alias("category")).select(
+        "file_id", "line_no", "context", "category", redact_command(cmd).alias("command"), F.length(cmd).alias("raw_length"),
+    ).withColumn(
         "evidence", evidence(F.col("line_no"), F.col("command"), F.when(F.col("category") == "context_child", 0.68).otherwise(0.82)))
 
 
 def interface_features(a: DataFrame) -> DataFrame:
     blk = F.col("blk_interface")
     body = a.filter(blk["open"] & (F.col("line_no") > blk["line"])).select(
-        "file_id", "line_no", "text", blk["text"].alias("_header"))
+        "file_id", "line_no", "text", blk["text"].alias("_header"), STRIPPED().alias("_s")
+    ).filter(F.col("_s").rlike(_any_of([r[1] for r in fv.FEATURE_PATTERNS])))
+    cmd = F.col("_s")
     hits = F.filter(F.array(*[
-        F.when(matches(STRIPPED(), p), F.struct(F.lit(n).alias("feature"), joined_nonempty(STRIPPED(), p, g).alias("value")))
+        F.when(matches(cmd, p), F.struct(F.lit(n).alias("feature"), joined_nonempty(cmd, p, g).alias("value")))
         for n, p, g in fv.FEATURE_PATTERNS]), lambda h: h.isNotNull())
     name = rx(F.col("_header"), r"^\s*interface\s+(\S+)")
     return body.select("file_id", "line_no", "text", name.alias("interface"), F.explode(hits).alias("h")).select(
@@ -705,29 +718,32 @@ def interface_features(a: DataFrame) -> DataFrame:
 
 
 def management_services(a: DataFrame) -> DataFrame:
-    is_context = matches(STRIPPED(), r"^line\s+(vty|console|aux)\b")
+    header = r"^line\s+(vty|console|aux)\b"
+    cmd = F.col("_s")
+    a = a.withColumn("_s", STRIPPED()).filter(cmd.rlike(_any_of([header] + [r[1] for r in fv.MANAGEMENT_PATTERNS])))
+    is_context = matches(cmd, header)
     text = lambda x: x.cast("string")
     none = F.lit(None).cast("string")
     rows = [(is_context, {
-        "service": F.lit("line_context"), "family": none, "context": STRIPPED(), "value": STRIPPED(), "command": none,
+        "service": F.lit("line_context"), "family": none, "context": cmd, "value": cmd, "command": none,
         "risk": none, "confidence": F.lit(0.78)})]
     for service, p, g, family in fv.MANAGEMENT_PATTERNS:
-        value = joined_nonempty(STRIPPED(), p, g)
+        value = joined_nonempty(cmd, p, g)
         if service == "snmp_community":
-            value = F.concat(F.lit("<redacted>"), F.regexp_extract(STRIPPED(), ci(p), 2))
+            value = F.concat(F.lit("<redacted>"), F.regexp_extract(cmd, ci(p), 2))
         risk = F.lit("control")
         if service == "http_server":
             risk = F.lit("weak")
         elif service == "transport_input":
             risk = F.when(F.lower(value).contains("telnet"), "weak").otherwise("control")
-        rows.append((~is_context & matches(STRIPPED(), p), {
+        rows.append((~is_context & matches(cmd, p), {
             "service": F.lit(service), "family": F.lit(family),
             "context": text(F.col("line_context")) if family == "line_access" else F.lit("global"),
-            "value": value, "command": redact_command(STRIPPED()), "risk": risk, "confidence": F.lit(0.82)}))
+            "value": value, "command": redact_command(cmd), "risk": risk, "confidence": F.lit(0.82)}))
     hits = F.filter(F.array(*[F.when(t, F.struct(*[c.alias(n) for n, c in cols.items()])) for t, cols in rows]), lambda h: h.isNotNull())
-    return a.select("file_id", "line_no", "text", F.explode(hits).alias("h")).select("file_id", "line_no", "text", "h.*").select(
+    return a.select("file_id", "line_no", "_s", F.explode(hits).alias("h")).select("file_id", "line_no", "_s", "h.*").select(
         "file_id", "service", "family", "context", "value", "command", "risk",
-        evidence(F.col("line_no"), F.coalesce("command", STRIPPED()), F.col("confidence")).alias("evidence"))
+        evidence(F.col("line_no"), F.coalesce("command", cmd), F.col("confidence")).alias("evidence"))
 
 
 def gateway_redundancy(a: DataFrame) -> DataFrame:

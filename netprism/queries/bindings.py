@@ -113,7 +113,9 @@ def config_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     item = Window.partitionBy("l_orderkey").orderBy(*[c.strip() for c in _ORDER.split(",")])
-    numbered = table(spark, sf_dir, "lineitem").withColumn("_seq", F.row_number().over(item))
+    # one item becomes about fifteen lines: keep the full number of partitions for the rows to come
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = table(spark, sf_dir, "lineitem").repartition(wide, "l_orderkey").withColumn("_seq", F.row_number().over(item))
     return numbered.select(
         F.col("l_orderkey").alias("file_id"), "_seq", F.posexplode(F.expr(_line_arrays("array(", ")"))).alias("_pos", "text")
     ).select("file_id", ((F.col("_seq") - 1) * LINES_PER_ITEM + F.col("_pos") + 1).cast("long").alias("line_no"), "text")
