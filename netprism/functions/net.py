@@ -30,38 +30,46 @@ def ip_to_long(ip: Column) -> Column:
 
 
 def long_to_ip(number: Column) -> Column:
-    return F.concat_ws(".", *[
-        F.shiftright(number, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)
-    ])
+    octets = [F.shiftright(number, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
+    return F.when(number.isNotNull(), F.concat_ws(".", *octets))
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times; keeps the expression small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def prefix_mask(prefix: Column) -> Column:
     """Prefix length to the 32-bit netmask as BIGINT."""
-    return F.lit(ALL_ONES + 1) - F.pow(F.lit(2.0), F.lit(32) - prefix).cast("bigint")
+    return F.call_function("shiftleft", F.lit(ALL_ONES), F.lit(32) - prefix).bitwiseAND(F.lit(ALL_ONES))
 
 
 def mask_to_prefix(mask: Column) -> Column:
     """Netmask, host mask or plain prefix length to INT; null when invalid."""
-    m = ip_to_long(mask)
-    inverse = F.lit(ALL_ONES) - m
-    digits = F.when(mask.rlike(r"^\d{1,2}$"), mask.try_cast("int"))
-    return (
-        F.when(digits.between(0, 32), digits)
-        .when(inverse.bitwiseAND(inverse + 1) == 0, F.bit_count(m))
-        .when(m.bitwiseAND(m + 1) == 0, F.lit(32) - F.bit_count(m))
-        .cast("int")
-    )
+    digits = F.regexp_extract(mask, r"^(\d{1,2})$", 1).try_cast("int")
 
+    def dotted(m: Column) -> Column:
+        inverse = F.lit(ALL_ONES) - m
+        return F.when(inverse.bitwiseAND(inverse + 1) == 0, F.bit_count(m)).when(m.bitwiseAND(m + 1) == 0, F.lit(32) - F.bit_count(m))
 
-def network_cidr(ip: Column, mask: Column) -> Column:
-    prefix = mask_to_prefix(mask)
-    net = F.when(ip.rlike(DOTTED_STRICT), ip_to_long(ip)).bitwiseAND(prefix_mask(prefix))
+    return F.coalesce(F.when(digits <= 32, digits), _let(ip_to_long(mask), dotted)).cast("int")
+
+
+def _cidr_text(net: Column, prefix: Column) -> Column:
     return F.when(net.isNotNull(), F.concat(long_to_ip(net), F.lit("/"), prefix.cast("string")))
 
 
+def network_cidr(ip: Column, mask: Column) -> Column:
+    """Network of an address and mask as text; null when either is invalid."""
+    address = F.when(ip.rlike(DOTTED_STRICT), ip_to_long(ip))
+    pair = F.struct(address.alias("ip"), mask_to_prefix(mask).alias("prefix"))
+    return _let(pair, lambda p: _let(p["ip"].bitwiseAND(prefix_mask(p["prefix"])), lambda net: _cidr_text(net, p["prefix"])))
+
+
 def cidr_prefix(cidr: Column) -> Column:
-    tail = F.split(cidr, "/").getItem(1)
-    return F.when(~cidr.contains("/"), F.lit(32)).otherwise(mask_to_prefix(tail))
+    """Prefix length of `a.b.c.d/n`; an address alone is a /32."""
+    n = F.regexp_extract(cidr, r"/(\d{1,2})$", 1).try_cast("int")
+    return F.when(~cidr.contains("/"), F.lit(32)).when(n <= 32, n)
 
 
 def cidr_base(cidr: Column) -> Column:
@@ -76,7 +84,9 @@ def ip_in_cidr(ip: Column, cidr: Column) -> Column:
 
 def nth_host(cidr: Column, offset: Column) -> Column:
     """Usable host number `offset`, kept inside the subnet; empty text when the subnet is invalid."""
-    prefix, base = cidr_prefix(cidr), cidr_base(cidr)
-    last = F.pow(F.lit(2.0), F.lit(32) - prefix).cast("bigint") - 3
-    host = F.when(prefix >= 31, base).otherwise(base + 1 + F.least(offset.cast("bigint"), last))
-    return F.coalesce(long_to_ip(host), F.lit(""))
+    def host(p: Column) -> Column:
+        last = F.lit(ALL_ONES) - prefix_mask(p["prefix"]) - 2
+        return F.when(p["prefix"] >= 31, p["base"]).otherwise(p["base"] + 1 + F.least(p["offset"], last))
+
+    parts = F.struct(cidr_prefix(cidr).alias("prefix"), cidr_base(cidr).alias("base"), offset.cast("bigint").alias("offset"))
+    return F.coalesce(_let(parts, lambda p: _let(host(p), long_to_ip)), F.lit(""))

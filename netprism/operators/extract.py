@@ -181,47 +181,66 @@ def interface_line_map(a: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: interface attribute, line pattern, value taken from the line (group numbers; none = flag)
+INTERFACE_ATTRIBUTES = [
+    ("description", r"^\s*description\s+(.+)", "$1"),
+    ("ip", r"^\s*ip address\s+(\S+)\s+(\S+)", "$1 $2"),
+    ("mode", r"^\s*switchport mode\s+(\S+)", "$1"),
+    ("access_vlan", r"^\s*switchport access vlan\s+(\d+)", "$1"),
+    ("trunk", r"^\s*switchport trunk allowed vlan\s+(.+)", "$1"),
+    ("native_vlan", r"^\s*switchport trunk native vlan\s+(\d+)", "$1"),
+    ("dot1q_vlan", r"^\s*encapsulation\s+dot1q\s+(\d+)", "$1"),
+    ("acl_in", r"^\s*ip access-group\s+(\S+)\s+in", "$1"),
+    ("acl_out", r"^\s*ip access-group\s+(\S+)\s+out", "$1"),
+    ("nat_role", r"^\s*ip nat\s+(inside|outside)", "$1"),
+    ("secure", r"^\s*switchport\s+port-security\s*$", None),
+    ("secure_max", r"^\s*switchport\s+port-security\s+maximum\s+(\d+)", "$1"),
+    ("secure_mode", r"^\s*switchport\s+port-security\s+violation\s+(\S+)", "$1"),
+    ("sticky", r"^\s*switchport\s+port-security\s+mac-address\s+sticky", None),
+    ("shutdown", r"^\s*shutdown\s*$", None),
+]
+
+
 def interfaces(a: DataFrame) -> DataFrame:
+    """One row per interface block; the last line of each attribute wins.
+
+    Each line is reduced to one attribute and value before the aggregation, so
+    its patterns run once and not once per output column.
+    """
     blk = F.col("blk_interface")
-    acl = lambda side: F.when(F.lower(rx(T(), r"^\s*ip access-group\s+(\S+)\s+(in|out)", 2)) == side,
-                              rx(T(), r"^\s*ip access-group\s+(\S+)\s+(in|out)", 1))
-    ip = r"^\s*ip address\s+(\S+)\s+(\S+)"
-    trunk = r"^\s*switchport trunk allowed vlan\s+(.+)"
-    any_line = lambda p: F.max(matches(T(), p))
-    sticky = r"^\s*switchport\s+port-security\s+mac-address\s+sticky"
-    grouped = a.filter(blk["open"]).groupBy("file_id", blk["line"].alias("_line")).agg(
-        F.max(blk["text"]).alias("_header"),
-        last_wins(F.trim(rx(T(), r"^\s*description\s+(.+)"))).alias("description"),
-        last_wins(F.when(matches(T(), ip), F.struct(rx(T(), ip, 1).alias("ip"), rx(T(), ip, 2).alias("mask")))).alias("_ip"),
-        last_wins(F.lower(rx(T(), r"^\s*switchport mode\s+(\S+)"))).alias("_mode"),
-        last_wins(rx(T(), r"^\s*switchport access vlan\s+(\d+)")).alias("access_vlan"),
-        last_wins(rx(T(), trunk)).alias("_trunk"),
-        last_wins(rx(T(), r"^\s*switchport trunk native vlan\s+(\d+)")).alias("native_vlan"),
-        last_wins(rx(T(), r"^\s*encapsulation\s+dot1q\s+(\d+)")).alias("dot1q_vlan"),
-        last_wins(acl("in")).alias("acl_in"), last_wins(acl("out")).alias("acl_out"),
-        last_wins(F.lower(rx(T(), r"^\s*ip nat\s+(inside|outside)"))).alias("nat_role"),
-        any_line(r"^\s*switchport\s+port-security\s*$").alias("_ps"), any_line(sticky).alias("port_security_sticky"),
-        last_wins(rx(T(), r"^\s*switchport\s+port-security\s+maximum\s+(\d+)")).alias("port_security_max"),
-        last_wins(F.lower(rx(T(), r"^\s*switchport\s+port-security\s+violation\s+(\S+)"))).alias("port_security_violation"),
-        any_line(r"^\s*shutdown\s*$").alias("shutdown"),
-    )
+
+    def value(pattern: str, form: str | None) -> Column:
+        if form is None:
+            return F.lit("true")
+        return F.concat_ws(" ", *[F.regexp_extract(T(), ci(pattern), int(g[1:])) for g in form.split()])
+
+    attribute = F.coalesce(*[
+        F.when(matches(T(), p), F.struct(F.lit(n).alias("k"), value(p, form).alias("v"))) for n, p, form in INTERFACE_ATTRIBUTES])
+    body = a.filter(blk["open"]).select("file_id", "line_no", blk["line"].alias("_line"), blk["text"].alias("_header"), attribute.alias("kv"))
+    grouped = body.groupBy("file_id", "_line").agg(F.max("_header").alias("_header"), *[
+        F.max_by("kv.v", F.when(F.col("kv.k") == n, F.col("line_no"))).alias(f"_{n}") for n, _, _ in INTERFACE_ATTRIBUTES
+    ]).withColumns({
+        "_ip_address": F.split("_ip", " ").getItem(0), "_ip_mask": F.split("_ip", " ").getItem(1),
+        "access_vlan": F.col("_access_vlan"), "native_vlan": F.col("_native_vlan"), "dot1q_vlan": F.col("_dot1q_vlan"),
+    })
     name = rx(F.col("_header"), r"^\s*interface\s+(\S+)")
     vlans_ = F.coalesce(expand_vlans(F.col("_trunk")), F.array().cast("array<string>"))
+    flag = lambda n: F.col(n).isNotNull()
     blocks = grouped.filter(
         ~F.lower(name).isin("ip-address", "name") & ~matches(F.col("_header"), r"OK\?\s+Method\s+Status\s+Protocol")
     ).select(
         "file_id", name.alias("name"), normalize_interface(name).alias("normalized_name"),
-        F.coalesce("description", F.lit("")).alias("description"),
-        F.col("_ip.ip").alias("ip_address"), F.col("_ip.mask").alias("subnet_mask"),
-        network_cidr(F.col("_ip.ip"), F.col("_ip.mask")).alias("cidr"),
+        F.coalesce(F.trim("_description"), F.lit("")).alias("description"),
+        F.col("_ip_address").alias("ip_address"), F.col("_ip_mask").alias("subnet_mask"),
+        network_cidr(F.col("_ip_address"), F.col("_ip_mask")).alias("cidr"),
         F.coalesce(
-            "_mode", F.when(F.col("dot1q_vlan").isNotNull(), "routed-subinterface"),
-            F.when(F.col("access_vlan").isNotNull(), "access"), F.when(F.size(vlans_) > 0, "trunk"),
-            F.when(F.col("_ip.ip").isNotNull(), "routed"), F.lit("unknown"),
+            F.lower("_mode"), F.when(flag("dot1q_vlan"), "routed-subinterface"), F.when(flag("access_vlan"), "access"),
+            F.when(F.size(vlans_) > 0, "trunk"), F.when(flag("_ip"), "routed"), F.lit("unknown"),
         ).alias("mode"),
-        "access_vlan", vlans_.alias("trunk_allowed_vlans"), "native_vlan", "dot1q_vlan", "acl_in", "acl_out", "nat_role",
-        (F.col("_ps") | F.col("port_security_sticky")).alias("port_security_enabled"), "port_security_max",
-        "port_security_violation", "port_security_sticky", "shutdown",
+        "access_vlan", vlans_.alias("trunk_allowed_vlans"), "native_vlan", "dot1q_vlan", F.col("_acl_in").alias("acl_in"),
+        F.col("_acl_out").alias("acl_out"), F.lower("_nat_role").alias("nat_role"),
+        (flag("_secure") | flag("_sticky")).alias("port_security_enabled"), F.col("_secure_max").alias("port_security_max"),
+        F.lower("_secure_mode").alias("port_security_violation"), flag("_sticky").alias("port_security_sticky"), flag("_shutdown").alias("shutdown"),
         F.lit("running-config").alias("source"), evidence(F.col("_line"), F.col("_header"), 0.95).alias("evidence"),
     )
     return blocks.unionByName(_trunk_hints(a, blocks), allowMissingColumns=True)
