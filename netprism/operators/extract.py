@@ -134,8 +134,9 @@ def devices(lines: DataFrame) -> DataFrame:
     return hosts.unionByName(peers)
 
 
-def vlans(a: DataFrame) -> DataFrame:
+def vlans(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Config block, then table row, then subinterface hint; the best source wins per VLAN."""
+    plain = a if lines is None else lines
     blk = F.col("blk_vlan")
     vid = rx(blk["text"], r"^\s*vlan\s+(\d+)")
     label = F.trim(rx(T(), r"^\s*name\s+(.+)"))
@@ -152,13 +153,13 @@ def vlans(a: DataFrame) -> DataFrame:
         )
     )
     row_id = rx(T(), fv.VLAN_ROW, 1)
-    table = a.filter(row_id.try_cast("int") <= 4094).select(
+    table = plain.filter(row_id.try_cast("int") <= 4094).select(
         "file_id", row_id.alias("id"), rx(T(), fv.VLAN_ROW, 2).alias("name"), rx(T(), fv.VLAN_ROW, 3).alias("status"),
         F.trim(rx_any(T(), fv.VLAN_ROW, 4)).alias("ports_hint"), F.lit("show vlan brief").alias("source"),
         F.col("line_no").alias("_line"), F.lit(0.88).alias("_conf"), F.lit(1).alias("_prio"),
     )
     tag = rx(T(), r"encapsulation\s+dot1q\s+(\d+)")
-    hints = a.filter(tag.isNotNull()).select(
+    hints = plain.filter(tag.isNotNull()).select(
         "file_id", tag.alias("id"), F.concat(F.lit("VLAN_"), tag).alias("name"),
         F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("ports_hint"),
         F.lit("dot1q subinterface hint").alias("source"),
@@ -201,9 +202,12 @@ INTERFACE_ATTRIBUTES = [
 ]
 
 
-def interfaces(a: DataFrame) -> DataFrame:
+def interfaces(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """One row per interface block; the last line of each attribute wins.
 
+    `lines` are the plain lines, for the part that needs no state (also in the
+    other tables that take them); without them the annotated lines serve.
+
     Each line is reduced to one attribute and value before the aggregation, so
     its patterns run once and not once per output column.
     """
@@ -243,22 +247,23 @@ def interfaces(a: DataFrame) -> DataFrame:
         F.lower("_secure_mode").alias("port_security_violation"), flag("_sticky").alias("port_security_sticky"), flag("_shutdown").alias("shutdown"),
         F.lit("running-config").alias("source"), evidence(F.col("_line"), F.col("_header"), 0.95).alias("evidence"),
     )
-    return blocks.unionByName(_trunk_hints(a, blocks), allowMissingColumns=True)
+    return blocks.unionByName(_trunk_hints(a if lines is None else lines), allowMissingColumns=True)
 
 
-def _trunk_hints(a: DataFrame, blocks: DataFrame) -> DataFrame:
+def _trunk_hints(lines: DataFrame) -> DataFrame:
+    """Trunk ports of table rows that have no interface block of the same name; one pass over plain lines."""
+    header = rx(T(), r"^\s*interface\s+(\S+)")
+    block = header.isNotNull() & ~F.lower(header).isin("ip-address", "name") & ~matches(T(), r"OK\?\s+Method\s+Status\s+Protocol")
     port = rx(T(), fv.TRUNK_ROW)
-    seen = a.filter(matches(T(), fv.TRUNK_ROW) & ~T().contains("Port") & ~T().contains("Vlans") & matches(port, fv.PORT_PREFIX))
-    return (
-        seen.groupBy("file_id", port.alias("name")).agg(F.min_by(evidence(F.col("line_no"), T(), 0.72), "line_no").alias("evidence"))
-        .join(blocks.select("file_id", "name").distinct(), ["file_id", "name"], "left_anti")
-        .select(
-            "file_id", "name", normalize_interface(F.col("name")).alias("normalized_name"),
-            F.lit("show interfaces trunk hint").alias("description"), F.lit("trunk").alias("mode"),
-            F.array().cast("array<string>").alias("trunk_allowed_vlans"), F.lit(False).alias("port_security_enabled"),
-            F.lit(False).alias("port_security_sticky"), F.lit(False).alias("shutdown"),
-            F.lit("show interfaces trunk").alias("source"), "evidence",
-        )
+    row = matches(T(), fv.TRUNK_ROW) & ~T().contains("Port") & ~T().contains("Vlans") & matches(port, fv.PORT_PREFIX)
+    named = lines.filter(block | row).groupBy("file_id", F.when(block, header).otherwise(port).alias("name")).agg(
+        F.max(block).alias("_block"), F.min_by(evidence(F.col("line_no"), T(), 0.72), F.when(row & ~block, F.col("line_no"))).alias("evidence"))
+    return named.filter(~F.col("_block")).select(
+        "file_id", "name", normalize_interface(F.col("name")).alias("normalized_name"),
+        F.lit("show interfaces trunk hint").alias("description"), F.lit("trunk").alias("mode"),
+        F.array().cast("array<string>").alias("trunk_allowed_vlans"), F.lit(False).alias("port_security_enabled"),
+        F.lit(False).alias("port_security_sticky"), F.lit(False).alias("shutdown"),
+        F.lit("show interfaces trunk").alias("source"), "evidence",
     )
 
 
@@ -317,12 +322,13 @@ def acl_expression(expression: Column, kind: Column) -> Column:
     )
 
 
-def acl_rules(a: DataFrame) -> DataFrame:
+def acl_rules(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    plain = a if lines is None else lines
     numbered = r"^\s*access-list\s+(\S+)\s+(permit|deny)\s+(.+)"
     number = rx(T(), numbered, 1)
     n = F.when(number.rlike(r"^\d+$"), number.try_cast("long"))
     kind = F.when(~number.rlike(r"^\d+$") | n.between(100, 199) | n.between(2000, 2699), "extended").otherwise("standard")
-    first = a.filter(matches(T(), numbered)).select(
+    first = plain.filter(matches(T(), numbered)).select(
         "file_id", number.alias("acl_name"), kind.alias("type"), F.lit(None).cast("string").alias("sequence"),
         F.lower(rx(T(), numbered, 2)).alias("action"), F.trim(rx(T(), numbered, 3)).alias("expression"), EV(0.94))
     blk = F.col("blk_acl")
@@ -354,7 +360,8 @@ def nat_rules(lines: DataFrame) -> DataFrame:
 
 
 # --- neighbours -------------------------------------------------------------
-def cdp_links(a: DataFrame) -> DataFrame:
+def cdp_links(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    plain = a if lines is None else lines
     cdp = F.col("cdp")
     detail = (
         a.filter(cdp.isNotNull()).groupBy("file_id", cdp["line"].alias("_line")).agg(
@@ -369,7 +376,7 @@ def cdp_links(a: DataFrame) -> DataFrame:
             evidence(F.col("_line"), F.col("_header"), 0.82).alias("evidence"), F.lit(0).alias("_rank"))
     )
     g = lambda i: rx(T(), fv.CDP_TABLE_ROW, i)
-    table = a.filter(~matches(T(), fv.CDP_TABLE_HEADER) & matches(T(), fv.CDP_TABLE_ROW)).select(
+    table = plain.filter(~matches(T(), fv.CDP_TABLE_HEADER) & matches(T(), fv.CDP_TABLE_ROW)).select(
         "file_id", g(1).alias("neighbor"), F.regexp_replace(g(2), r"\s+", "").alias("local_interface"),
         F.regexp_replace(g(5), r"\s+", "").alias("remote_interface"), g(4).alias("platform"),
         F.trim(g(3)).alias("capabilities"), F.lit("show_cdp_neighbors_table").alias("source"), EV(0.78), F.lit(1).alias("_rank"))
@@ -386,7 +393,8 @@ def cdp_links(a: DataFrame) -> DataFrame:
     )
 
 
-def lldp_links(a: DataFrame) -> DataFrame:
+def lldp_links(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    plain = a if lines is None else lines
     lldp = F.col("lldp")
     detail = (
         a.filter(lldp.isNotNull()).groupBy("file_id", lldp["line"].alias("_line")).agg(
@@ -398,7 +406,7 @@ def lldp_links(a: DataFrame) -> DataFrame:
                  "remote_interface", "platform", evidence(F.col("_line"), F.col("_header"), 0.78).alias("evidence"))
     )
     g = lambda i: rx(T(), fv.LLDP_TABLE_ROW, i)
-    table = a.filter(matches(T(), fv.LLDP_TABLE_ROW) & matches(g(2), fv.PORT_PREFIX_LLDP)).select(
+    table = plain.filter(matches(T(), fv.LLDP_TABLE_ROW) & matches(g(2), fv.PORT_PREFIX_LLDP)).select(
         "file_id", g(1).alias("neighbor"), g(2).alias("local_interface"), g(3).alias("remote_interface"),
         F.lit("lldp table").alias("platform"), EV(0.70))
     fields = ["neighbor", "local_interface", "remote_interface", "platform", "evidence"]
@@ -488,7 +496,8 @@ def ospf_neighbors(lines: DataFrame) -> DataFrame:
         g(4).alias("address"), g(5).alias("interface"), normalize_interface(g(5)).alias("normalized_interface"), EV(0.80))
 
 
-def device_inventory(a: DataFrame) -> DataFrame:
+def device_inventory(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    plain = a if lines is None else lines
     name = F.col("inventory_name")
     p = lambda i: F.trim(rx_any(T(), fv.INVENTORY_PID, i))
     parts = a.filter(name.isNotNull()).groupBy("file_id", name["line"].alias("_line")).agg(
@@ -498,7 +507,7 @@ def device_inventory(a: DataFrame) -> DataFrame:
         "file_id", rx(F.col("_header"), fv.INVENTORY_NAME, 1).alias("name"),
         rx_any(F.col("_header"), fv.INVENTORY_NAME, 2).alias("description"), "p.pid", "p.vid", "p.serial",
         evidence(F.col("_line"), F.col("_header"), 0.76).alias("evidence"))
-    chassis = a.filter(matches(T(), fv.CHASSIS_ROW) & ~matches(T(), fv.INVENTORY_NAME)).select(
+    chassis = plain.filter(matches(T(), fv.CHASSIS_ROW) & ~matches(T(), fv.INVENTORY_NAME)).select(
         "file_id", F.lit("chassis").alias("name"), F.lit("show version model").alias("description"),
         rx(T(), fv.CHASSIS_ROW).alias("pid"), F.lit(None).cast("string").alias("vid"),
         F.lit(None).cast("string").alias("serial"), EV(0.70))
@@ -628,8 +637,8 @@ def protocol_summary(lines: DataFrame) -> DataFrame:
     ]).select("file_id", "protocol", "value", EV(0.76))
 
 
-def security_hardening(a: DataFrame) -> DataFrame:
-    rows = _pattern_rows(a.filter(T().rlike(_any_of([r[1] for r in fv.HARDENING_PATTERNS]))), [
+def security_hardening(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    rows = _pattern_rows((a if lines is None else lines).filter(T().rlike(_any_of([r[1] for r in fv.HARDENING_PATTERNS]))), [
         (matches(T(), p), {"name": F.lit(n), "posture": F.lit(posture), "value": joined_groups(T(), p, g), "confidence": F.lit(c)})
         for n, p, g, posture, c in fv.HARDENING_PATTERNS
     ]).select("file_id", "name", "posture", "value", EV(F.col("confidence")))

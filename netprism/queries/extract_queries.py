@@ -72,7 +72,7 @@ select file_id, id, arg_min(name, pl) as name, arg_min(source, pl) as source, ar
       from config_lines where {m(r'encapsulation\s+dot1q\s+([0-9]+)')}))
 group by file_id, id""", ctes=block_cte("blk", "vlan")))
 def extract_vlans(spark, sf):
-    return flat(X.vlans(annotated(spark, sf, "blk_vlan"))).drop("status", "ports_hint")
+    return flat(X.vlans(annotated(spark, sf, "blk_vlan"), lines(spark, sf))).drop("status", "ports_hint")
 
 
 _IFNAME = x(r"^\s*interface\s+(\S+)", col="ht")
@@ -111,7 +111,7 @@ interfaces as (
 
 @query("extract_interfaces", with_lines("select * from interfaces", ctes=INTERFACE_CTES))
 def extract_interfaces(spark, sf):
-    return flat(X.interfaces(annotated(spark, sf, "blk_interface")))
+    return flat(X.interfaces(annotated(spark, sf, "blk_interface"), lines(spark, sf)))
 
 
 @query("extract_interface_lines", with_lines(
@@ -163,7 +163,7 @@ acl_rules as (
 
 @query("extract_acl_rules", with_lines("select * from acl_rules", ctes=ACL_CTES))
 def extract_acl_rules(spark, sf):
-    return flat(X.acl_rules(annotated(spark, sf, "blk_acl")))
+    return flat(X.acl_rules(annotated(spark, sf, "blk_acl"), lines(spark, sf)))
 
 
 _A1 = r"(any|host\s+\S+|[0-9.]+(?:\s+[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)?)"
@@ -186,7 +186,7 @@ select file_id, evidence_line, acl_name,
   case when type = 'extended' then {x(_EXT, 4, 'expression')} end as operator, case when type = 'extended' then {x(_EXT, 5, 'expression')} end as port
 from acl_rules""", ctes=ACL_CTES))
 def extract_acl_expressions(spark, sf):
-    return X.acl_rules(annotated(spark, sf, "blk_acl")).select(
+    return X.acl_rules(annotated(spark, sf, "blk_acl"), lines(spark, sf)).select(
         "file_id", F.col("evidence.source_line").alias("evidence_line"), "acl_name", "parsed.protocol", F.col("parsed.source").alias("src"),
         F.col("parsed.source_wildcard").alias("src_wildcard"), F.col("parsed.destination").alias("dst"),
         F.col("parsed.destination_wildcard").alias("dst_wildcard"), "parsed.operator", "parsed.port")
@@ -238,7 +238,7 @@ from (
 group by file_id, neighbor, nl, nr""", ctes=states_cte("st", {
     "dl": f"case when {m(fv.CDP_DEVICE)} then line_no end", "dt": f"case when {m(fv.CDP_DEVICE)} then text end"})))
 def extract_cdp_links(spark, sf):
-    return flat(X.cdp_links(annotated(spark, sf, "cdp")))
+    return flat(X.cdp_links(annotated(spark, sf, "cdp"), lines(spark, sf)))
 
 
 _LD = f"{m(fv.LLDP_DEVICE)} and text not like '%Device ID:%'"
@@ -257,7 +257,7 @@ from (
 group by file_id, neighbor, nl, nr""", ctes=states_cte("st", {
     "dl": f"case when {_LD} then line_no end", "dt": f"case when {_LD} then text end"})))
 def extract_lldp_links(spark, sf):
-    return flat(X.lldp_links(annotated(spark, sf, "lldp")))
+    return flat(X.lldp_links(annotated(spark, sf, "lldp"), lines(spark, sf)))
 
 
 _B = fv.IP_BRIEF_ROW
@@ -355,7 +355,7 @@ union all
 select file_id, 'chassis', 'show version model', {x(fv.CHASSIS_ROW)}, null, null, line_no, 0.7 from config_lines where {m(fv.CHASSIS_ROW)}""",
     ctes=states_cte("st", {"nl": f"case when {m(fv.INVENTORY_NAME)} then line_no end", "nt": f"case when {m(fv.INVENTORY_NAME)} then text end"})))
 def extract_device_inventory(spark, sf):
-    return flat(X.device_inventory(annotated(spark, sf, "inventory_name")))
+    return flat(X.device_inventory(annotated(spark, sf, "inventory_name"), lines(spark, sf)))
 
 
 _VB = fv.VLAN_BRIEF_ROW
@@ -471,7 +471,7 @@ group by file_id, normalized_interface, source""", ctes=INTERFACE_CTES + ", " +
     "pl": f"case when {m(_PP)} then line_no end", "pt": f"case when {m(_PP)} then text end", "seen": f"case when {m(fv.PORT_SECURITY_STATE)} then true end"})))
 def extract_port_security(spark, sf):
     a = annotated(spark, sf, "blk_interface", "secure_port", "secure_state")
-    return flat(X.port_security(a, X.interfaces(a)))
+    return flat(X.port_security(a, X.interfaces(a, lines(spark, sf))))
 
 
 def _groups(p: str, g: int, col: str = "text") -> str:
@@ -506,7 +506,7 @@ security_hardening as (""" + _union(
 
 @query("extract_security_hardening", with_lines("select * from security_hardening", ctes=HARDENING_CTES))
 def extract_security_hardening(spark, sf):
-    return flat(X.security_hardening(annotated(spark, sf, "blk_vty")))
+    return flat(X.security_hardening(annotated(spark, sf, "blk_vty"), lines(spark, sf)))
 
 
 @query("extract_wireless_hints", with_lines(_union([

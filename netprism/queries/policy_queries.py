@@ -8,6 +8,7 @@ from .. import fixed_values as fv
 from ..operators import extract as X
 from ..operators import policy as P
 from ..plans.importing import diff_of_lines
+from ..session import keep
 from .bindings import CONFIG_LINES_SQL, WIRELESS_SQL, clients, config_lines, ssids, wireless_events
 from .duck import block_cte, lit, m, x
 from .extract_queries import (
@@ -40,13 +41,13 @@ trunkv as (
 
 def wired(spark, sf):
     a = annotated(spark, sf, "blk_interface", "blk_dhcp")
-    interfaces, pools = X.interfaces(a), X.dhcp_scopes(a)
+    interfaces, pools = keep(X.interfaces(a, config_lines(spark, sf))), keep(X.dhcp_scopes(a))
     return interfaces, pools, P.match_dhcp_gateways(pools, interfaces)
 
 
 @query("join_acl_bindings", f"{_LINES}, {INTERFACE_CTES}, {BINDING_CTE} select * from bindings")
 def join_acl_bindings(spark, sf):
-    return P.acl_bindings(X.interfaces(annotated(spark, sf, "blk_interface")))
+    return P.acl_bindings(X.interfaces(annotated(spark, sf, "blk_interface"), config_lines(spark, sf)))
 
 
 @query("join_rules_to_interfaces", f"""{_LINES}, {INTERFACE_CTES}, {ACL_CTES}, {BINDING_CTE}
@@ -54,8 +55,8 @@ select r.file_id, r.acl_name, r.action, r.sequence, r.evidence_line, coalesce(b.
 from acl_rules r left join (select file_id, acl_name, count(*) as n, arg_min(interface, (binding_line, direction)) as i from bindings group by 1, 2) b
   on b.file_id = r.file_id and b.acl_name = r.acl_name""")
 def join_rules_to_interfaces(spark, sf):
-    a = annotated(spark, sf, "blk_interface", "blk_acl")
-    return P.bind_acls(X.acl_rules(a), X.interfaces(a)).select(
+    a, plain = annotated(spark, sf, "blk_interface", "blk_acl"), config_lines(spark, sf)
+    return P.bind_acls(X.acl_rules(a, plain), X.interfaces(a, plain)).select(
         "file_id", "acl_name", "action", "sequence", F.col("evidence.source_line").alias("evidence_line"), "applied_count", "is_applied",
         F.col("first_binding.interface").alias("first_interface"))
 
@@ -113,7 +114,8 @@ def join_guest_isolation(spark, sf):
     a = annotated(spark, sf, "blk_interface", "blk_acl")
     files = config_lines(spark, sf).select("file_id").distinct().withColumn("internal_access", F.lit("false"))
     guests = files.join(ssids(spark), "internal_access")
-    return P.guest_isolation(guests, X.interfaces(a), X.acl_rules(a))
+    plain = config_lines(spark, sf)
+    return P.guest_isolation(guests, X.interfaces(a, plain), keep(X.acl_rules(a, plain)))
 
 
 # the diff looks VLANs up in the VLAN table first, then in interface order
@@ -240,9 +242,10 @@ _CROSS_HEAD = f"with {CONFIG_LINES_SQL}, {OBSERVED_CTES}"
 
 def cross_inputs(spark, sf):
     a = annotated(spark, sf, "blk_interface", "blk_vlan", "blk_dhcp", "vlan_header", "trunk_section", "trunk_seen")
-    interfaces, pools, trunks = X.interfaces(a), X.dhcp_scopes(a), X.trunk_operational(a)
+    plain = config_lines(spark, sf)
+    interfaces, pools, trunks = keep(X.interfaces(a, plain)), X.dhcp_scopes(a), keep(X.trunk_operational(a))
     gateways = P.match_dhcp_gateways(pools, interfaces)
-    return P.observed_vlans(X.vlans(a), X.vlan_brief(a), gateways, interfaces, trunks)
+    return keep(P.observed_vlans(X.vlans(a, plain), X.vlan_brief(a), gateways, interfaces, trunks))
 
 
 @query("vlan_sources", f"{_CROSS_HEAD} select * from observed")
@@ -290,13 +293,13 @@ union all select file_id, 'VLAN-TRUNK-CROSSCHECK', case when missing > 0 then 'f
 def policy_controls(spark, sf):
     lines = config_lines(spark, sf)
     a = X.annotate(lines, ["blk_interface", "blk_vty", "blk_acl", "trunk_section", "trunk_seen", "counter", "acl_active"])
-    interfaces = X.interfaces(a)
+    interfaces = keep(X.interfaces(a, lines))
     # per-port evidence of the running configuration; links are counted by their detail headers
     secure = interfaces.filter(F.col("port_security_enabled") | F.col("port_security_max").isNotNull() | F.col("port_security_violation").isNotNull())
     t = F.col("text")
     links = lines.filter(t.rlike("(?i)" + fv.CDP_DEVICE) | (t.rlike("(?i)" + fv.LLDP_DEVICE) & ~t.contains("Device ID:")))
     return P.policy_controls(
-        lines.select("file_id").distinct(), P.bind_acls(X.acl_rules(a), interfaces), X.trunk_operational(a), interfaces, X.security_hardening(a), secure, links,
+        lines.select("file_id").distinct(), P.bind_acls(X.acl_rules(a, lines), interfaces), X.trunk_operational(a), interfaces, X.security_hardening(a, lines), secure, links,
         X.interface_counters(a), X.acl_hit_counts(a), P.vlan_crosscheck(cross_inputs(spark, sf)))
 
 
