@@ -220,7 +220,10 @@ def extract_nat_rules(spark, sf):
 
 
 
-@query("extract_cdp_links", with_lines(f"""
+_CDP_STATES = states_cte("st_cdp", {
+    "dl": f"case when {m(fv.CDP_DEVICE)} then line_no end", "dt": f"case when {m(fv.CDP_DEVICE)} then text end"})
+BINDINGS_SQL_CDP = _CDP_STATES + f""",
+cdp_links as (
 select file_id, arg_max(neighbor, o) as neighbor, arg_max(row_local, o)['v'] as local_interface, arg_max(row_remote, o)['v'] as remote_interface,
   arg_max(row_platform, o)['v'] as platform, arg_max(capabilities, o) as capabilities, arg_max(source, o) as source,
   arg_max(line, o) as evidence_line, arg_max(conf, o) as confidence
@@ -230,13 +233,15 @@ from (
   from (
     select file_id, trim({x(fv.CDP_DEVICE, col='max(dt)')}) as neighbor, arg_max(trim({x(fv.CDP_PORTS, 1)}), line_no) as l,
       arg_max(trim({x(fv.CDP_PORTS, 2)}), line_no) as r, arg_max(trim({x(fv.CDP_PLATFORM)}), line_no) as platform,
-      null as capabilities, null as source, dl as line, 0.82 as conf, 0 as rank from st where dl is not null group by file_id, dl
+      null as capabilities, null as source, dl as line, 0.82 as conf, 0 as rank from st_cdp where dl is not null group by file_id, dl
     union all
     select file_id, {x(fv.CDP_TABLE_ROW, 1)}, replace({x(fv.CDP_TABLE_ROW, 2)}, ' ', ''), replace({x(fv.CDP_TABLE_ROW, 5)}, ' ', ''), {x(fv.CDP_TABLE_ROW, 4)},
       trim({x(fv.CDP_TABLE_ROW, 3)}), 'show_cdp_neighbors_table', line_no, 0.78, 1 from config_lines
     where {m(fv.CDP_TABLE_ROW)} and not {m(fv.CDP_TABLE_HEADER)}))
-group by file_id, neighbor, nl, nr""", ctes=states_cte("st", {
-    "dl": f"case when {m(fv.CDP_DEVICE)} then line_no end", "dt": f"case when {m(fv.CDP_DEVICE)} then text end"})))
+group by file_id, neighbor, nl, nr)"""
+
+
+@query("extract_cdp_links", with_lines("select * from cdp_links", ctes=BINDINGS_SQL_CDP))
 def extract_cdp_links(spark, sf):
     return flat(X.cdp_links(annotated(spark, sf, "cdp"), lines(spark, sf)))
 
