@@ -1 +1,254 @@
-"""Queries."""
+"""Evidence registry and quality over object rows derived from the configuration lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixed_values as fv
+from ..operators import evidence as E
+from ..session import keep
+from .bindings import CONFIG_LINES_SQL, config_lines
+from .duck import lit
+from .registry import query
+
+# one object row per recognised line: (table, pattern, confidence)
+OBJECT_LINES = [
+    ("devices", r"^hostname ", 0.98), ("interfaces", r"^interface ", 0.95), ("vlans", r"^vlan ", 0.96), ("dhcp_scopes", r"^ip dhcp pool ", 0.95),
+    ("acl_rules", r"^(access-list| [0-9]+ (deny|permit)) ", 0.92), ("routing", r"^(ip route|router) ", 0.94), ("nat_rules", r"^ip nat ", 0.88),
+    ("cdp_links", r"^Device ID:", 0.82), ("lldp_links", r"^System Name:", 0.78), ("route_table", r"^O    ", 0.75), ("trunk_operational", r"^Gi[0-9/]+  on ", 0.86),
+    ("ip_inventory", r" YES manual ", 0.86), ("mac_table", r" DYNAMIC ", 0.75), ("arp_table", r"^Internet  [0-9]", 0.74), ("interface_counters", r"line protocol is", 0.78),
+    ("security_hardening", r"^(enable|aaa|username|ip http) ", 0.86), ("wireless_hints", r"^ssid ", 0.64), ("command_blocks", r"# show ", 0.70),
+    ("policy_controls", r"^ntp server ", 0.0), ("native_visible_hints", r"^logging host ", 0.0), ("raw_evidence", r"switchport|spanning-tree", 0.0),
+]
+# tables whose rows keep no line
+NO_LINE = ["policy_controls", "native_visible_hints", "raw_evidence"]
+_CAT = "case " + " ".join(f"when regexp_matches(text, {lit(p)}) then '{t}'" for t, p, _ in OBJECT_LINES) + " end"
+_CONF = "case category " + " ".join(f"when '{t}' then {c}" for t, _, c in OBJECT_LINES) + " end"
+_IN = lambda ts: "(" + ", ".join(lit(t) for t in ts) + ")"
+OBJECTS_SQL = f"""
+objects as (
+  select file_id, category, text as name, case when category in {_IN(NO_LINE)} then null else line_no end as source_line, cast({_CONF} as double) as confidence
+  from (select *, {_CAT} as category from config_lines) where category is not null),
+registry as (
+  select *, case when source_line > 0 then case when confidence >= 0.78 then 'verified' else 'recovered' end when category in {_IN(fv.RECOVERED_TABLES)} then 'recovered'
+      when category in {_IN(fv.INFERRED_TABLES)} then 'inferred' else 'unmapped' end as status,
+    case when source_line > 0 then 'line' else 'unmapped' end as source_type, category in {_IN(fv.HIGH_VALUE_TABLES)} as high_value from objects),
+counts as (select file_id, category, count(*) as objects, count(source_line) as line_mapped from objects group by 1, 2),
+scopes as (select distinct file_id from config_lines),
+summary as (
+  select *, round(coalesce(verified / nullif(total, 0), 0), 3) as verified_ratio, round(coalesce(high_value_verified / nullif(high_value_total, 0), 0), 3) as high_value_verified_ratio from (
+    select file_id, count(*) as total, {', '.join(f"count(*) filter (status = '{s}') as {s}" for s in E.STATUSES)}, count(*) filter (high_value) as high_value_total,
+      count(*) filter (high_value and status = 'verified') as high_value_verified from registry group by file_id)),
+bycat as (select file_id, category, {', '.join(f"count(*) filter (status = '{s}') as {s}" for s in E.STATUSES)}, count(*) as total from registry group by 1, 2)"""
+_H = f"with {CONFIG_LINES_SQL}, {OBJECTS_SQL}"
+KEY = ["file_id"]
+
+
+def objects(spark, sf):
+    t = F.col("text")
+    category = F.coalesce(*[F.when(t.rlike(p), F.lit(n)) for n, p, _ in OBJECT_LINES])
+    conf = F.create_map(*[x for n, _, c in OBJECT_LINES for x in (F.lit(n), F.lit(c))])
+    hits = config_lines(spark, sf).select("file_id", "line_no", "text", F.explode(F.filter(F.array(category), lambda c: c.isNotNull())).alias("category"))
+    return hits.select(
+        "file_id", "category", t.alias("name"), F.when(~F.col("category").isin(*NO_LINE), F.col("line_no")).alias("source_line"), F.lit(None).cast("string").alias("source_path"),
+        F.try_element_at(conf, F.col("category")).alias("confidence"), F.lit(None).cast("string").alias("source"))
+
+
+def scopes(spark, sf):
+    return config_lines(spark, sf).select("file_id").distinct()
+
+
+def counts(spark, sf):
+    return keep(E.object_counts(objects(spark, sf), KEY))
+
+
+def summary(spark, sf):
+    return E.registry_summary(E.build_registry(objects(spark, sf)), KEY)
+
+
+@query("evidence_registry", f"{_H} select file_id, category, name, source_line, status, source_type, high_value, round(coalesce(nullif(confidence, 0), 0.5), 3) as confidence from registry")
+def evidence_registry(spark, sf):
+    return E.build_registry(objects(spark, sf)).drop("source_path", "source")
+
+
+@query("evidence_registry_summary", f"{_H} select * from summary")
+def evidence_registry_summary(spark, sf):
+    return summary(spark, sf)
+
+
+@query("evidence_summary_short_list", f"""{_H} select count(*) as total, count(*) filter (category in {_IN(fv.HIGH_VALUE_TABLES_SHORT)}) as high_value_total,
+  round(count(*) filter (category in {_IN(fv.HIGH_VALUE_TABLES_SHORT)} and status = 'verified') / count(*) filter (category in {_IN(fv.HIGH_VALUE_TABLES_SHORT)}), 3) as high_value_verified_ratio from registry""")
+def evidence_summary_short_list(spark, sf):
+    return E.registry_summary(E.build_registry(objects(spark, sf), fv.HIGH_VALUE_TABLES_SHORT), []).select("total", "high_value_total", "high_value_verified_ratio")
+
+
+@query("evidence_status_by_category", f"{_H} select * from bycat")
+def evidence_status_by_category(spark, sf):
+    return E.status_by_category(E.build_registry(objects(spark, sf)), KEY)
+
+
+@query("evidence_object_counts", f"{_H} select * from counts")
+def evidence_object_counts(spark, sf):
+    return E.object_counts(objects(spark, sf), KEY)
+
+
+@query("evidence_count_breakdown", f"""{_H} select file_id, cast(coalesce(sum(objects) filter (category in {_IN(fv.REAL_TABLES)}), 0) as bigint) as real_objects,
+  cast(coalesce(sum(objects) filter (category not in {_IN(fv.REAL_TABLES)}), 0) as bigint) as evidence_entries, cast(sum(objects) as bigint) as total_entries from counts group by file_id""")
+def evidence_count_breakdown(spark, sf):
+    return E.count_breakdown(E.object_counts(objects(spark, sf), KEY), KEY)
+
+
+PROFILE_SQL = """
+_pr as (select file_id, cast(sum(objects) as bigint) as total, cast(sum(line_mapped) as bigint) as mapped, cast(coalesce(sum(objects) filter (category = 'raw_evidence'), 0) as bigint) as raw,
+  cast(coalesce(sum(objects) filter (category = 'deep_evidence_index'), 0) as bigint) as deep, cast(coalesce(sum(objects) filter (category = 'command_blocks'), 0) as bigint) as commands from counts group by file_id),
+profile as (select *, round(mapped / total, 3) as line_mapping_ratio,
+  least(0.99, round(greatest(mapped / (mapped + 2), round(mapped / total, 3) * 0.62::double + least(raw, 80) / 80 * 0.18::double + least(deep, 120) / 120 * 0.12::double + least(commands, 8) / 8 * 0.08::double), 3)) as confidence from _pr)"""
+
+
+@query("evidence_profile", f"{_H}, {PROFILE_SQL} select * from profile")
+def evidence_profile(spark, sf):
+    return E.evidence_profile(E.object_counts(objects(spark, sf), KEY), KEY)
+
+
+def _groups(groups, name):
+    values = ", ".join(f"('{g}', '{t}')" for g, ts in groups for t in ts)
+    names = ", ".join(f"('{g}')" for g, _ in groups)
+    return f"""_gm(g, category) as (values {values}), _gn(g) as (values {names}),
+_gc as (select s.file_id, n.g as {name}, cast(coalesce(sum(c.objects), 0) as bigint) as objects, cast(coalesce(sum(c.line_mapped), 0) as bigint) as line_mapped
+  from scopes s cross join _gn n left join _gm m on m.g = n.g left join counts c on c.file_id = s.file_id and c.category = m.category group by 1, 2)"""
+
+
+@query("evidence_coverage_domains", f"""{_H}, {_groups(fv.COVERAGE_DOMAINS, 'domain')}
+select file_id, domain, objects, case when objects >= 8 then 'excellent' when objects >= 3 then 'good' when objects > 0 then 'needs_more_evidence' else 'missing' end as status from _gc""")
+def evidence_coverage_domains(spark, sf):
+    return E.coverage_domains(E.object_counts(objects(spark, sf), KEY), scopes(spark, sf), KEY)
+
+
+@query("evidence_completeness", f"""{_H}, {_groups(fv.COMPLETENESS_FAMILIES, 'family')},
+_sc as (select *, cast(case when objects = 0 then 0 else least(100, 45 + least(objects, 25) * 2 + least(line_mapped, 20)) end as int) as score from _gc)
+select *, case when score >= 80 then 'strong' when score >= 50 then 'partial' else 'missing' end as status from _sc""")
+def evidence_completeness(spark, sf):
+    return E.extraction_completeness(E.object_counts(objects(spark, sf), KEY), scopes(spark, sf), KEY)
+
+
+_QV = ", ".join(f"('{t}', '{label}', {str(crit).lower()})" for t, label, crit in fv.QUALITY_CATEGORIES)
+QUALITY_SQL = f"""
+_q(category, label, critical) as (values {_QV}),
+_qm as (
+  select s.file_id, q.category, q.label, q.critical, coalesce(c.objects, 0) as objects, coalesce(b.verified, 0) as verified, coalesce(b.recovered, 0) as recovered, coalesce(b.inferred, 0) as inferred,
+    coalesce(b.unmapped, 0) as unmapped, coalesce(b.total, 0) as total, round(coalesce(b.verified / nullif(b.total, 0), 0), 3) as verified_ratio
+  from scopes s cross join _q q left join counts c on c.file_id = s.file_id and c.category = q.category left join bycat b on b.file_id = s.file_id and b.category = q.category),
+_qc as (select *, case when objects <= 0 then 'not_available' when verified > 0 and verified_ratio >= 0.7 then 'verified' when verified > 0 then 'partially_verified' when recovered > 0 then 'recovered_native'
+  else 'unmapped' end as claim_level from _qm),
+quality as (select *, case claim_level when 'not_available' then 'missing' when 'verified' then 'pass' else 'review' end as status from _qc),
+_qs as (select file_id, count(*) filter (status = 'pass') as passed, count(*) filter (status = 'review') as review, count(*) filter (status = 'missing') as missing,
+  count(*) filter (status = 'missing' and critical) as critical_missing from quality group by file_id),
+qscore as (select *, greatest(0, least(100, 100 - critical_missing * 18 - (missing - critical_missing) * 8 - review * 5)) as score from _qs)"""
+
+
+def quality(spark, sf):
+    obj = objects(spark, sf)
+    return E.quality_matrix(E.object_counts(obj, KEY), E.status_by_category(E.build_registry(obj), KEY), scopes(spark, sf), KEY)
+
+
+@query("evidence_quality_matrix", f"{_H}, {QUALITY_SQL} select * from quality")
+def evidence_quality_matrix(spark, sf):
+    return quality(spark, sf)
+
+
+@query("evidence_quality_score", f"""{_H}, {QUALITY_SQL}
+select *, case when score >= 90 then 'Evidence-ready' when score >= 70 then 'Reportable with caveats' when score >= 45 then 'Needs companion exports' else 'Insufficient evidence' end as grade from qscore""")
+def evidence_quality_score(spark, sf):
+    return E.quality_score(quality(spark, sf), KEY)
+
+
+def _n(category: str) -> str:
+    return f"coalesce(max(objects) filter (category = '{category}'), 0)"
+
+
+DIAG_SQL = f"""
+_dw as (select s.file_id, {_n('interfaces')} as interfaces, {_n('vlans')} as vlans, {_n('cdp_links')} + {_n('lldp_links')} as links from scopes s left join counts c on c.file_id = s.file_id group by s.file_id),
+blockers as (
+  select file_id, 'EVIDENCE-HIGH-VALUE-LOW' as id, 'Medium' as severity from summary where total > 0 and high_value_verified_ratio < 0.75
+  union all select file_id, 'NO-INTERFACES', 'High' from _dw where interfaces = 0 union all select file_id, 'NO-VLANS', 'Medium' from _dw where vlans = 0
+  union all select file_id, 'NO-L2-NEIGHBORS', 'Low' from _dw where links = 0)"""
+
+
+@query("evidence_diagnostics", f"{_H}, {DIAG_SQL} select * from blockers")
+def evidence_diagnostics(spark, sf):
+    return E.diagnostics(counts(spark, sf), summary(spark, sf), scopes(spark, sf), KEY)
+
+
+@query("evidence_readiness", f"""{_H}, {DIAG_SQL}
+select w.file_id, cast(least(100, floor(25 + interfaces * 4 + vlans * 6 + cast(coalesce(s.verified_ratio, 0) as double) * 45)) as int) as readiness_score from _dw w left join summary s on s.file_id = w.file_id""")
+def evidence_readiness(spark, sf):
+    return E.readiness(counts(spark, sf), summary(spark, sf), scopes(spark, sf), KEY)
+
+
+@query("evidence_signoff", f"""{_H}, {QUALITY_SQL}, {DIAG_SQL},
+_hb as (select file_id, count(*) as n from blockers where severity = 'High' group by file_id)
+select q.file_id, score as evidence_score, coalesce(n, 0) as high_blockers, critical_missing, critical_missing = 0 and score >= 55 as can_publish_technical, coalesce(n, 0) = 0 and score >= 70 as can_publish_executive
+from qscore q left join _hb h on h.file_id = q.file_id""")
+def evidence_signoff(spark, sf):
+    blockers = E.diagnostics(counts(spark, sf), summary(spark, sf), scopes(spark, sf), KEY)
+    return E.signoff(E.quality_score(quality(spark, sf), KEY), blockers, KEY)
+
+
+_CL = ", ".join(f"('{c}', '{t}')" for c, ts in fv.COMMAND_CHECKLIST for t in ts)
+
+
+@query("evidence_command_checklist", f"""{_H}, {DIAG_SQL}, _cl(command, category) as (values {_CL}),
+_ok as (select s.file_id, l.command, count(c.objects) > 0 as ok from scopes s cross join _cl l left join counts c on c.file_id = s.file_id and c.category = l.category group by 1, 2
+  union all select file_id, 'show running-config', interfaces > 0 and vlans > 0 from _dw)
+select file_id, command, case when ok then 'covered' else 'missing' end as status, case when ok then 'Info' when command in ('show running-config', 'show access-lists') then 'High' else 'Medium' end as severity from _ok""")
+def evidence_command_checklist(spark, sf):
+    return E.command_checklist(counts(spark, sf), scopes(spark, sf), KEY)
+
+
+_GV = ", ".join(f"('{g}', '{t}', {full}, '{bad}', {need})" for g, ts, full, bad, need in E.QUALITY_GATES for t in ts)
+GATE_SQL = f"""
+_gv(gate, category, full_at, bad, need) as (values {_GV}),
+_gx as (select s.file_id, g.gate, max(full_at) as full_at, max(bad) as bad, max(need) as need, coalesce(sum(c.objects), 0) as n from scopes s cross join _gv g left join counts c
+  on c.file_id = s.file_id and c.category = g.category group by 1, 2),
+gates as (
+  select file_id, gate, case when n >= need then 'pass' else bad end as status, least(1.0, cast(n as double) / full_at) as score from _gx
+  union all select s.file_id, 'Line-level traceability', case when coalesce(line_mapping_ratio, 0) >= 0.7 then 'pass' else 'review' end, coalesce(line_mapping_ratio, 0) from scopes s left join profile p on p.file_id = s.file_id)"""
+
+
+def gates(spark, sf):
+    c = counts(spark, sf)
+    return E.quality_gates(c, E.evidence_profile(c, KEY), scopes(spark, sf), KEY)
+
+
+@query("evidence_quality_gates", f"{_H}, {PROFILE_SQL}, {GATE_SQL} select file_id, gate, status, cast(score as double) as score from gates")
+def evidence_quality_gates(spark, sf):
+    return gates(spark, sf)
+
+
+@query("evidence_gate_readiness", f"{_H}, {PROFILE_SQL}, {GATE_SQL} select file_id, round(cast(sum(cast(score as decimal(18,6))) as double) / count(*), 3) as readiness, count(*) filter (status = 'pass') as passed from gates group by file_id")
+def evidence_gate_readiness(spark, sf):
+    return E.gate_readiness(gates(spark, sf), KEY)
+
+
+@query("evidence_contract", f"""{_H} select file_id, verified_ratio, high_value_verified_ratio, case when file_id % 3 = 0 then 'text_config' when file_id % 3 = 1 then 'pkt_binary_recovery' else 'unknown' end as source_mode,
+  case when file_id % 3 = 0 then 'verified_export_parse' when file_id % 3 = 1 then case when high_value_verified_ratio >= 0.45 then 'strong_native_recovery' else 'partial_native_recovery' end else 'partial_visible_recovery' end as tier,
+  file_id % 3 = 0 and high_value_verified_ratio >= 0.7 as can_claim_full_fidelity,
+  cast(round(least(0.99, case when file_id % 3 = 0 then 0.90 else 0.45 end * 0.55 + cast(verified_ratio as decimal(6,3)) * 0.35 + 0.08), 3) as double) as import_confidence from summary""")
+def evidence_contract(spark, sf):
+    mode = F.when(F.col("file_id") % 3 == 0, "text_config").when(F.col("file_id") % 3 == 1, "pkt_binary_recovery").otherwise("unknown")
+    return E.extraction_contract(summary(spark, sf), mode).select(
+        "file_id", "verified_ratio", "high_value_verified_ratio", "source_mode", "tier", "can_claim_full_fidelity", "import_confidence")
+
+
+@query("evidence_explorer", f"{_H} select file_id, category, name, status from registry where category = 'interfaces' and contains(lower(name), 'gigabit') and status = 'verified' and high_value")
+def evidence_explorer(spark, sf):
+    from ..operators.search import explore
+
+    return explore(E.build_registry(objects(spark, sf)), "interfaces", "gigabit", "verified", True).select("file_id", "category", "name", "status")
+
+
+@query("evidence_object_status_join", f"""{_H}, _best as (select file_id, category, name, arg_max(status, coalesce(nullif(confidence, 0), 0.5)) as status from registry group by 1, 2, 3)
+select o.file_id, o.category, o.name, o.source_line, b.status from objects o left join _best b on b.file_id = o.file_id and b.category = o.category and b.name = o.name""")
+def evidence_object_status_join(spark, sf):
+    obj = objects(spark, sf)
+    return E.attach_registry(obj, E.build_registry(obj), KEY).select("file_id", "category", "name", "source_line", "status")
