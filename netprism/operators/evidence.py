@@ -215,9 +215,10 @@ def extraction_contract(summary: DataFrame, source_mode: Column) -> DataFrame:
     df = summary.withColumn("source_mode", source_mode)
     tier = F.when(direct, "verified_export_parse").when(C("source_mode").startswith("pkt_"), F.when(ratio >= 0.45, "strong_native_recovery").otherwise("partial_native_recovery")).otherwise(
         "partial_visible_recovery")
-    source = F.when(direct, 0.9).otherwise(0.45)
+    # exact decimals, so that halves round the same way everywhere
+    exact = F.expr("cast(verified_ratio as decimal(6,3)) * 0.35 + 0.08") + F.when(direct, F.expr("0.90 * 0.55")).otherwise(F.expr("0.45 * 0.55"))
     return df.withColumns({"tier": tier, "can_claim_full_fidelity": direct & (ratio >= 0.70),
-                           "import_confidence": F.round(F.least(F.lit(0.99), source * 0.55 + C("verified_ratio") * 0.35 + 0.08), 3)})
+                           "import_confidence": F.least(F.lit(0.99), F.round(exact, 3).cast("double"))})
 
 
 def attach_registry(objects: DataFrame, registry: DataFrame, scope: list[str]) -> DataFrame:

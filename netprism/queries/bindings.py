@@ -171,7 +171,10 @@ def aps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wireless_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "events").selectExpr(*[f"{e} as {n}" for n, e in EVENT_COLUMNS.items()])
+    return shape_events(table(spark, sf_dir, "events").selectExpr(*[f"{e} as {n}" for n, e in EVENT_COLUMNS.items()]))
+
+
+def shape_events(df: DataFrame) -> DataFrame:
     return df.select(
         "id", "ts", "type", "client",
         F.when(F.col("type") == "roaming", F.concat(F.lit("AP-"), (F.col("k") % 100).cast("string"))).alias("to_ap"),

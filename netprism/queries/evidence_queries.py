@@ -225,7 +225,7 @@ def evidence_quality_gates(spark, sf):
     return gates(spark, sf)
 
 
-@query("evidence_gate_readiness", f"{_H}, {PROFILE_SQL}, {GATE_SQL} select file_id, round(cast(sum(cast(score as decimal(18,6))) as double) / count(*), 3) as readiness, count(*) filter (status = 'pass') as passed from gates group by file_id")
+@query("evidence_gate_readiness", f"{_H}, {PROFILE_SQL}, {GATE_SQL} select file_id, cast(round(cast(sum(cast(score as decimal(18,6))) / count(*) as decimal(18,9)), 3) as double) as readiness, count(*) filter (status = 'pass') as passed from gates group by file_id")
 def evidence_gate_readiness(spark, sf):
     return E.gate_readiness(gates(spark, sf), KEY)
 
@@ -233,7 +233,7 @@ def evidence_gate_readiness(spark, sf):
 @query("evidence_contract", f"""{_H} select file_id, verified_ratio, high_value_verified_ratio, case when file_id % 3 = 0 then 'text_config' when file_id % 3 = 1 then 'pkt_binary_recovery' else 'unknown' end as source_mode,
   case when file_id % 3 = 0 then 'verified_export_parse' when file_id % 3 = 1 then case when high_value_verified_ratio >= 0.45 then 'strong_native_recovery' else 'partial_native_recovery' end else 'partial_visible_recovery' end as tier,
   file_id % 3 = 0 and high_value_verified_ratio >= 0.7 as can_claim_full_fidelity,
-  cast(round(least(0.99, case when file_id % 3 = 0 then 0.90 else 0.45 end * 0.55 + cast(verified_ratio as decimal(6,3)) * 0.35 + 0.08), 3) as double) as import_confidence from summary""")
+  least(0.99, cast(round(cast(case when file_id % 3 = 0 then 0.90 else 0.45 end as decimal(6,2)) * cast(0.55 as decimal(6,2)) + cast(verified_ratio as decimal(6,3)) * cast(0.35 as decimal(6,2)) + cast(0.08 as decimal(6,2)), 3) as double)) as import_confidence from summary""")
 def evidence_contract(spark, sf):
     mode = F.when(F.col("file_id") % 3 == 0, "text_config").when(F.col("file_id") % 3 == 1, "pkt_binary_recovery").otherwise("unknown")
     return E.extraction_contract(summary(spark, sf), mode).select(

@@ -1 +1,201 @@
-"""Queries."""
+"""JSON documents derived from the part table: walk, facts and typed rows."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from .. import fixed_values as fv
+from ..operators import tree as T
+from ..session import keep
+from .bindings import table
+from .duck import lit, norm
+from .registry import query
+
+_VARS = {"p": "p_partkey", "z": "p_size", "v": "p_partkey % 40 + 2", "h": "p_partkey % 250 + 1", "m": "p_partkey % 10 + 10", "b": "p_brand"}
+_TEMPLATE = (
+    '{"network":{"nodes":[{"id":"n{p}","displayName":"R{p}","deviceType":"Router","model":"M{z}","interfaces":[{"name":"Gi0/{z}","ipv4":{"address":"10.0.{v}.{h}","mask":"255.255.255.0"},'
+    '"switchport":{"mode":"access","vlan":{v}}},{"ifName":"Fa0/1","mode":"trunk","allowedVlans":"10,{v}"}]},{"id":"s{p}","hostname":"SW{p}","type":"switch","macAddress":"00:aa:bb:cc:dd:{m}"}],'
+    '"links":[{"source":"n{p}","target":"s{p}","sourcePort":"Gi0/{z}","targetPort":"Fa0/1","cableType":"copper"}],"vlans":[{"vlanId":{v},"name":"USERS {v}"},{"vlanId":10}],'
+    '"dhcpPools":[{"name":"P{p}","network":"10.0.{v}.0","mask":"255.255.255.0","gateway":"10.0.{v}.1"}],"aclRules":[{"acl":"GUEST","action":"Deny","source":"10.0.{v}.0","destination":"any"}],'
+    '"routes":[{"destination":"0.0.0.0","mask":"0.0.0.0","nextHop":"10.0.{v}.254"}],"wlan":[{"ssid":"Corp{z}","security":"wpa2"}]},'
+    '"tests":[{"client":"c{p}","target":"10.9.9.{h}","service":"DNS","result":"Blocked","actual_ssid":"Corp{z}","actual_vlan":{v}}],"active":true,"score":{z}.5,"note":null,'
+    '"config":"hostname R{p} interface GigabitEthernet0/{z} ip address 10.0.{v}.{h} 255.255.255.0"}'
+)
+
+
+def _concat() -> str:
+    parts = []
+    for piece in re.split(r"(\{[pzvhmb]\})", _TEMPLATE):
+        if re.fullmatch(r"\{[pzvhmb]\}", piece):
+            parts.append(f"cast({_VARS[piece[1]]} as string)")
+        elif piece:
+            parts.append("'" + piece + "'")
+    return "concat(" + ", ".join(parts) + ")"
+
+
+DOC_SQL = f"docs as (select p_partkey as file_id, {_concat()} as j from part)"
+NODE_SQL = f"""{DOC_SQL},
+_n as (select d.file_id, t.fullkey as path, t.type as jtype, t.atom as atom, t.key as jkey, t.value as jval from docs d, json_tree(d.j) t),
+nodes as (
+  select file_id, replace(path, '"', '') as path, len(regexp_extract_all(replace(path, '"', ''), '[.\\[]')) as depth, jval, atom,
+    case jtype when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'NULL' then 'null' when 'BOOLEAN' then 'boolean' when 'VARCHAR' then 'string' when 'DOUBLE' then 'number' else 'integer' end as type from _n),
+leaves as (
+  select file_id, path, coalesce(list_filter(regexp_split_to_array(path, '[.\\[\\]/]+'), lambda t: t <> '' and t <> '$' and not regexp_full_match(t, '[0-9]+'))[-1], '$') as key, type,
+    coalesce(json_extract_string(jval, '$'), '') as value from nodes where type not in ('object', 'array'))"""
+
+
+def docs(spark, sf):
+    return T.documents(table(spark, sf, "part").select(F.col("p_partkey").alias("file_id"), F.expr(_concat()).alias("j")), "file_id", "j")
+
+
+def nodes(spark, sf):
+    return keep(T.walk(docs(spark, sf)))
+
+
+@query("tree_nodes", f"""with {NODE_SQL} select file_id, path, cast(depth as int) as depth, type, case type when 'object' then len(json_keys(jval)) when 'array' then json_array_length(jval) else 0 end as children from nodes""")
+def tree_nodes(spark, sf):
+    return T.tree_index(nodes(spark, sf)).select("file_id", "path", "depth", "type", "children")
+
+
+@query("tree_leaves", f"with {NODE_SQL} select * from leaves")
+def tree_leaves(spark, sf):
+    return T.leaves(nodes(spark, sf))
+
+
+def _any(words: list[str]) -> str:
+    return "(" + " or ".join(f"contains(blob, {lit(w)})" for w in words) + ")"
+
+
+_TOKEN = "regexp_replace(lower(key), '[^a-z0-9]+', '', 'g')"
+_DOTTED = r"(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}"
+FACT_SQL = f"""{NODE_SQL},
+_b as (select *, lower(concat(path, ' ', key)) as blob, trim(value) as t from leaves),
+kv as (
+  select file_id, path, key, type as value_type, value, case when t = '' then 'generic_value'
+    when regexp_full_match(t, {lit(_DOTTED)}) or (regexp_matches(t, {lit(fv.ENTITY_IP)}) and {_any(fv.FACT_IP_KEYS)}) then 'ip_address' when regexp_matches(t, {lit(fv.FACT_MAC)}) then 'mac_address'
+    when (regexp_matches(t, {lit(fv.FACT_INTERFACE)}) or {_any(fv.FACT_INTERFACE_KEYS)}) and length(t) <= 120 then 'interface'
+    when regexp_matches(blob, {lit(fv.FACT_VLAN_KEY)}) and try_cast(nullif(regexp_extract(t, '\\b[0-9]{{1,4}}\\b'), '') as int) between 1 and 4094 then 'vlan'
+    when (regexp_matches(t, {lit(fv.FACT_CONFIG_LINE)}) or {_any(fv.FACT_CONFIG_KEYS)}) and length(t) > 8 then 'config_or_cli'
+    when (regexp_matches({_TOKEN}, {lit(fv.FACT_DEVICE_KEY)}) or {_any(fv.FACT_DEVICE_PATHS)}) and length(t) <= 140 and lower(t) not in ('true', 'false', 'up', 'down', 'on', 'off', 'yes', 'no') then 'device_candidate'
+    when regexp_matches(blob, {lit(fv.FACT_LINK_KEY)}) and length(t) <= 160 then 'link_reference' when regexp_matches(t, {lit(fv.FACT_DOMAIN)}) then 'hostname_or_domain' else 'generic_value' end as fact_type from _b),
+facts as (
+  select file_id, path, key, fact_type, value from kv where fact_type <> 'generic_value'
+  union all select file_id, path, key, 'ip_address', unnest(list_distinct(regexp_extract_all(value, {lit(fv.ENTITY_IP)}))) from kv where fact_type = 'config_or_cli'
+  union all select file_id, path, key, 'mac_address', lower(unnest(list_distinct(regexp_extract_all(value, {lit(fv.FACT_MAC)})))) from kv where fact_type = 'config_or_cli'
+  union all select file_id, path, key, 'interface', unnest(list_distinct(regexp_extract_all(value, {lit(fv.FACT_INTERFACE)}))) from kv where fact_type = 'config_or_cli')"""
+
+
+@query("tree_key_values", f"with {FACT_SQL} select * from kv")
+def tree_key_values(spark, sf):
+    return T.key_values(T.leaves(nodes(spark, sf))).drop("confidence")
+
+
+@query("tree_network_facts", f"with {FACT_SQL} select * from facts")
+def tree_network_facts(spark, sf):
+    return T.network_facts(T.key_values(T.leaves(nodes(spark, sf)))).drop("confidence")
+
+
+@query("tree_manifest", f"""with {FACT_SQL} select n.file_id, count(*) as total_nodes, count(*) filter (type not in ('object', 'array')) as leaf_values, count(*) filter (type = 'object') as objects,
+  count(*) filter (type = 'array') as arrays, max(f.c) as network_facts from nodes n left join (select file_id, count(*) as c from facts group by 1) f on f.file_id = n.file_id group by n.file_id""")
+def tree_manifest(spark, sf):
+    n = nodes(spark, sf)
+    return T.manifest(n, T.network_facts(T.key_values(T.leaves(n))))
+
+
+@query("tree_payload_tables", f"""with {NODE_SQL}, _o as (select file_id, regexp_extract(path, '^(.*)\\[[0-9]+\\]$', 1) as path, json_keys(jval) as keys from nodes where type = 'object' and regexp_matches(path, '\\[[0-9]+\\]$')),
+_c as (select file_id, path, unnest(keys) as "column" from _o)
+select c.file_id, c.path, c."column", count(*) as presence, max(t.n) as rows from _c c join (select file_id, path, count(*) as n from _o group by 1, 2) t on t.file_id = c.file_id and t.path = c.path group by 1, 2, 3""")
+def tree_payload_tables(spark, sf):
+    return T.payload_tables(nodes(spark, sf))
+
+
+@query("tree_list_contexts", f"""with {NODE_SQL} select list_filter(regexp_split_to_array(path, '[.\\[\\]/]+'), lambda t: t <> '' and t <> '$' and not regexp_full_match(t, '[0-9]+'))[-1] as key,
+  cast(sum(json_array_length(jval)) as bigint) as total from nodes where type = 'array' group by 1 order by total desc, key limit 30""")
+def tree_list_contexts(spark, sf):
+    return T.list_contexts(nodes(spark, sf))
+
+
+def recs(spark, sf):
+    return keep(T.records(nodes(spark, sf)))
+
+
+_V, _H = "p_partkey % 40 + 2", "p_partkey % 250 + 1"
+
+
+@query("tree_devices", f"select p_partkey as file_id, concat('R', p_partkey) as id, 'router' as type from part union all select p_partkey, concat('SW', p_partkey), 'switch' from part")
+def tree_devices(spark, sf):
+    return T.devices(recs(spark, sf)).select("file_id", "id", "type")
+
+
+@query("tree_interfaces", f"""select p_partkey as file_id, concat('Gi0/', p_size) as name, {norm("concat('Gi0/', p_size)")} as normalized_name, concat('R', p_partkey) as device, concat('10.0.', {_V}, '.', {_H}) as ip_address,
+  concat('10.0.', {_V}, '.0/24') as cidr, 'access' as mode, cast({_V} as varchar) as access_vlan, '' as trunk_allowed_vlans from part
+union all select p_partkey, 'Fa0/1', 'FastEthernet0/1', concat('R', p_partkey), null, null, 'trunk', null, case when {_V} = 10 then '10' else concat('10,', {_V}) end from part""")
+def tree_interfaces(spark, sf):
+    r = recs(spark, sf)
+    return T.interfaces(r, T.devices(r)).select("file_id", "name", "normalized_name", "device", "ip_address", "cidr", "mode", "access_vlan", F.array_join("trunk_allowed_vlans", ",").alias("trunk_allowed_vlans"))
+
+
+@query("tree_links", "select p_partkey as file_id, concat('R', p_partkey) as device, concat('SW', p_partkey) as neighbor, concat('Gi0/', p_size) as local_interface, 'Fa0/1' as remote_interface, 'copper' as platform from part")
+def tree_links(spark, sf):
+    r = recs(spark, sf)
+    return T.links(r, T.devices(r)).drop("path")
+
+
+@query("tree_vlans")
+def tree_vlans(spark, sf):
+    return T.vlans(recs(spark, sf))
+
+
+@query("tree_dhcp_scopes", f"select p_partkey as file_id, concat('P', p_partkey) as name, concat('10.0.', {_V}, '.0') as network, concat('10.0.', {_V}, '.0/24') as cidr, concat('10.0.', {_V}, '.1') as default_gateway from part")
+def tree_dhcp_scopes(spark, sf):
+    return T.dhcp_scopes(recs(spark, sf)).select("file_id", "name", "network", "cidr", "default_gateway")
+
+
+@query("tree_acl_rules", f"select p_partkey as file_id, 'GUEST' as acl_name, 'deny' as action, 'ip' as protocol, concat('10.0.', {_V}, '.0') as source, 'any' as destination from part")
+def tree_acl_rules(spark, sf):
+    return T.acl_rules(recs(spark, sf)).drop("path", "sequence")
+
+
+@query("tree_routes", f"select p_partkey as file_id, '0.0.0.0' as destination, '0.0.0.0/0' as cidr, concat('10.0.', {_V}, '.254') as next_hop from part")
+def tree_routes(spark, sf):
+    return T.routes(recs(spark, sf)).filter(F.col("path").contains("routes")).select("file_id", "destination", "cidr", "next_hop")
+
+
+@query("tree_wireless_hints")
+def tree_wireless_hints(spark, sf):
+    return T.wireless_hints(recs(spark, sf))
+
+
+@query("tree_endpoints")
+def tree_endpoints(spark, sf):
+    return T.endpoints(recs(spark, sf))
+
+
+@query("tree_inventory_facts")
+def tree_inventory_facts(spark, sf):
+    return T.inventory_facts(recs(spark, sf))
+
+
+@query("tree_access_tests", f"""select p_partkey as file_id, concat('c', p_partkey) as client, concat('10.9.9.', {_H}) as target, 'DNS' as service, 'failed' as result, concat('Corp', p_size) as actual_ssid, cast({_V} as varchar) as actual_vlan from part""")
+def tree_access_tests(spark, sf):
+    return T.access_tests(recs(spark, sf)).select("file_id", "client", "target", "service", "result", "actual_ssid", "actual_vlan")
+
+
+@query("tree_entities")
+def tree_entities(spark, sf):
+    return T.generic_entities(recs(spark, sf))
+
+
+@query("tree_embedded_configs", f"select p_partkey as file_id, '$.config' as path, 'text' as encoding, concat('hostname R', p_partkey, ' interface GigabitEthernet0/', p_size, ' ip address 10.0.', {_V}, '.', {_H}, ' 255.255.255.0') as text from part")
+def tree_embedded_configs(spark, sf):
+    return T.embedded_configs(T.leaves(nodes(spark, sf)))
+
+
+@query("tree_schema_map")
+def tree_schema_map(spark, sf):
+    r = recs(spark, sf)
+    plain = lambda df, kind: df.select(F.lit(kind).alias("object_type"), F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"))
+    d = keep(T.devices(r))
+    return T.schema_map(plain(d, "devices").unionByName(plain(T.interfaces(r, d), "interfaces")).unionByName(plain(T.links(r, d), "cdp_links")).unionByName(plain(T.vlans(r), "vlans")))
