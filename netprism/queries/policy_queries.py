@@ -40,7 +40,7 @@ trunkv as (
 
 
 def wired(spark, sf):
-    a = annotated(spark, sf, "blk_interface", "blk_dhcp")
+    a = keep(annotated(spark, sf, "blk_interface", "blk_dhcp"))
     interfaces, pools = keep(X.interfaces(a, config_lines(spark, sf))), keep(X.dhcp_scopes(a))
     return interfaces, pools, P.match_dhcp_gateways(pools, interfaces)
 
@@ -241,7 +241,7 @@ _CROSS_HEAD = f"with {CONFIG_LINES_SQL}, {OBSERVED_CTES}"
 
 
 def cross_inputs(spark, sf):
-    a = annotated(spark, sf, "blk_interface", "blk_vlan", "blk_dhcp", "vlan_header", "trunk_section", "trunk_seen")
+    a = keep(annotated(spark, sf, "blk_interface", "blk_vlan", "blk_dhcp", "vlan_header", "trunk_section", "trunk_seen"))
     plain = config_lines(spark, sf)
     interfaces, pools, trunks = keep(X.interfaces(a, plain)), X.dhcp_scopes(a), keep(X.trunk_operational(a))
     gateways = P.match_dhcp_gateways(pools, interfaces)
@@ -266,7 +266,7 @@ union all select c.file_id, 'interface-errors', concat('Interface errors on ', c
 union all select file_id, 'vlan-not-on-trunk', concat('VLAN ', vlan, ' missing from trunk evidence'), 'High', null, 0.76 from crosscheck where missing_from_trunks
 union all select file_id, 'acl-zero-hit', concat('ACL line has zero runtime hits in ', acl_name), 'Low', evidence_line, 0.6 from acl_hit_counts where matches = 0 and acl_name is not null""")
 def policy_risk_atoms(spark, sf):
-    a = annotated(spark, sf, "blk_vty", "counter", "acl_active")
+    a = keep(annotated(spark, sf, "blk_vty", "counter", "acl_active"))
     return P.risk_atoms(X.security_hardening(a), X.interface_counters(a), P.vlan_crosscheck(cross_inputs(spark, sf)), X.acl_hit_counts(a))
 
 
@@ -292,7 +292,7 @@ union all select file_id, 'ACL-RUNTIME-HITS', case when hits > 0 then 'pass' els
 union all select file_id, 'VLAN-TRUNK-CROSSCHECK', case when missing > 0 then 'fail' else 'pass' end, case when missing > 0 then 'High' else 'Info' end, missing, 0.84 from _n""")
 def policy_controls(spark, sf):
     lines = config_lines(spark, sf)
-    a = X.annotate(lines, ["blk_interface", "blk_vty", "blk_acl", "trunk_section", "trunk_seen", "counter", "acl_active"])
+    a = keep(X.annotate(lines, ["blk_interface", "blk_vty", "blk_acl", "trunk_section", "trunk_seen", "counter", "acl_active"]))
     interfaces = keep(X.interfaces(a, lines))
     # per-port evidence of the running configuration; links are counted by their detail headers
     secure = interfaces.filter(F.col("port_security_enabled") | F.col("port_security_max").isNotNull() | F.col("port_security_violation").isNotNull())
