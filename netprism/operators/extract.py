@@ -104,6 +104,11 @@ def _any_of(patterns: list[str]) -> str:
     return "(?i)(?:" + "|".join(patterns) + ")"
 
 
+def _relevant(state: Column, patterns: list[str]) -> Column:
+    """The line that opened a state, and the later lines that add to it."""
+    return (F.col("line_no") == state["line"]) | T().rlike(_any_of(patterns))
+
+
 def _pattern_rows(df: DataFrame, rows: list[tuple[Column, dict[str, Column]]]) -> DataFrame:
     """One output row per matching pattern of a line, in one pass over the lines."""
     hits = F.filter(
@@ -141,7 +146,7 @@ def vlans(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     vid = rx(blk["text"], r"^\s*vlan\s+(\d+)")
     label = F.trim(rx(T(), r"^\s*name\s+(.+)"))
     blocks = (
-        a.filter(blk["open"]).groupBy("file_id", vid.alias("id"), blk["line"].alias("_hdr"))
+        a.filter(blk["open"] & _relevant(blk, [r"^\s*name\s+(.+)"])).groupBy("file_id", vid.alias("id"), blk["line"].alias("_hdr"))
         .agg(last_wins(label).alias("_name"), F.max(F.when(label.isNotNull(), F.col("line_no"))).alias("_name_line"))
         .groupBy("file_id", "id")
         .agg(F.max_by(F.struct("_hdr", "_name", "_name_line"), "_hdr").alias("b"))
@@ -220,9 +225,10 @@ def interfaces(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
 
     attribute = F.coalesce(*[
         F.when(matches(T(), p), F.struct(F.lit(n).alias("k"), value(p, form).alias("v"))) for n, p, form in INTERFACE_ATTRIBUTES])
-    body = a.filter(blk["open"]).select("file_id", "line_no", blk["line"].alias("_line"), blk["text"].alias("_header"), attribute.alias("kv"))
-    grouped = body.groupBy("file_id", "_line").agg(F.max("_header").alias("_header"), *[
-        F.max_by("kv.v", F.when(F.col("kv.k") == n, F.col("line_no"))).alias(f"_{n}") for n, _, _ in INTERFACE_ATTRIBUTES
+    own = F.when(F.col("line_no") == blk["line"], F.struct(F.lit("header").alias("k"), T().alias("v")))
+    body = a.filter(blk["open"]).select("file_id", "line_no", blk["line"].alias("_line"), _once(F.coalesce(own, attribute)).alias("kv"))
+    grouped = body.groupBy("file_id", "_line").agg(*[
+        F.max_by("kv.v", F.when(F.col("kv.k") == n, F.col("line_no"))).alias(f"_{n}") for n in ["header"] + [r[0] for r in INTERFACE_ATTRIBUTES]
     ]).withColumns({
         "_ip_address": F.split("_ip", " ").getItem(0), "_ip_mask": F.split("_ip", " ").getItem(1),
         "access_vlan": F.col("_access_vlan"), "native_vlan": F.col("_native_vlan"), "dot1q_vlan": F.col("_dot1q_vlan"),
@@ -277,7 +283,8 @@ def dhcp_scopes(a: DataFrame) -> DataFrame:
     blk = F.col("blk_dhcp")
     net = r"^\s*network\s+(\S+)\s+(\S+)"
     words = lambda p: F.split(F.trim(rx(T(), p)), r"\s+")
-    grouped = a.filter(blk["open"]).groupBy("file_id", blk["line"].alias("_line")).agg(
+    adds = _relevant(blk, [net, r"^\s*default-router\s+(.+)", r"^\s*dns-server\s+(.+)", r"^\s*domain-name\s+(.+)"])
+    grouped = a.filter(blk["open"] & adds).groupBy("file_id", blk["line"].alias("_line")).agg(
         F.max(blk["text"]).alias("_header"),
         last_wins(F.when(matches(T(), net), F.struct(rx(T(), net, 1).alias("ip"), rx(T(), net, 2).alias("mask")))).alias("_net"),
         last_wins(words(r"^\s*default-router\s+(.+)").getItem(0)).alias("default_gateway"),
@@ -364,7 +371,7 @@ def cdp_links(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     plain = a if lines is None else lines
     cdp = F.col("cdp")
     detail = (
-        a.filter(cdp.isNotNull()).groupBy("file_id", cdp["line"].alias("_line")).agg(
+        a.filter(cdp.isNotNull() & _relevant(cdp, [fv.CDP_PORTS, fv.CDP_PLATFORM])).groupBy("file_id", cdp["line"].alias("_line")).agg(
             F.max(cdp["text"]).alias("_header"),
             last_wins(F.when(matches(T(), fv.CDP_PORTS), F.struct(
                 F.trim(rx(T(), fv.CDP_PORTS, 1)).alias("l"), F.trim(rx(T(), fv.CDP_PORTS, 2)).alias("r")))).alias("_ports"),
@@ -397,7 +404,7 @@ def lldp_links(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     plain = a if lines is None else lines
     lldp = F.col("lldp")
     detail = (
-        a.filter(lldp.isNotNull()).groupBy("file_id", lldp["line"].alias("_line")).agg(
+        a.filter(lldp.isNotNull() & _relevant(lldp, [fv.LLDP_LOCAL, fv.LLDP_REMOTE, fv.LLDP_PLATFORM])).groupBy("file_id", lldp["line"].alias("_line")).agg(
             F.max(lldp["text"]).alias("_header"),
             last_wins(rx(T(), fv.LLDP_LOCAL)).alias("local_interface"),
             last_wins(rx(T(), fv.LLDP_REMOTE)).alias("remote_interface"),
@@ -500,7 +507,7 @@ def device_inventory(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     plain = a if lines is None else lines
     name = F.col("inventory_name")
     p = lambda i: F.trim(rx_any(T(), fv.INVENTORY_PID, i))
-    parts = a.filter(name.isNotNull()).groupBy("file_id", name["line"].alias("_line")).agg(
+    parts = a.filter(name.isNotNull() & _relevant(name, [fv.INVENTORY_PID])).groupBy("file_id", name["line"].alias("_line")).agg(
         F.max(name["text"]).alias("_header"),
         last_wins(F.when(matches(T(), fv.INVENTORY_PID), F.struct(p(1).alias("pid"), p(2).alias("vid"), p(3).alias("serial")))).alias("p"),
     ).select(
@@ -535,7 +542,7 @@ def interface_counters(a: DataFrame) -> DataFrame:
     c = F.col("counter")
     errors = matches(T(), fv.COUNTER_INPUT) | matches(T(), fv.COUNTER_OUTPUT)
     num = lambda p, g=1: rx(T(), p, g).try_cast("long")
-    grouped = a.filter(c.isNotNull()).groupBy("file_id", c["line"].alias("_line")).agg(
+    grouped = a.filter(c.isNotNull() & _relevant(c, [fv.COUNTER_INPUT, fv.COUNTER_OUTPUT, fv.COUNTER_DROPS])).groupBy("file_id", c["line"].alias("_line")).agg(
         F.max(c["text"]).alias("_header"),
         last_wins(num(fv.COUNTER_INPUT)).alias("input_errors"), last_wins(num(fv.COUNTER_OUTPUT)).alias("output_errors"),
         last_wins(num(fv.COUNTER_INPUT, 2)).alias("crc"), F.sum(num(fv.COUNTER_DROPS)).alias("drops"),
@@ -554,7 +561,7 @@ def stp_root(a: DataFrame) -> DataFrame:
     s = F.col("stp")
     inside = F.col("line_no") > s["line"]
     body = lambda p, g=1: F.when(inside, rx(T(), p, g))
-    return a.filter(s.isNotNull()).groupBy("file_id", s["line"].alias("_line")).agg(
+    return a.filter(s.isNotNull() & _relevant(s, [fv.STP_PRIORITY, fv.STP_ADDRESS, fv.STP_COST])).groupBy("file_id", s["line"].alias("_line")).agg(
         F.max(s["text"]).alias("_header"),
         last_wins(body(fv.STP_PRIORITY).try_cast("int")).alias("root_priority"),
         first_wins(F.lower(body(fv.STP_ADDRESS))).alias("root_bridge"),
@@ -604,7 +611,8 @@ def port_security(a: DataFrame, interface_rows: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("violation_count"), F.lit(None).cast("string").alias("last_source"),
         F.lit("running-config interface").alias("source"), "evidence")
     s = F.col("secure_port")
-    own = a.filter(s.isNotNull() | F.col("secure_state"))
+    adds = T().rlike(_any_of([fv.PORT_SECURITY_STATE, fv.PORT_SECURITY_MAX, fv.PORT_SECURITY_MODE, fv.PORT_SECURITY_COUNT, fv.PORT_SECURITY_LAST]))
+    own = a.filter((s.isNotNull() & ((F.col("line_no") == s["line"]) | adds)) | (s.isNull() & F.col("secure_state") & adds))
     g = lambda p: rx(T(), p)
     show = own.groupBy("file_id", s["line"].alias("_line")).agg(
         F.max(s["text"]).alias("_header"), F.min_by(F.struct(F.col("line_no").alias("line"), T().alias("text")), "line_no").alias("_first"),
@@ -644,7 +652,7 @@ def security_hardening(a: DataFrame, lines: DataFrame | None = None) -> DataFram
     ]).select("file_id", "name", "posture", "value", EV(F.col("confidence")))
     blk = F.col("blk_vty")
     low = F.lower(T())
-    inside = a.filter(blk["open"] & (F.col("line_no") > blk["line"]))
+    inside = a.filter(blk["open"] & (F.col("line_no") > blk["line"]) & low.rlike("transport|telnet|login"))
     found = inside.groupBy("file_id", blk["line"].alias("line_no")).agg(
         F.max(blk["text"]).alias("text"),
         F.max(low.contains("transport input telnet") | low.rlike(r"transport\s+input\s+all")).alias("open"),
@@ -682,8 +690,8 @@ def command_blocks(a: DataFrame) -> DataFrame:
     start = F.col("command_start")
     header = F.trim(F.col("_header"))
     member = rx(header, fv.MEMBER_ROW)
-    blocks = a.filter(start.isNotNull()).groupBy("file_id", start["line"].alias("start_line")).agg(
-        F.max(start["text"]).alias("_header"), F.max("line_no").alias("end_line")
+    blocks = a.filter(start.isNotNull()).groupBy("file_id", start["line"].alias("start_line"), start["text"].alias("_header")).agg(
+        F.max("line_no").alias("end_line")
     ).select(
         "file_id", F.trim(F.coalesce(member, rx(F.col("_header"), fv.PROMPT_ROW, 2))).alias("name"),
         F.when(member.isNull(), rx(F.col("_header"), fv.PROMPT_ROW, 1)).alias("device"), "start_line", "end_line",
