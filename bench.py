@@ -12,7 +12,7 @@ from netprism.session import local_session, release
 
 HEADLINE = [
     "extract_interfaces", "extract_acl_rules", "extract_mac_table", "text_redaction", "text_top_keywords", "text_entities_documents", "wireless_client_matrix", "wireless_event_correlation",
-    "wireless_anomalies", "wireless_client_state", "stream_hourly_alerts", "audit_login_window", "audit_chain_summary", "join_dhcp_gateways", "graph_degrees", "graph_components",
+    "wireless_anomalies", "wireless_client_state", "stream_daily_alerts", "audit_login_window", "audit_chain_summary", "graph_degrees", "graph_components",
     "merge_enrich_by_key", "findings_duplicate_ips", "policy_diff", "tree_nodes",
 ]
 

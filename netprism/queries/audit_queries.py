@@ -46,7 +46,7 @@ def audit_chain(spark, sf):
 
 
 @query("audit_chain_summary", f"""with {LOG_SQL}
-select tenant_id, count(*) as checked, 0 as valid, count(own) as broken, count(*) filter (own is null) as skipped, min(case when own is not null then id end) as first_broken
+select tenant_id, count(*) as checked, cast(0 as bigint) as valid, count(own) as broken, count(*) filter (own is null) as skipped, min(case when own is not null then id end) as first_broken
 from _prev group by tenant_id""")
 def audit_chain_summary(spark, sf):
     rows = log(spark, sf).withColumn("prev_hash", F.lit("GENESIS"))

@@ -48,6 +48,12 @@ def stream_hourly_alerts(spark, sf):
     return L.threshold_alerts(wireless_events(spark, sf))
 
 
+@query("stream_daily_alerts", f"""{_W} select time_bucket(interval '24 hours', ts) as window_start, type, client, count(*) as n, case type when 'roaming' then 'Medium' else 'High' end as severity from wevents
+where type in ('authentication_failure', 'roaming') group by 1, 2, 3 having count(*) >= case type when 'roaming' then 4 else 3 end""")
+def stream_daily_alerts(spark, sf):
+    return L.threshold_alerts(wireless_events(spark, sf), "24 hours")
+
+
 @query("stream_sliding_alerts", f"""{_W}, _s as (select *, unnest([0, 1, 2, 3]) as back from wevents where type in ('authentication_failure', 'roaming'))
 select time_bucket(interval '6 hours', ts) - back * interval '6 hours' as window_start, type, client, count(*) as n, case type when 'roaming' then 'Medium' else 'High' end as severity
 from _s group by 1, 2, 3 having count(*) >= case type when 'roaming' then 4 else 3 end""")

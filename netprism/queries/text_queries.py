@@ -97,7 +97,7 @@ def text_byte_statistics(spark, sf):
     return X.byte_statistics(docs, "doc_id", "content").withColumn("signatures", F.array_join("signatures", ","))
 
 
-@query("text_printable_runs", r"select doc_id, cast(len(r) as bigint) as runs, list_sum(list_transform(r, lambda s: len(s))) as chars from (select doc_id, regexp_extract_all(text, '[ -~\t\r\n]{5,}') as r from documents) where len(r) > 0")
+@query("text_printable_runs", r"select doc_id, cast(len(r) as bigint) as runs, cast(list_sum(list_transform(r, lambda s: len(s))) as bigint) as chars from (select doc_id, regexp_extract_all(text, '[ -~\t\r\n]{5,}') as r from documents) where len(r) > 0")
 def text_printable_runs(spark, sf):
     # characters outside ASCII become bytes outside the printable range, so runs break at the same places
     docs = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))

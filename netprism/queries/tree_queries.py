@@ -54,7 +54,7 @@ def nodes(spark, sf):
     return keep(T.walk(docs(spark, sf)))
 
 
-@query("tree_nodes", f"""with {NODE_SQL} select file_id, path, cast(depth as int) as depth, type, case type when 'object' then len(json_keys(jval)) when 'array' then json_array_length(jval) else 0 end as children from nodes""")
+@query("tree_nodes", f"""with {NODE_SQL} select file_id, path, cast(depth as int) as depth, type, cast(case type when 'object' then len(json_keys(jval)) when 'array' then json_array_length(jval) else 0 end as int) as children from nodes""")
 def tree_nodes(spark, sf):
     return T.tree_index(nodes(spark, sf)).select("file_id", "path", "depth", "type", "children")
 

@@ -29,8 +29,7 @@ def test_intake_and_manifest(spark, tmp_path):
     listing = seen.select("path", "length").unionByName(spark.createDataFrame([("file:/x/empty.cfg", 0)], "path string, length long"))
     status = {r["path"].split("/")[-1]: (r["status"], r["reason"]) for r in files.validate_intake(listing).collect()}
     assert status == {"ok.cfg": ("accepted", None), "empty.cfg": ("rejected", "empty file"), "bad.exe": ("rejected", "unsupported extension"), "same.cfg": ("accepted", None)}
-    manifest = files.file_manifest(seen).cache()
-    manifest.count()
+    manifest = sinks.write_manifest(spark, str(tmp_path), str(tmp_path.parent / "stored_manifest"))
     (tmp_path / "ok.cfg").write_text("hostname R2\n")
     (tmp_path / "bad.exe").unlink()
     now = files.file_manifest(files.read_binary(spark, str(tmp_path)))
