@@ -189,3 +189,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(ids, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(F.col("id").alias(key), "fp", "component_id")
+
+
+def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row of each component: that of its smallest key (of several such rows, one).
+
+    Components whose keys are all null keep one row too. Rows keep their columns as they were.
+    """
+    found = cut_lineage(near_duplicates(docs, key, text, **options).withColumnRenamed(key, "id"))
+    chosen = found.where(F.col("id").eqNullSafe(F.col("component_id")))
+    sizes = found.agg(F.count("*"), F.count("id")).first()
+    kept = chosen.agg(F.count("*"), F.count_distinct("id")).first()
+    dropped = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key)).distinct()
+    if sizes[0] == sizes[1] and kept[0] == kept[1]:  # keys are there, and one row for each that stays
+        twins = dropped.join(chosen.select(F.col("id").alias(key)), key, "left_semi")
+        if twins.isEmpty():
+            return docs.join(small(cut_lineage(dropped), sizes[0] - kept[0]), key, "left_anti").select(*docs.columns)
+    # repeated or missing keys: the row is told by its fingerprint too
+    first = chosen.groupBy("component_id", "fp").agg(F.count("*")).groupBy("component_id").agg(F.min("fp").alias("fp")) if sizes[0] == sizes[1] else found.groupBy("component_id").agg(F.min(F.when(F.col("id").eqNullSafe(F.col("component_id")), F.col("fp"))).alias("fp"))
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].alias("id"), fingerprint_column(docs[text], options.get("words", SHINGLE_WORDS)).alias("fp"))
+    hit = marked.join(first.withColumnRenamed("fp", "first"), marked["id"].eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("first")))
+    return hit.dropDuplicates(["id", "fp"]).select("doc.*")
