@@ -175,7 +175,7 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS, paired: int = PAIRED_
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, paired: int = PAIRED_ROWS) -> DataFrame:
-    """(key, fp, component_id) for every row.
+    """(key, fp, component_id, root) for every row; root is the component's least fingerprint.
 
     Null, empty and blank texts have fingerprint 0 and are linked like any other; repeated rows each get a row. The
     component's id is its smallest non-null key (null if all are null). Empty tables give no rows. Other columns are not
@@ -187,8 +187,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     roots = components(edges)
     joined = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("id").alias(key), "fp", "component_id")
+    named = joined.join(ids, "root").select("fp", "component_id", "root")
+    return marked.join(named, "fp").select(F.col("id").alias(key), "fp", "component_id", "root")
 
 
 def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -197,16 +197,10 @@ def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     Components whose keys are all null keep one row too. Rows keep their columns as they were.
     """
     found = cut_lineage(near_duplicates(docs, key, text, **options).withColumnRenamed(key, "id"))
-    chosen = found.where(F.col("id").eqNullSafe(F.col("component_id")))
-    sizes = found.agg(F.count("*"), F.count("id")).first()
-    kept = chosen.agg(F.count("*"), F.count_distinct("id")).first()
-    dropped = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(key)).distinct()
-    if sizes[0] == sizes[1] and kept[0] == kept[1]:  # keys are there, and one row for each that stays
-        twins = dropped.join(chosen.select(F.col("id").alias(key)), key, "left_semi")
-        if twins.isEmpty():
-            return docs.join(small(cut_lineage(dropped), sizes[0] - kept[0]), key, "left_anti").select(*docs.columns)
-    # repeated or missing keys: the row is told by its fingerprint too
-    first = chosen.groupBy("component_id", "fp").agg(F.count("*")).groupBy("component_id").agg(F.min("fp").alias("fp")) if sizes[0] == sizes[1] else found.groupBy("component_id").agg(F.min(F.when(F.col("id").eqNullSafe(F.col("component_id")), F.col("fp"))).alias("fp"))
+    if found.groupBy("id").count().where("id is null or count > 1").isEmpty():
+        dropped = cut_lineage(found.where("id <> component_id").select(F.col("id").alias(key)))
+        return docs.join(small(dropped, dropped.count()), key, "left_anti").select(*docs.columns)
+    # missing or repeated keys: a row is told by key and fingerprint
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "fp")).alias("first")).select("first.id", "first.fp").withColumnsRenamed({"id": "one", "fp": "print"})
     marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].alias("id"), fingerprint_column(docs[text], options.get("words", SHINGLE_WORDS)).alias("fp"))
-    hit = marked.join(first.withColumnRenamed("fp", "first"), marked["id"].eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("first")))
-    return hit.dropDuplicates(["id", "fp"]).select("doc.*")
+    return marked.join(first, F.col("id").eqNullSafe(F.col("one")) & (F.col("fp") == F.col("print"))).dropDuplicates(["id", "fp"]).select("doc.*")
