@@ -70,9 +70,11 @@ def expand_vlans(value: Column) -> Column:
 
     def expand(part: Column) -> Column:
         part = F.trim(part)
-        a = F.regexp_extract(part, r"^(\d{1,5})-(\d{1,5})$", 1).try_cast("int")
-        b = F.regexp_extract(part, r"^(\d{1,5})-(\d{1,5})$", 2).try_cast("int")
-        single = F.when(part.rlike(r"^\d{1,9}$"), part.try_cast("int"))
+        a = F.regexp_extract(part, r"^(\d+)-(\d+)$", 1).try_cast("decimal(38,0)")
+        b = F.regexp_extract(part, r"^(\d+)-(\d+)$", 2).try_cast("decimal(38,0)")
+        # ids end at 4094: what a range holds beyond is no VLAN
+        a, b = F.when(a <= 4094, a).try_cast("int"), F.least(b, F.lit(4094)).try_cast("int")
+        single = F.when(part.rlike(r"^\d+$"), part.try_cast("int"))
         return (
             F.when(a <= b, F.sequence(a, b))
             .when(single.isNotNull(), F.array(single))

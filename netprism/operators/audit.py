@@ -52,12 +52,15 @@ def failures_before(attempts: DataFrame, key: str, seconds: int = 900, only_fail
 
 def login_allowed(attempts: DataFrame, limit: int = 5, seconds: int = 900) -> DataFrame:
     """Failures by user or by address in the last window: user + address - both."""
-    both = attempts.withColumn("_pair", F.struct("username", "ip_address")).withColumn("_row", F.struct("username", "ip_address", "created_at", "id"))
-    a = failures_before(both, "username", seconds).withColumnRenamed("failures", "by_user")
-    b = failures_before(a, "ip_address", seconds).withColumnRenamed("failures", "by_ip")
+    # as the login form does: names in lower case, what is missing is "unknown"
+    user = F.coalesce(F.nullif(F.lower(F.trim("username")), F.lit("")), F.lit("unknown"))
+    address = F.coalesce(F.nullif(F.trim("ip_address"), F.lit("")), F.lit("unknown"))
+    marked = attempts.withColumns({"_user": user, "_address": address}).withColumn("_pair", F.struct("_user", "_address"))
+    a = failures_before(marked, "_user", seconds).withColumnRenamed("failures", "by_user")
+    b = failures_before(a, "_address", seconds).withColumnRenamed("failures", "by_ip")
     c = failures_before(b, "_pair", seconds).withColumnRenamed("failures", "by_pair")
     recent = F.col("by_user") + F.col("by_ip") - F.col("by_pair")
-    return c.drop("_pair", "_row").withColumn("recent_failures", recent).withColumn("allowed", recent < limit)
+    return c.select(*attempts.columns, "by_user", "by_ip", "by_pair", recent.alias("recent_failures"), (recent < limit).alias("allowed"))
 
 
 def audit_search(log: DataFrame, text: str = "", action: str = "", actor: str = "", severity: str = "", limit: int | None = None) -> DataFrame:
@@ -83,7 +86,7 @@ def fingerprint_counters(events: DataFrame, fingerprint: Column) -> DataFrame:
 
 def poll(events: DataFrame, since_id: int, limit: int = 500) -> DataFrame:
     """Events after an id, oldest first: one page of an incremental reader."""
-    return events.filter(F.col("id") > since_id).orderBy("id").limit(min(limit, 500))
+    return events.filter(F.col("id") > since_id).orderBy("id").limit(limit)
 
 
 def newest(df: DataFrame, order: str, limit: int) -> DataFrame:

@@ -15,23 +15,29 @@ CHUNK_LINES = 100_000
 
 def carry_forward(
     df: DataFrame, marks: dict[str, Column], key: str = "file_id", order: str = "line_no",
-    chunk: int | Column = CHUNK_LINES, inclusive: bool = True,
+    chunk: int | Column = CHUNK_LINES, inclusive: bool = True, uses: Column | None = None,
 ) -> DataFrame:
     """Add one column per mark: its last non-null value up to each row.
 
     `chunk` is a number of lines, or a column that never falls along `order`.
-    With inclusive=False the row itself is not counted.
+    With inclusive=False the row itself is not counted. With `uses`, only rows
+    that set a mark or meet it are dealt out and returned.
     """
     part = F.floor(F.col(order) / chunk) if isinstance(chunk, int) else chunk
     marked = df.withColumn("_chunk", part).withColumns({f"_m_{n}": c for n, c in marks.items()})
+    if uses is not None:
+        setting = F.lit(False)
+        for n in marks:
+            setting = setting | F.col(f"_m_{n}").isNotNull()
+        marked = marked.filter(F.coalesce(uses, F.lit(False)) | setting)
     inside = (
         Window.partitionBy(key, "_chunk").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
     local = marked.withColumns({f"_l_{n}": F.last(f"_m_{n}", ignorenulls=True).over(inside) for n in marks})
-    tails = marked.groupBy(key, "_chunk").agg(*[
-        F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), F.col(order))).alias(f"_t_{n}") for n in marks
-    ])
+    # a chunk's last row holds its last marks: tails come from the rows dealt out already, so the input is read once
+    last = F.struct(*[(F.last(f"_m_{n}", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)) if not inclusive else F.col(f"_l_{n}")).alias(f"_t_{n}") for n in marks])
+    tails = local.select(key, "_chunk", F.col(order).alias("_at"), last.alias("_last")).groupBy(key, "_chunk").agg(F.max_by("_last", "_at").alias("_last")).select(key, "_chunk", "_last.*")
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = tails.select(key, "_chunk", *[
         F.last(f"_t_{n}", ignorenulls=True).over(before).alias(f"_b_{n}") for n in marks

@@ -1,6 +1,6 @@
 """Numbered lines to typed network tables.
 
-`annotate` adds every carried state in one pass (one shuffle). Each table is
+`annotate` adds every carried state with one shuffle of the lines that set or use it. Each table is
 then a filter and a projection of these rows, or one keyed aggregation with
 map-side combine. Nothing runs as a Python function per row.
 """
@@ -41,7 +41,7 @@ EV = lambda confidence: evidence(F.col("line_no"), T(), confidence).alias("evide
 def _block_mark(kind: str) -> Column:
     mine = matches(T(), fv.BLOCK_HEADERS[kind])
     return F.when(mine, F.struct(F.lit(True).alias("open"), F.col("line_no").alias("line"), T().alias("text"))).when(
-        matches(T(), fv.BLOCK_CLOSER), F.struct(F.lit(False).alias("open"), F.col("line_no").alias("line"), T().alias("text"))
+        matches(T(), fv.BLOCK_CLOSER), F.struct(F.lit(False).alias("open"), F.col("line_no").alias("line"), F.lit(None).cast("string").alias("text"))
     )
 
 
@@ -72,12 +72,21 @@ def state_marks() -> dict[str, Column]:
     return marks
 
 
-def annotate(lines: DataFrame, states: list[str] | None = None, chunk: int | Column = CHUNK_LINES) -> DataFrame:
-    """Lines with carried states; `states` limits the work to what a table needs."""
+def annotate(lines: DataFrame, states: list[str] | None = None, chunk: int | Column = CHUNK_LINES, uses: Column | None = None) -> DataFrame:
+    """Lines with carried states; `states` limits the work to what a table needs, `uses` the lines to those it reads."""
     marks = state_marks()
     if states is not None:
         marks = {n: marks[n] for n in states}
-    return carry_forward(lines, marks, chunk=chunk)
+    return carry_forward(lines, marks, chunk=chunk, uses=uses)
+
+
+def block_lines(lines: DataFrame, *kinds: str, chunk: int | Column = CHUNK_LINES) -> DataFrame:
+    """Headers and attribute lines of configuration blocks with their state; all other lines go before they are dealt out.
+
+    Enough for `interfaces`, `vlans`, `dhcp_scopes` and `acl_rules`, which take the plain lines for the rest.
+    """
+    patterns = [p for kind in kinds for p in BLOCK_ATTRIBUTES[kind]]
+    return annotate(lines, [f"blk_{kind}" for kind in kinds], chunk, T().rlike(_any_of(patterns)))
 
 
 # --- shared row tests -------------------------------------------------------
@@ -205,6 +214,13 @@ INTERFACE_ATTRIBUTES = [
     ("sticky", r"^\s*switchport\s+port-security\s+mac-address\s+sticky", None),
     ("shutdown", r"^\s*shutdown\s*$", None),
 ]
+# lines that blocks of a kind read
+BLOCK_ATTRIBUTES = {
+    "interface": [p for _, p, _ in INTERFACE_ATTRIBUTES],
+    "vlan": [r"^\s*name\s+(.+)"],
+    "dhcp": [r"^\s*network\s+(\S+)\s+(\S+)", r"^\s*default-router\s+(.+)", r"^\s*dns-server\s+(.+)", r"^\s*domain-name\s+(.+)"],
+    "acl": [r"^\s*(?:(\d+)\s+)?(permit|deny)\s+(.+)"],
+}
 
 
 def interfaces(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:

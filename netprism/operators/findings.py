@@ -128,18 +128,20 @@ def score(findings: DataFrame) -> DataFrame:
     return one.select(s.alias("score"), label.alias("label"), F.coalesce(lookup(F.col("top"), by_weight), F.lit("Info")).alias("max_severity"), F.col("n").alias("finding_count"))
 
 
-def recommended_actions(findings: DataFrame, has_rules: bool = True, has_links: bool = True, first: int = 8, limit: int = 10) -> DataFrame:
-    """Distinct recommendations of the first findings in order, then the gaps."""
+def recommended_actions(findings: DataFrame, has_rules: bool = True, has_links: bool = True, first: int | None = None, limit: int | None = None) -> DataFrame:
+    """Distinct recommendations of the findings in order (of the first ones only, if asked), then the gaps, findings or none."""
     # fixed values: texts of the two gaps
     gaps = [(has_rules, "Import ACL/firewall policy evidence to validate segmentation instead of guessing."),
             (has_links, "Import CDP/LLDP or topology export to improve attack-path confidence.")]
     rank = F.struct(lookup(F.col("severity"), fv.SEVERITY_RANK, 9).alias("s"), (-F.col("confidence")).alias("c"), F.col("title").alias("t"))
-    top = ordered(findings).limit(first).groupBy(F.col("recommendation").alias("action")).agg(F.min(rank).alias("r"))
+    top = (findings if first is None else ordered(findings).limit(first)).groupBy(F.col("recommendation").alias("action")).agg(F.min(rank).alias("r"))
     out = top.select("action", F.lit(0).alias("g"), "r")
     for i, (present, text) in enumerate(gaps):
         if not present:
-            out = out.unionByName(top.limit(1).select(F.lit(text).alias("action"), F.lit(i + 1).alias("g"), "r"))
-    return out.orderBy("g", "r").limit(limit).select("action")
+            one = findings.sparkSession.range(1)
+            out = out.unionByName(one.select(F.lit(text).alias("action"), F.lit(i + 1).alias("g"), F.lit(None).cast(dict(top.dtypes)["r"]).alias("r")))
+    out = out.orderBy("g", "r")
+    return (out if limit is None else out.limit(limit)).select("action")
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:

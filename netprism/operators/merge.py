@@ -68,7 +68,7 @@ def first_wins_rows(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, defaults: dict | None = None, version: str | None = None) -> DataFrame:
-    """Keyed upsert: new value, else old value, else default; `version` counts updates."""
+    """Keyed upsert: new value, else old value, else default; blank texts are no values; `version` counts updates."""
     defaults = defaults or {}
     old, new = current.alias("o"), changes.alias("n")
     joined = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
@@ -76,7 +76,8 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, defaults: dict | No
     for c in current.columns:
         if c in (key, version):
             continue
-        options = ([F.col(f"n.{c}")] if c in changes.columns else []) + [F.col(f"o.{c}")]
+        given = lambda side, kinds, c=c: F.when(F.trim(f"{side}.{c}") != "", F.col(f"{side}.{c}")) if kinds[c] == "string" else F.col(f"{side}.{c}")
+        options = ([given("n", dict(changes.dtypes))] if c in changes.columns else []) + [given("o", dict(current.dtypes))]
         if c in defaults:
             options.append(F.lit(defaults[c]))
         cols.append(F.coalesce(*options).alias(c))

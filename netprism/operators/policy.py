@@ -1,8 +1,9 @@
 """Wired state against wireless policy: joins of extracted tables, diffs, causes and scores.
 
 `scope` is the namespace of one import (a file by default). Each scope is
-checked against every SSID row; SSIDs are attached by exploding one array, so
-no cross join is planned.
+checked against every SSID row: that product is what is asked for. SSID rows are
+parameters of a policy, read once with a checked bound, and each scope explodes
+one literal array of them, so no join is planned.
 """
 
 from __future__ import annotations
@@ -12,9 +13,23 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 
-from .wireless import SSID_FIELDS, _grade, _level
+from .wireless import _grade, _level
 
 LINE = "evidence.source_line"
+#: SSID rows that a policy may have; they are parameters, not data.
+POLICY_ROWS = 1000
+
+
+def for_each_ssid(scopes: DataFrame, ssids: DataFrame, fields: tuple[str, ...] = ("ssid", "expected_vlan", "expected_subnet", "internal_access")) -> DataFrame:
+    """Every scope with every SSID row of the policy."""
+    rows = ssids.select(*fields).limit(POLICY_ROWS + 1).collect()
+    if len(rows) > POLICY_ROWS:
+        raise ValueError(f"a policy has {POLICY_ROWS} SSID rows at most")
+    kinds = dict(ssids.dtypes)
+    policy = F.array(*[F.struct(*[F.lit(r[f]).cast(kinds[f]).alias(f) for f in fields]) for r in rows])
+    if not rows:
+        policy = F.array().cast("array<struct<" + ",".join(f"{f}:{kinds[f]}" for f in fields) + ">>")
+    return scopes.select("*", F.explode(policy).alias("_s")).select(*scopes.columns, "_s.*")
 
 
 # --- joins between extracted tables -----------------------------------------
@@ -117,10 +132,7 @@ def policy_diff(objects: dict[str, DataFrame], ssids: DataFrame, scopes: DataFra
     objects: vlans, interfaces, dhcp_scopes, gateways, acl_rules. scopes: one `file_id` per import.
     """
     interfaces, vlans, pools, gateways = (objects[k] for k in ("interfaces", "vlans", "dhcp_scopes", "gateways"))
-    # the SSID policy travels as one array of its few rows, keyed by the constant 1
-    policy = ssids.groupBy(F.lit(1).alias("_k")).agg(F.collect_list(F.struct(*SSID_FIELDS)).alias("_rows"))
-    base = scopes.select("file_id", F.lit(1).alias("_k")).join(policy, "_k").select("file_id", F.explode("_rows").alias("s")).select("file_id", "s.*")
-    base = base.select("file_id", "ssid", "expected_vlan", "expected_subnet", "internal_access")
+    base = for_each_ssid(scopes.select("file_id"), ssids)
 
     # where each VLAN is seen, with the line that the lookup order would pick: VLAN table, then interface order
     direct = vlans.select("file_id", F.col("id").alias("vlan"), F.struct(F.lit(0).alias("rank"), F.col(LINE).alias("line")).alias("o"))
@@ -354,12 +366,13 @@ def timeline(events: DataFrame, imports: DataFrame, diffs: DataFrame) -> DataFra
     return rows.orderBy(F.coalesce(F.col("time").cast("string"), F.lit("")).desc(), "type", "detail")
 
 
-def prioritized(diffs: DataFrame, limit: int = 20) -> DataFrame:
+def prioritized(diffs: DataFrame, limit: int | None = None) -> DataFrame:
     """The first checks by severity, then Fail before Review before Pass."""
     from ..functions.text import lookup
 
     rank = lookup(F.col("severity"), fv.SEVERITY_RANK, 9)
     state = F.when(F.col("status") == "Fail", 0).when(F.col("status") == "Review", 1).otherwise(2)
-    return diffs.orderBy(rank, state, "file_id", "id").limit(limit)
+    out = diffs.orderBy(rank, state, "file_id", "id")
+    return out if limit is None else out.limit(limit)
 
 

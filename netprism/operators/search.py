@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from .graph import first_rows
 
 
 def explore(rows: DataFrame, category: str | None = None, text: str | None = None, status: str | None = None, high_value: bool | None = None) -> DataFrame:
@@ -62,9 +63,9 @@ def keyword_counts(docs: DataFrame, text_col: str) -> DataFrame:
         (word != "") & ~word.rlike(r"^\d+$") & ~word.isin(*fv.STOP_WORDS)).groupBy("term").agg(F.count("*").alias("count"))
 
 
-def top_keywords(docs: DataFrame, text_col: str, limit: int = 14) -> DataFrame:
-    return keyword_counts(docs, text_col).orderBy(F.col("count").desc(), "term").limit(limit)
+def top_keywords(docs: DataFrame, text_col: str, limit: int | None = None) -> DataFrame:
+    return keyword_counts(docs, text_col).transform(first_rows, limit, F.col("count").desc(), "term")
 
 
-def category_counts(docs: DataFrame, category: str, limit: int = 12) -> DataFrame:
-    return docs.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("count")).orderBy(F.col("count").desc(), "category").limit(limit)
+def category_counts(docs: DataFrame, category: str, limit: int | None = None) -> DataFrame:
+    return docs.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("count")).transform(first_rows, limit, F.col("count").desc(), "category")

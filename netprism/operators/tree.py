@@ -9,8 +9,8 @@ from .. import fixed_values as fv
 from ..functions.net import DOTTED, looks_like_ip, network_cidr
 from ..functions.text import contains_any, key_token, normalize_interface, path_hint, path_key, vlan_id, vlan_tokens
 from ..session import keep
+from .graph import first_rows
 
-MAX_DEPTH = 40
 CONTAINERS = ["object", "array"]
 
 # fixed values: key synonyms in order of preference (compared as plain tokens)
@@ -45,7 +45,7 @@ def _kind(v: Column) -> Column:
         .when(shape == "BIGINT", "integer").when(shape.startswith("DECIMAL") | (shape == "DOUBLE"), "number").otherwise("string"))
 
 
-def walk(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def walk(docs: DataFrame) -> DataFrame:
     """Every node of every document: `file_id, path, depth, type, v`.
 
     One explode per level; a level is kept only while it feeds the next, and
@@ -53,7 +53,7 @@ def walk(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """
     level = docs.filter("v is not null").select("file_id", F.lit("$").alias("path"), F.lit(0).alias("depth"), "v").withColumn("type", _kind(F.col("v")))
     out = level
-    for _ in range(max_depth):
+    while True:  # ends with the deepest level
         parents = keep(level.filter(F.col("type").isin(*CONTAINERS)))
         if parents.isEmpty():
             break
@@ -74,7 +74,7 @@ def tree_index(nodes: DataFrame) -> DataFrame:
     keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
     items = F.size(F.try_variant_get(v, "$", "array<variant>"))
     children = F.when(kind == "object", F.size(keys)).when(kind == "array", items).otherwise(0)
-    preview = F.when(kind == "object", F.array_join(F.array_sort(F.slice(keys, 1, 12)), ", ")).when(kind == "array", F.concat(items.cast("string"), F.lit(" item(s)"))).otherwise(_text(v))
+    preview = F.when(kind == "object", F.array_join(F.array_sort(keys), ", ")).when(kind == "array", F.concat(items.cast("string"), F.lit(" item(s)"))).otherwise(_text(v))
     return nodes.select("file_id", "path", path_key(F.col("path")).alias("key"), "depth", "type", children.alias("children"), preview.alias("preview"))
 
 
@@ -82,6 +82,11 @@ def leaves(nodes: DataFrame) -> DataFrame:
     return nodes.filter(~F.col("type").isin(*CONTAINERS)).select("file_id", "path", path_key(F.col("path")).alias("key"), "type", _text(F.col("v")).alias("value"))
 
 
+def _is_config(text: Column) -> Column:
+    """Several lines, or a line that starts as a configuration command does."""
+    return text.contains("\n") | text.rlike(r"(?i)^\s*(?:hostname|interface|router|vlan|access-list|ip (?:access-list|route|dhcp|nat|address))\s+\S+\s+\S")
+
+
 def _fact(path: Column, key: Column, text: Column) -> Column:
     """First matching fact rule with its confidence."""
     blob = F.lower(F.concat(path, F.lit(" "), key))
@@ -92,12 +97,12 @@ def _fact(path: Column, key: Column, text: Column) -> Column:
     return F.coalesce(
         F.when(whole_ip | (text.rlike(fv.ENTITY_IP) & any_of(fv.FACT_IP_KEYS)), fact("ip_address", 0.90)),
         F.when(text.rlike(fv.FACT_MAC), fact("mac_address", 0.88)),
-        F.when((text.rlike(fv.FACT_INTERFACE) | any_of(fv.FACT_INTERFACE_KEYS)) & (F.length(text) <= 120), fact("interface", 0.78)),
+        F.when((text.rlike(fv.FACT_INTERFACE) | any_of(fv.FACT_INTERFACE_KEYS)) & ~_is_config(text), fact("interface", 0.78)),
         F.when(blob.rlike(fv.FACT_VLAN_KEY) & number.between(1, 4094), fact("vlan", 0.82)),
         F.when((text.rlike(fv.FACT_CONFIG_LINE) | any_of(fv.FACT_CONFIG_KEYS)) & (F.length(text) > 8), fact("config_or_cli", 0.76)),
-        F.when((key_token(key).rlike(fv.FACT_DEVICE_KEY) | any_of(fv.FACT_DEVICE_PATHS)) & (F.length(text) <= 140) & ~whole_ip & ~whole_mac
+        F.when((key_token(key).rlike(fv.FACT_DEVICE_KEY) | any_of(fv.FACT_DEVICE_PATHS)) & ~text.contains("\n") & ~whole_ip & ~whole_mac
                & ~F.lower(text).isin(*fv.FACT_STATUS_VALUES), fact("device_candidate", 0.72)),
-        F.when(blob.rlike(fv.FACT_LINK_KEY) & (F.length(text) <= 160), fact("link_reference", 0.62)),
+        F.when(blob.rlike(fv.FACT_LINK_KEY) & ~text.contains("\n"), fact("link_reference", 0.62)),
         F.when(text.rlike(fv.FACT_DOMAIN), fact("hostname_or_domain", 0.70)))
 
 
@@ -142,19 +147,20 @@ def manifest(nodes: DataFrame, facts: DataFrame) -> DataFrame:
     return n.join(f, "file_id", "left").na.fill(0, ["network_facts"])
 
 
-def list_contexts(nodes: DataFrame, limit: int = 30) -> DataFrame:
+def list_contexts(nodes: DataFrame, limit: int | None = None) -> DataFrame:
     """Total length of the lists under each key."""
     size = F.size(F.try_variant_get("v", "$", "array<variant>"))
-    return nodes.filter("type = 'array'").groupBy(path_key(F.col("path")).alias("key")).agg(F.sum(size).alias("total")).orderBy(F.col("total").desc(), "key").limit(limit)
+    return nodes.filter("type = 'array'").groupBy(path_key(F.col("path")).alias("key")).agg(F.sum(size).alias("total")).transform(first_rows, limit, F.col("total").desc(), "key")
 
 
-def schema_map(rows: DataFrame, limit: int = 8) -> DataFrame:
-    """Most frequent source paths per table, indexes removed from the path."""
+def schema_map(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Source paths per table by frequency with their rank, indexes removed from the path."""
     from pyspark.sql import Window
 
     counted = rows.groupBy("object_type", "path").agg(F.count("*").alias("count"))
     rank = F.row_number().over(Window.partitionBy("object_type").orderBy(F.col("count").desc(), "path"))
-    return counted.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    ranked = counted.withColumn("rank", rank)
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def embedded_configs(leaf: DataFrame) -> DataFrame:
@@ -236,7 +242,7 @@ def devices(recs: DataFrame) -> DataFrame:
     type_word = F.exists(F.split(F.lower(F.concat_ws(" ", name, kind)), "[^a-z0-9]+"), lambda t: t.isin(*DEVICE_HINTS))
     child = _in_path(["interface", "interfaces", "port", "ports", "vlan", "vlans", "link", "links", "dhcp", "acl", "route", "mac", "arp"])
     in_devices = _in_path(["device", "devices", "node", "nodes", "router", "switch"])
-    is_device = name.isNotNull() & ~looks_like_ip(name) & (F.length(name) <= 140) & ((in_devices & (~child | explicit)) | type_word | explicit) & ~(child & ~explicit)
+    is_device = name.isNotNull() & ~looks_like_ip(name) & ((in_devices & (~child | explicit)) | type_word | explicit) & ~(child & ~explicit)
     alias = F.array_distinct(F.filter(F.array(first_value(["id"]), first_value(["nodeid"]), first_value(["deviceid"]), first_value(["uuid"]), name), lambda x: x.isNotNull()))
     return recs.filter(is_device).select("file_id", "path", name.alias("id"), device_type(name, kind).alias("type"), kind.alias("model"), alias.alias("aliases"))
 
@@ -254,7 +260,7 @@ def interfaces(recs: DataFrame, device_rows: DataFrame) -> DataFrame:
     ip, mask, vlan = first_value(IP_KEYS), first_value(MASK_KEYS), first_value(["accessvlan", "vlan", "vlanid", "vid", "accessvid", "pvid"])
     allowed = first_value(["allowedvlans", "trunkallowedvlans", "allowedvlan", "allowed", "taggedvlans", "tagged"])
     listed = F.coalesce(vlan_tokens(F.regexp_replace(allowed, r'[\[\]"]', "")), F.array().cast("array<string>"))
-    rows = recs.filter((in_list | explicit.isNotNull()) & name.isNotNull() & ~looks_like_ip(name) & (F.length(name) <= 140) & ~_in_path(["links", "link", "connections", "edges"])).select(
+    rows = recs.filter((in_list | explicit.isNotNull()) & name.isNotNull() & ~looks_like_ip(name) & ~_in_path(["links", "link", "connections", "edges"])).select(
         "file_id", "path", name.alias("name"), normalize_interface(name).alias("normalized_name"), first_value(DEVICE_REF_KEYS).alias("_ref"),
         F.when(looks_like_ip(ip), ip).alias("ip_address"), mask.alias("subnet_mask"), F.when(looks_like_ip(ip), network_cidr(ip, mask)).alias("cidr"),
         F.lower(F.coalesce(first_value(["mode", "switchportmode", "portmode", "linkmode"]), F.when(F.size(listed) > 0, "trunk"), F.when(vlan.isNotNull(), "access"))).alias("mode"),

@@ -20,6 +20,10 @@ def annotated(spark: SparkSession, sf: str, *states: str) -> DataFrame:
     return X.annotate(config_lines(spark, sf), list(states))
 
 
+def blocks(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
+    return X.block_lines(config_lines(spark, sf), *kinds)
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Evidence as plain columns, lists as texts."""
     cols = []
@@ -72,7 +76,7 @@ select file_id, id, arg_min(name, pl) as name, arg_min(source, pl) as source, ar
       from config_lines where {m(r'encapsulation\s+dot1q\s+([0-9]+)')}))
 group by file_id, id""", ctes=block_cte("blk", "vlan")))
 def extract_vlans(spark, sf):
-    return flat(X.vlans(annotated(spark, sf, "blk_vlan"), lines(spark, sf))).drop("status", "ports_hint")
+    return flat(X.vlans(blocks(spark, sf, "vlan"), lines(spark, sf))).drop("status", "ports_hint")
 
 
 _IFNAME = x(r"^\s*interface\s+(\S+)", col="ht")
@@ -111,7 +115,7 @@ interfaces as (
 
 @query("extract_interfaces", with_lines("select * from interfaces", ctes=INTERFACE_CTES))
 def extract_interfaces(spark, sf):
-    return flat(X.interfaces(annotated(spark, sf, "blk_interface"), lines(spark, sf)))
+    return flat(X.interfaces(blocks(spark, sf, "interface"), lines(spark, sf)))
 
 
 @query("extract_interface_lines", with_lines(
@@ -143,7 +147,7 @@ dhcp_scopes as (
 
 @query("extract_dhcp_scopes", with_lines("select * from dhcp_scopes", ctes=DHCP_CTES))
 def extract_dhcp_scopes(spark, sf):
-    return flat(X.dhcp_scopes(annotated(spark, sf, "blk_dhcp")))
+    return flat(X.dhcp_scopes(blocks(spark, sf, "dhcp")))
 
 
 _NUM = r"^\s*access-list\s+(\S+)\s+(permit|deny)\s+(.+)"
@@ -163,30 +167,29 @@ acl_rules as (
 
 @query("extract_acl_rules", with_lines("select * from acl_rules", ctes=ACL_CTES))
 def extract_acl_rules(spark, sf):
-    return flat(X.acl_rules(annotated(spark, sf, "blk_acl"), lines(spark, sf)))
+    return flat(X.acl_rules(blocks(spark, sf, "acl"), lines(spark, sf)))
 
 
-_A1 = r"(any|host\s+\S+|[0-9.]+(?:\s+[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)?)"
-_EXT = rf"^(\S+)\s+{_A1}\s+{_A1}(?:\s+(\S+))?(?:\s+(\S+))?"
+# the rule's words one after the other: protocol, then twice an address of one word (any), of host and a word, or of a word
+# and perhaps a wildcard, then what is left
+_WORDS = f"""_w as (select *, string_split_regex(trim(expression), '\\s+') as t from acl_rules),
+_1 as (select *, case when t[2] is null then 2 when lower(t[2]) = 'any' then 3 when lower(t[2]) = 'host' and t[3] is not null or regexp_full_match(coalesce(t[3], ''), {lit(fv.IPV4)}) then 4 else 3 end as i from _w),
+_2 as (select *, case when t[i] is null then i when lower(t[i]) = 'any' then i + 1 when lower(t[i]) = 'host' and t[i + 1] is not null or regexp_full_match(coalesce(t[i + 1], ''), {lit(fv.IPV4)}) then i + 2 else i + 1 end as j from _1)"""
 
 
-def _side(g: int) -> tuple[str, str]:
-    a = f"regexp_extract(expression, {lit(_EXT)}, {g}, 'i')"
-    value = f"case when lower({a}) = 'any' then 'any' when lower({a}) like 'host %' then split_part({a}, ' ', 2) else split_part({a}, ' ', 1) end"
-    wild = f"case when lower({a}) = 'any' then null when lower({a}) like 'host %' then 'host' else nullif(split_part({a}, ' ', 2), '') end"
-    return value, wild
+def _side(i: str) -> tuple[str, str]:
+    a, b = f"t[{i}]", f"t[{i} + 1]"
+    host = f"lower({a}) = 'host' and {b} is not null"
+    return f"case when lower({a}) = 'any' then 'any' when {host} then {b} else {a} end", f"case when lower({a}) = 'any' then null when {host} then 'host' when regexp_full_match({b}, {lit(fv.IPV4)}) then {b} end"
 
 
 @query("extract_acl_expressions", with_lines(f"""
-select file_id, evidence_line, acl_name,
-  case when type = 'extended' then {x(_EXT, 1, 'expression')} end as protocol,
-  case when type = 'standard' then split_part(expression, ' ', 1) else {_side(2)[0]} end as src,
-  case when type = 'standard' then nullif(split_part(expression, ' ', 2), '') else {_side(2)[1]} end as src_wildcard,
-  case when type = 'extended' then {_side(3)[0]} end as dst, case when type = 'extended' then {_side(3)[1]} end as dst_wildcard,
-  case when type = 'extended' then {x(_EXT, 4, 'expression')} end as operator, case when type = 'extended' then {x(_EXT, 5, 'expression')} end as port
-from acl_rules""", ctes=ACL_CTES))
+select file_id, evidence_line, acl_name, case when type = 'extended' then t[1] end as protocol,
+  case when type = 'standard' then t[1] else {_side('2')[0]} end as src, case when type = 'standard' then t[2] else {_side('2')[1]} end as src_wildcard,
+  case when type = 'extended' then {_side('i')[0]} end as dst, case when type = 'extended' then {_side('i')[1]} end as dst_wildcard,
+  case when type = 'extended' then t[j] end as operator, case when type = 'extended' then t[j + 1] end as port from _2""", ctes=f"{ACL_CTES}, {_WORDS}"))
 def extract_acl_expressions(spark, sf):
-    return X.acl_rules(annotated(spark, sf, "blk_acl"), lines(spark, sf)).select(
+    return X.acl_rules(blocks(spark, sf, "acl"), lines(spark, sf)).select(
         "file_id", F.col("evidence.source_line").alias("evidence_line"), "acl_name", "parsed.protocol", F.col("parsed.source").alias("src"),
         F.col("parsed.source_wildcard").alias("src_wildcard"), F.col("parsed.destination").alias("dst"),
         F.col("parsed.destination_wildcard").alias("dst_wildcard"), "parsed.operator", "parsed.port")

@@ -93,7 +93,7 @@ union all select file_id, name, ip_address, 'derived_from_interface_block', min(
   and not exists (select 1 from ip_inventory v where v.file_id = i.file_id and v.interface = i.name and v.ip_address = i.ip_address) group by 1, 2, 3""")
 def merge_inventory_backfill(spark, sf):
     plain = config_lines(spark, sf)
-    inventory, _ = M.backfill_inventory(X.ip_inventory(plain), X.interfaces(annotated(spark, sf, "blk_interface"), plain))
+    inventory, _ = M.backfill_inventory(X.ip_inventory(plain), X.interfaces(X.block_lines(plain, "interface"), plain))
     return inventory.select("file_id", "interface", "ip_address", "source", F.col("evidence.source_line").alias("evidence_line"))
 
 
@@ -143,7 +143,7 @@ select file_id, id, case when min(p) = 0 then 'inferred_from_interface' else 'in
 where id is not null and regexp_full_match(id, '[0-9]+') and not exists (select 1 from _def d where d.file_id = r.file_id and d.id = r.id) group by 1, 2""")
 def merge_inferred_vlans(spark, sf):
     plain = config_lines(spark, sf)
-    ports = keep(X.interfaces(annotated(spark, sf, "blk_interface"), plain)).withColumn("device", F.lit(None).cast("string"))
+    ports = keep(X.interfaces(X.block_lines(plain, "interface"), plain)).withColumn("device", F.lit(None).cast("string"))
     defined = plain.select("file_id", F.nullif(F.regexp_extract("text", r"(?i)^[ ]*vlan[ ]+([0-9]+)", 1), F.lit("")).alias("id")).filter("id is not null")
     links = ports.limit(0).select("file_id", F.col("name").alias("device"), F.col("name").alias("neighbor"))
     return M.inferred_entities(ports.limit(0).select("file_id", F.col("name").alias("id")), ports, links, defined)[1]

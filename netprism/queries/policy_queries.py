@@ -40,14 +40,14 @@ trunkv as (
 
 
 def wired(spark, sf):
-    a = keep(annotated(spark, sf, "blk_interface", "blk_dhcp"))
+    a = X.block_lines(config_lines(spark, sf), "interface", "dhcp")
     interfaces, pools = keep(X.interfaces(a, config_lines(spark, sf))), keep(X.dhcp_scopes(a))
     return interfaces, pools, P.match_dhcp_gateways(pools, interfaces)
 
 
 @query("join_acl_bindings", f"{_LINES}, {INTERFACE_CTES}, {BINDING_CTE} select * from bindings")
 def join_acl_bindings(spark, sf):
-    return P.acl_bindings(X.interfaces(annotated(spark, sf, "blk_interface"), config_lines(spark, sf)))
+    return P.acl_bindings(X.interfaces(X.block_lines(config_lines(spark, sf), "interface"), config_lines(spark, sf)))
 
 
 @query("join_rules_to_interfaces", f"""{_LINES}, {INTERFACE_CTES}, {ACL_CTES}, {BINDING_CTE}
@@ -55,7 +55,7 @@ select r.file_id, r.acl_name, r.action, r.sequence, r.evidence_line, coalesce(b.
 from acl_rules r left join (select file_id, acl_name, count(*) as n, arg_min(interface, (binding_line, direction)) as i from bindings group by 1, 2) b
   on b.file_id = r.file_id and b.acl_name = r.acl_name""")
 def join_rules_to_interfaces(spark, sf):
-    a, plain = annotated(spark, sf, "blk_interface", "blk_acl"), config_lines(spark, sf)
+    a, plain = X.block_lines(config_lines(spark, sf), "interface", "acl"), config_lines(spark, sf)
     return P.bind_acls(X.acl_rules(a, plain), X.interfaces(a, plain)).select(
         "file_id", "acl_name", "action", "sequence", F.col("evidence.source_line").alias("evidence_line"), "applied_count", "is_applied",
         F.col("first_binding.interface").alias("first_interface"))
@@ -111,10 +111,9 @@ _ISO_HEAD = f"with {CONFIG_LINES_SQL}, {WIRELESS_SQL}, {INTERFACE_CTES}, {ACL_CT
 
 @query("join_guest_isolation", f"{_ISO_HEAD} select * from isolation")
 def join_guest_isolation(spark, sf):
-    a = annotated(spark, sf, "blk_interface", "blk_acl")
-    files = config_lines(spark, sf).select("file_id").distinct().withColumn("internal_access", F.lit("false"))
-    guests = files.join(ssids(spark), "internal_access")
     plain = config_lines(spark, sf)
+    a = X.block_lines(plain, "interface", "acl")
+    guests = P.for_each_ssid(plain.select("file_id").distinct(), ssids(spark)).filter("internal_access = 'false'")
     return P.guest_isolation(guests, X.interfaces(a, plain), keep(X.acl_rules(a, plain)))
 
 
@@ -215,7 +214,7 @@ def policy_risk_score(spark, sf):
 select file_id, id, severity, status from diffs order by case severity when 'Critical' then 0 when 'High' then 1 when 'Medium' then 2 when 'Low' then 3 else 4 end,
   case status when 'Fail' then 0 when 'Review' then 1 else 2 end, file_id, id limit 20""")
 def policy_prioritized_checks(spark, sf):
-    return P.prioritized(diffs_of(spark, sf)).select("file_id", "id", "severity", "status")
+    return P.prioritized(diffs_of(spark, sf), limit=20).select("file_id", "id", "severity", "status")
 
 
 OBSERVED_CTES = f"""{INTERFACE_CTES}, {DHCP_CTES}, {GATEWAY_CTE}, {IFVLAN_CTE}, {TRUNK_CTES}, {block_cte('vb', 'vlan')},

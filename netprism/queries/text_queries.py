@@ -73,12 +73,12 @@ def text_keyword_counts(spark, sf):
 
 @query("text_top_keywords", f"with {_WORDS} select * from _kw order by count desc, term limit 14")
 def text_top_keywords(spark, sf):
-    return S.top_keywords(table(spark, sf, "documents"), "text")
+    return S.top_keywords(table(spark, sf, "documents"), "text", limit=14)
 
 
 @query("text_category_counts", "select source as category, count(*) as count from documents group by source order by count desc, category limit 12")
 def text_category_counts(spark, sf):
-    return S.category_counts(table(spark, sf, "documents"), "source")
+    return S.category_counts(table(spark, sf, "documents"), "source", limit=12)
 
 
 @query("text_character_statistics", """

@@ -70,16 +70,17 @@ def _any(words: list[str]) -> str:
 
 _TOKEN = "regexp_replace(lower(key), '[^a-z0-9]+', '', 'g')"
 _DOTTED = r"(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}"
+_CONFIG = r"contains(t, chr(10)) or regexp_matches(t, '^\s*(?:hostname|interface|router|vlan|access-list|ip (?:access-list|route|dhcp|nat|address))\s+\S+\s+\S', 'i')"
 FACT_SQL = f"""{NODE_SQL},
 _b as (select *, lower(concat(path, ' ', key)) as blob, trim(value) as t from leaves),
 kv as (
   select file_id, path, key, type as value_type, value, case when t = '' then 'generic_value'
     when regexp_full_match(t, {lit(_DOTTED)}) or (regexp_matches(t, {lit(fv.ENTITY_IP)}) and {_any(fv.FACT_IP_KEYS)}) then 'ip_address' when regexp_matches(t, {lit(fv.FACT_MAC)}) then 'mac_address'
-    when (regexp_matches(t, {lit(fv.FACT_INTERFACE)}) or {_any(fv.FACT_INTERFACE_KEYS)}) and length(t) <= 120 then 'interface'
+    when (regexp_matches(t, {lit(fv.FACT_INTERFACE)}) or {_any(fv.FACT_INTERFACE_KEYS)}) and not ({_CONFIG}) then 'interface'
     when regexp_matches(blob, {lit(fv.FACT_VLAN_KEY)}) and try_cast(nullif(regexp_extract(t, '\\b[0-9]{{1,4}}\\b'), '') as int) between 1 and 4094 then 'vlan'
     when (regexp_matches(t, {lit(fv.FACT_CONFIG_LINE)}) or {_any(fv.FACT_CONFIG_KEYS)}) and length(t) > 8 then 'config_or_cli'
-    when (regexp_matches({_TOKEN}, {lit(fv.FACT_DEVICE_KEY)}) or {_any(fv.FACT_DEVICE_PATHS)}) and length(t) <= 140 and lower(t) not in ('true', 'false', 'up', 'down', 'on', 'off', 'yes', 'no') then 'device_candidate'
-    when regexp_matches(blob, {lit(fv.FACT_LINK_KEY)}) and length(t) <= 160 then 'link_reference' when regexp_matches(t, {lit(fv.FACT_DOMAIN)}) then 'hostname_or_domain' else 'generic_value' end as fact_type from _b),
+    when (regexp_matches({_TOKEN}, {lit(fv.FACT_DEVICE_KEY)}) or {_any(fv.FACT_DEVICE_PATHS)}) and not contains(t, chr(10)) and lower(t) not in ('true', 'false', 'up', 'down', 'on', 'off', 'yes', 'no') then 'device_candidate'
+    when regexp_matches(blob, {lit(fv.FACT_LINK_KEY)}) and not contains(t, chr(10)) then 'link_reference' when regexp_matches(t, {lit(fv.FACT_DOMAIN)}) then 'hostname_or_domain' else 'generic_value' end as fact_type from _b),
 facts as (
   select file_id, path, key, fact_type, value from kv where fact_type <> 'generic_value'
   union all select file_id, path, key, 'ip_address', unnest(list_distinct(regexp_extract_all(value, {lit(fv.ENTITY_IP)}))) from kv where fact_type = 'config_or_cli'
@@ -114,7 +115,7 @@ def tree_payload_tables(spark, sf):
 @query("tree_list_contexts", f"""with {NODE_SQL} select list_filter(regexp_split_to_array(path, '[.\\[\\]/]+'), lambda t: t <> '' and t <> '$' and not regexp_full_match(t, '[0-9]+'))[-1] as key,
   cast(sum(json_array_length(jval)) as bigint) as total from nodes where type = 'array' group by 1 order by total desc, key limit 30""")
 def tree_list_contexts(spark, sf):
-    return T.list_contexts(nodes(spark, sf))
+    return T.list_contexts(nodes(spark, sf), limit=30)
 
 
 def recs(spark, sf):

@@ -207,8 +207,7 @@ select c.name, s.role, s.ssid, s.expected_vlan as vlan, s.expected_subnet, conca
 from clients c join ssids s on s.role = {_CHANGE.replace('role', 'c.role', 1)}, _n""")
 def wireless_role_changes(spark, sf):
     c, s, _ = dims(spark, sf)
-    total = c.agg(F.count("*").alias("client_count")).withColumn("_one", F.lit(1))
-    changes = c.select("name", F.expr(_CHANGE).alias("new_role"), F.lit(1).alias("_one")).join(total, "_one").drop("_one")
+    changes = c.select("name", F.expr(_CHANGE).alias("new_role"), F.lit(c.count()).alias("client_count"))
     moved, _ = W.role_changes(changes, c, s)
     return moved.withColumn("services", F.array_join("services", ","))
 

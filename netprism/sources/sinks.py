@@ -23,7 +23,7 @@ def write_manifest(spark: SparkSession, folder: str, target: str) -> DataFrame:
     return spark.read.parquet(target)
 
 
-def export_csv(df: DataFrame, path: str, limit: int | None = 10_000) -> None:
+def export_csv(df: DataFrame, path: str, limit: int | None = None) -> None:
     """Newest rows as CSV with a header."""
     rows = df.orderBy(F.col("id").desc())
     (rows if limit is None else rows.limit(limit)).write.mode("overwrite").option("header", True).csv(path)
