@@ -178,7 +178,8 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     table gives no rows; other columns are not read.
     """
     rows = _extracted(docs, [docs[key].alias("__id")], text, **options)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    own = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(own, lambda x: x == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select(F.col("__id").alias(key), *counts, F.sha2(_told(F.col("spans")).cast("binary"), 256).alias("base_sha256"), _told(F.concat("spans", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
