@@ -7,10 +7,11 @@ phrases overlap, and none is the beginning of another occurrence's rest without
 
 Dictionary: distinct phrases. A phrase that occurs twice settles all of its strings at once, however often it occurs.
 Parse: where a phrase occurs once, its strings can still repeat inside other phrases, but only those whose bytes from the
-trigger on are shared. For such triggers alone, once for each distinct phrase, the dictionary's suffixes and the parse
-behind them are combined: each string (rest of the phrase before its trigger, then what follows) gets its name, and
-strings of one name are neighbours in the corpus order with 400 equal bytes or more. Names are 128-bit hashes: equality
-is asked for, not the order itself, so no class has to be sorted in one place.
+trigger on are shared. For such triggers alone, once for each distinct phrase, the dictionary's suffixes (the bytes before
+the trigger, read back) and the parse behind them (the bytes from it on) are combined: two phrases hold a string in common
+where both sides together are long enough. A trigger with many forms has its strings named by 128-bit hashes instead, and
+equal names are neighbours in the corpus order with 400 equal bytes or more. Equality is asked for, not the order itself,
+so no class has to be sorted in one place.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .common import written
 
 LENGTH = 400
 #: Places of a window, and bytes that a rolling hash looks at; together at most LENGTH.
 WINDOW, GRAM = 240, 16
+#: Phrases of one trigger that are held against each other; of more, the strings are named one by one.
+PAIRED_FORMS = 64
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -110,31 +112,86 @@ def repeated(docs: DataFrame, texts: DataFrame, key: str = "doc_id", text: str =
     # only phrases whose bytes after the trigger stand elsewhere too can repeat; the others are most, and go first
     every = written(phrases(docs, key, text, length, window))
     again = every.groupBy("follow").count().where("count > 1").select("follow")
-    parse = cut_lineage(every.join(again, "follow", "left_semi").select("id", "th", "first", "last", "phrase", "follow"))
+    parse = written(every.join(again, "follow", "left_semi").select("id", "th", "first", "last", "phrase", "follow"))
     # the dictionary: one row for each distinct phrase, with one place where it stands
-    words = cut_lineage(parse.groupBy("phrase").agg(F.count("*").alias("n"), F.min("follow").alias("follow"), F.min(F.struct("id", "th", "first", "last")).alias("at")))
+    words = written(parse.groupBy("phrase").agg(F.count("*").alias("n"), F.min("follow").alias("follow"), F.min(F.struct("id", "th", "first", "last")).alias("at")))
     often = parse.join(words.where("n > 1").select("phrase"), "phrase", "left_semi").select("id", "th", "first", "last")
     # triggers that several phrases share, at least one of them alone
-    shared = words.groupBy("follow").agg(F.count("*").alias("forms"), F.min("n").alias("least")).where("forms > 1 and least = 1").select("follow")
-    open_ = words.join(shared, "follow", "left_semi").select("at.*", (F.col("n") == 1).alias("alone"))
-    asked = cut_lineage(open_.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last", "alone")).alias("places")))  # bounded by the text
+    shared = words.groupBy("follow").agg(F.count("*").alias("forms"), F.min("n").alias("least")).where("forms > 1 and least = 1").select("follow", (F.col("forms") > PAIRED_FORMS).alias("hot"))
+    offset = F.conv(F.hex(F.substring("phrase", -2, 2)), 16, 10).cast("int")  # from the phrase's first byte to its trigger
+    open_ = words.join(shared, "follow").select("at.*", "follow", "hot", (F.col("n") == 1).alias("alone"), offset.alias("before"))
+    asked = written(open_.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last", "before", "follow", "hot", "alone")).alias("places")))  # bounded by the text
     named = texts.join(asked, ["id", "th"]).select("__key", "id", "th", "data", "places")
 
+    def bytes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p["follow"], i, th, p["first"], p["last"], p["before"], p["alone"], data[p["first"] : p["last"] + length]) for i, th, data, places in zip(pdf["id"], pdf["th"], pdf["data"], pdf["places"], strict=True) for p in places if not p["hot"]]
+            for lo in range(0, len(rows), 20_000):
+                yield pd.DataFrame(rows[lo : lo + 20_000], columns=["follow", "id", "th", "first", "last", "before", "alone", "data"])
+
+    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                if held and held[0][0] != row[0]:
+                    out += extended(held, length, window)
+                    held = []
+                held.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=["id", "th", "first", "last"])
+        if out := extended(held, length, window):
+            yield pd.DataFrame(out, columns=["id", "th", "first", "last"])
+
+    forms = named.mapInPandas(bytes_of, "follow long, id string, th long, first int, last int, before int, alone boolean, data binary")
+    few = forms.repartition("follow").sortWithinPartitions("follow").mapInPandas(paired, "id string, th long, first int, last int")
+
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name = xxhash.xxh3_128_digest
         for pdf in batches:
             for i, th, data, places in zip(pdf["id"], pdf["th"], pdf["data"], pdf["places"], strict=True):
                 view = memoryview(data)
-                at = [(s, bool(p["alone"])) for p in places for s in range(p["first"], p["last"] + 1)]
+                at = [(s, bool(p["alone"])) for p in places if p["hot"] for s in range(p["first"], p["last"] + 1)]
                 for lo in range(0, len(at), 1 << 16):
                     some = at[lo : lo + (1 << 16)]
                     yield pd.DataFrame({"name": [name(view[s : s + length]) for s, _ in some], "id": i, "th": th, "start": [s for s, _ in some], "alone": [a for _, a in some]})
 
-    # a name that no phrase alone holds isn't asked for; one that is held by such a phrase counts wherever else it stands
-    strings = named.mapInPandas(names, "name binary, id string, th long, start int, alone boolean")
+    # where a trigger has too many forms to pair, each of their strings gets its name; a name that no phrase alone holds isn't asked for
+    strings = named.where(F.exists("places", lambda p: p["hot"])).mapInPandas(names, "name binary, id string, th long, start int, alone boolean")
     twice = strings.groupBy("name").agg(F.count("*").alias("n"), F.max("alone").alias("alone")).where("n > 1 and alone").select("name")
     single = strings.where("alone").join(twice, "name", "left_semi").select("id", "th", F.col("start").alias("first"), F.col("start").alias("last"))
-    return often.union(single).groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # bounded by the text
+    return often.union(few).union(single).groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # bounded by the text
+
+
+def extended(forms: list[tuple], length: int, window: int) -> list[tuple]:
+    """(id, th, first, last) of strings of phrases that stand alone and are in another phrase of the same trigger too.
+
+    forms: follow, id, th, first, last, before, alone, data. Aligned at the trigger, two phrases share so many bytes before
+    it and so many from it on; a string is in both if what it holds on either side is shared.
+    """
+    m = len(forms)
+    if m < 2:
+        return []
+    left = np.tile(np.arange(256, 256 + m, dtype=np.uint16)[:, None], (1, window))  # where a phrase has no byte, no other equals it
+    right = np.tile(left[:, :1], (1, length))
+    for i, (_, _, _, _, _, before, _, data) in enumerate(forms):
+        own = np.frombuffer(data, np.uint8)
+        left[i, :before] = own[:before][::-1]
+        right[i, : len(own) - before] = own[before:]
+    out = []
+    for i, (_, id_, th, first, last, before, alone, _) in enumerate(forms):
+        if not alone:
+            continue
+        differs = left != left[i]
+        common = np.where(differs.any(axis=1), differs.argmax(axis=1), window)
+        differs = right != right[i]
+        ahead = np.where(differs.any(axis=1), differs.argmax(axis=1), length)
+        low = np.maximum(length - ahead, before - (last - first))
+        high = np.minimum(common, before)
+        ok = low <= high
+        ok[i] = False
+        out += [(id_, th, first + before - int(h), first + before - int(lo)) for lo, h in {*zip(low[ok].tolist(), high[ok].tolist(), strict=True)}]
+    return out
 
 
 def spans(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
