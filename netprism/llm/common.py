@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage, shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that go to a Python worker at once, where the session doesn't say.
+ARROW_ROWS = 1000
 #: A side of a join is broadcast only when it has been counted and has at most so many rows.
 BROADCAST_ROWS = 100_000
 
@@ -23,6 +25,9 @@ def reach(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":  # Spark's default; ten thousand whole texts are too long for a worker
+        spark.conf.set(batch, str(ARROW_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

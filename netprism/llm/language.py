@@ -25,7 +25,7 @@ ORDER = 4
 #: Labelled rows of each language that models, and then limits, are fitted on: about so many, picked by hash.
 FIT_ROWS, LIMIT_ROWS = 400, 200
 #: Distinct words whose scores a Python worker remembers; bytes of text scored together.
-MEMO_WORDS, BATCH_CHARS = 300_000, 1 << 20
+MEMO_WORDS, BATCH_CHARS = 150_000, 1 << 20
 START, END = "\x02", "\x03"
 UNKNOWN = "und"
 _WORD, _RUN = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)"), re.compile(r"[^\W\d_]+")
