@@ -147,12 +147,12 @@ def live_fingerprint(when: Column, client: Column, kind: Column, ap: Column, raw
 
 def client_slug(name: Column) -> Column:
     dashed = F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "-")
-    return F.concat(F.lit("client-"), F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, 48))
+    return F.concat(F.lit("client-"), F.regexp_replace(dashed, "^-+|-+$", ""))
 
 
 def ap_slug(name: Column) -> Column:
     dashed = F.regexp_replace(F.upper(name), r"[^\p{L}\p{N}]", "-")
-    return F.coalesce(F.nullif(F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, 48), F.lit("")), F.lit("AP-NEW"))
+    return F.coalesce(F.nullif(F.regexp_replace(dashed, "^-+|-+$", ""), F.lit("")), F.lit("AP-NEW"))
 
 
 def redact_command(command: Column) -> Column:

@@ -25,7 +25,19 @@ def union_distinct(*tables: DataFrame) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
-    return out.dropDuplicates()
+    plain = [f.name for f in out.schema.fields if not _has(f.dataType, ("map", "variant"))]
+    if len(plain) == len(out.columns):
+        return out.dropDuplicates()
+    # maps and variants have no equality of their own: they are compared as JSON with sorted keys
+    rest = F.to_json(F.to_variant_object(F.struct(*[F.col(c) for c in out.columns if c not in plain])))
+    return out.withColumn("_rest", rest).dropDuplicates([*plain, "_rest"]).drop("_rest")
+
+
+def _has(kind, names: tuple[str, ...]) -> bool:
+    if kind.typeName() in names:
+        return True
+    inner = [f.dataType for f in kind.fields] if kind.typeName() == "struct" else [kind.elementType] if kind.typeName() == "array" else []
+    return any(_has(k, names) for k in inner)
 
 
 def enrich_by_key(df: DataFrame, keys: list[str], order: list[str], placeholder: str | None = None) -> DataFrame:

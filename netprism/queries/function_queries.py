@@ -73,7 +73,7 @@ def function_vlan_lists(spark, sf):
 
 
 @query("function_tokens_and_ids", """select p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') as token, concat('part-', substr(sha1(concat_ws('|', p_brand, p_name, p_size)), 1, 10)) as stable_id,
-  concat('client-', substr(trim(regexp_replace(lower(p_name), '[^a-z0-9]', '-', 'g'), '-'), 1, 48)) as client_id, trim(regexp_replace(upper(p_name), '[^A-Z0-9]', '-', 'g'), '-') as ap_id,
+  concat('client-', trim(regexp_replace(lower(p_name), '[^a-z0-9]', '-', 'g'), '-')) as client_id, trim(regexp_replace(upper(p_name), '[^A-Z0-9]', '-', 'g'), '-') as ap_id,
   'Brand' || regexp_extract(p_brand, '[0-9]+') as path_last from part""")
 def function_tokens_and_ids(spark, sf):
     name = F.col("p_name")

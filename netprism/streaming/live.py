@@ -44,7 +44,8 @@ def dedupe(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """First event per fingerprint; on a stream within the watermark. The raw log keeps all."""
     if events.isStreaming:
         return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["fp"])
-    return events.dropDuplicates(["fp"])
+    order = F.struct(*[c for c in ("ts", "id", "event_id") if c in events.columns])
+    return events.groupBy("fp").agg(F.min_by(F.struct(*events.columns), order).alias("_first")).select("_first.*")
 
 
 def threshold_alerts(events: DataFrame, length: str = "1 hour", slide: str | None = None, delay: str = "10 minutes",
@@ -123,11 +124,11 @@ def resolve_registers(registers: DataFrame, clients: DataFrame, ssids: DataFrame
 
 # --- sinks ------------------------------------------------------------------
 def run_log_writer(path: str, connector: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch: one row per batch with counts, duplicates and severity beside the data."""
+    """foreachBatch: one row per batch with counts, duplicates and severity beside the data; a batch that is tried again replaces its row."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy(F.lit(connector).alias("connector"), F.lit(batch_id).alias("batch_id")).agg(
+        batch.groupBy(F.lit(connector).alias("connector")).agg(
             F.count("*").alias("records"), (F.count("*") - F.count_distinct("fp")).alias("duplicates"), F.count_if(F.col("client").isNull()).alias("errors"),
-        ).withColumn("severity", F.when(F.col("errors") > 0, "Medium").otherwise("Info")).write.mode("append").parquet(path)
+        ).withColumn("severity", F.when(F.col("errors") > 0, "Medium").otherwise("Info")).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return write
 
 
