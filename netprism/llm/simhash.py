@@ -30,30 +30,41 @@ PAIRED_ROWS = 64
 #: Numbers of partitions that are weighed against each other.
 PARTITIONS = (1, 2, 3, 4)
 _BLOCK = 1 << 15
+_MIX = 0xBF58476D1CE4E5B9
 
 
-def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
-    """Unsigned 64-bit SimHash of a whole text; 0 without words."""
+def fingerprints(text: bytes | None, words: int = SHINGLE_WORDS, count: int = 1) -> list[int]:
+    """Unsigned 64-bit SimHashes of a whole text, 0 without words; the first is of the shingles' hashes, others of these hashes mixed."""
     parts = (text or b"").lower().split()  # bytes: only A-Z change, only ASCII white space parts
     if not parts:
-        return 0
+        return [0] * count
     shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)) if len(parts) >= words else [b" ".join(parts)]
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(s, HASH_SEED) for s in shingles], dtype="<u8")
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((count, 64), np.int64)
     for at in range(0, len(hashes), _BLOCK):
-        bits = np.unpackbits(hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+        for k in range(count):
+            h = hashes[at : at + _BLOCK]
+            if k:
+                h = (h ^ h >> np.uint64(31 - k)) * np.uint64(_MIX + 2 * k)
+                h = (h ^ h >> np.uint64(29)) * np.uint64(_MIX)
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[k] += bits.sum(axis=0, dtype=np.int32)
+    return [int(x) for x in np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel()]
+
+
+def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
+    return fingerprints(text, words)[0]
 
 
-def fingerprint_column(text: Column, words: int = SHINGLE_WORDS) -> Column:
-    """The fingerprint as a signed long with the same bits."""
+def fingerprint_column(text: Column, words: int = SHINGLE_WORDS, count: int = 1) -> Column:
+    """The fingerprints as signed longs with the same bits."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<bigint>")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
-            yield pd.Series(np.array([fingerprint(t, words) for t in series], dtype=np.uint64).view(np.int64))
+            table = np.array([fingerprints(t, words, count) for t in series], dtype=np.uint64).reshape(len(series), count)
+            yield pd.Series(list(table.view(np.int64)))
 
     return prints(text.cast("binary"))
 
@@ -151,56 +162,76 @@ def _flips(bits, most: int) -> list[int]:
 
 
 def links(prints: DataFrame, n: int, radius: int = RADIUS, paired: int = PAIRED_ROWS) -> DataFrame:
-    """(a, b): links that join the same fingerprints as all pairs within the radius do; prints: distinct fp."""
-    parts = plan(prints, n, radius, paired)
-    own = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, (m, _, _) in enumerate(parts)])).alias("k")).select("fp", "k.*")
+    """(s, a, b): links that join the same fingerprints as all pairs within the radius do.
+
+    prints: distinct fp, n of them; with a column s, fingerprints of different s don't meet, and n is the number of s = 0.
+    """
+    if "s" not in prints.columns:
+        prints = prints.withColumn("s", F.lit(0))
+    parts = plan(prints.where("s = 0"), n, radius, paired)
+    own = prints.select("s", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, (m, _, _) in enumerate(parts)])).alias("k")).select("s", "fp", "k.*")
     probes = own
     if any(t for _, _, t in parts):
         masks = F.array(*[F.array(*[F.lit(x).cast("long") for x in _flips(bits, t)]) for _, bits, t in parts])
-        probes = own.select("fp", "i", F.explode(F.transform(masks[F.col("i")], lambda x: x.bitwiseXOR(F.col("key")))).alias("key"))
-    hot = cut_lineage(own.groupBy("i", "key").count().where(F.col("count") > paired).select("i", "key"))
+        probes = own.select("s", "fp", "i", F.explode(F.transform(masks[F.col("i")], lambda x: x.bitwiseXOR(F.col("key")))).alias("key"))
+    on = ["s", "i", "key"]
+    hot = cut_lineage(own.groupBy(*on).count().where(F.col("count") > paired).select(*on))
     n_hot = hot.count()
-    asked = probes.join(small(hot, n_hot), ["i", "key"], "left_anti") if n_hot else probes
-    pairs = asked.withColumnRenamed("fp", "a").join(own.withColumnRenamed("fp", "b"), ["i", "key"])
-    found = pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+    asked = probes.join(small(hot, n_hot), on, "left_anti") if n_hot else probes
+    pairs = asked.withColumnRenamed("fp", "a").join(own.withColumnRenamed("fp", "b"), on)
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    found = pairs.where(near).select("s", "a", "b")
     if not n_hot:
         return found
-    many = probes.join(small(hot, n_hot), ["i", "key"], "left_semi").select("fp").distinct()
-    around = many.select("fp", F.explode(F.array(*[F.lit(x).cast("long") for x in _flips(range(64), (radius + 1) // 2)])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
+    many = probes.join(small(hot, n_hot), on, "left_semi").select("s", "fp").distinct()
+    around = many.select("s", "fp", F.explode(F.array(*[F.lit(x).cast("long") for x in _flips(range(64), (radius + 1) // 2)])).alias("flip")).select("s", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
     if radius % 2 == 0:  # all that share a key are linked: half the radius and half again
-        met = around.withColumn("b", F.min("fp").over(Window.partitionBy("key"))).where("fp <> b").select(F.col("fp").alias("a"), "b")
+        met = around.withColumn("b", F.min("fp").over(Window.partitionBy("s", "key"))).where("fp <> b").select("s", F.col("fp").alias("a"), "b")
     else:
-        met = around.withColumnRenamed("fp", "a").join(around.withColumnRenamed("fp", "b"), "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+        met = around.withColumnRenamed("fp", "a").join(around.withColumnRenamed("fp", "b"), ["s", "key"]).where(near).select("s", "a", "b")
     return found.union(met).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, paired: int = PAIRED_ROWS) -> DataFrame:
-    """(key, fp, component_id, root) for every row; root is the component's least fingerprint.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, paired: int = PAIRED_ROWS, count: int = 1) -> DataFrame:
+    """(key, fp, component_id, root, prints) for every row; root tells components apart, fp is the first fingerprint.
+
+    With a count over 1, texts are linked if any of so many fingerprints are, each made of other bits of the same hashes:
+    copies that one fingerprint parts by a bit too many are often kept together by another.
 
     Null, empty and blank texts have fingerprint 0 and are linked like any other; repeated rows each get a row. The
     component's id is its smallest non-null key (null if all are null). Empty tables give no rows. Other columns are not
     read, so their names don't matter.
     """
-    marked = cut_lineage(docs.select(docs[key].alias("id"), fingerprint_column(docs[text], words).alias("fp")))
-    first = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    edges = links(first.select("fp"), first.count(), radius, paired)
+    marked = docs.select(docs[key].alias("id"), fingerprint_column(docs[text], words, count).alias("prints"))
+    node = F.col("prints")[0] if count == 1 else F.xxhash64("prints")
+    marked = cut_lineage(marked.withColumn("node", node))
+    first = cut_lineage(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("prints").alias("prints")))
+    own = first.select("node", F.posexplode("prints").alias("s", "fp"))
+    if count == 1:
+        edges = links(own.select("s", "fp"), first.count(), radius, paired).select("a", "b")
+    else:  # a fingerprint that is shared or linked is a node of its own, tied to the texts that have it
+        sizes = cut_lineage(own.groupBy("s", "fp").agg(F.count("*").alias("texts")))
+        found = cut_lineage(links(sizes.select("s", "fp"), sizes.where("s = 0").count(), radius, paired))
+        useful = sizes.where("texts > 1").select("s", "fp").union(found.select("s", "a")).union(found.select("s", "b")).distinct()
+        at = lambda c: F.xxhash64("s", c)
+        edges = found.select(at("a").alias("a"), at("b").alias("b")).union(own.join(useful, ["s", "fp"], "left_semi").select("node", at("fp")))
     roots = components(edges)
-    joined = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    joined = first.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(ids, "root").select("fp", "component_id", "root")
-    return marked.join(named, "fp").select(F.col("id").alias(key), "fp", "component_id", "root")
+    named = joined.join(ids, "root").select("node", "component_id", "root")
+    return marked.join(named, "node").select(F.col("id").alias(key), F.col("prints")[0].alias("fp"), "component_id", "root", "prints")
 
 
-def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, count: int = 1, **options) -> DataFrame:
     """docs with one row of each component: that of its smallest key (of several such rows, one).
 
     Components whose keys are all null keep one row too. Rows keep their columns as they were.
     """
-    found = cut_lineage(near_duplicates(docs, key, text, **options).withColumnRenamed(key, "id"))
+    found = cut_lineage(near_duplicates(docs, key, text, words=words, count=count, **options).withColumnRenamed(key, "id"))
     if found.groupBy("id").count().where("id is null or count > 1").isEmpty():
         dropped = cut_lineage(found.where("id <> component_id").select(F.col("id").alias(key)))
         return docs.join(small(dropped, dropped.count()), key, "left_anti").select(*docs.columns)
-    # missing or repeated keys: a row is told by key and fingerprint
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "fp")).alias("first")).select("first.id", "first.fp").withColumnsRenamed({"id": "one", "fp": "print"})
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].alias("id"), fingerprint_column(docs[text], options.get("words", SHINGLE_WORDS)).alias("fp"))
-    return marked.join(first, F.col("id").eqNullSafe(F.col("one")) & (F.col("fp") == F.col("print"))).dropDuplicates(["id", "fp"]).select("doc.*")
+    # missing or repeated keys: a row is told by key and fingerprints
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "prints")).alias("first")).select(F.col("first.id").alias("one"), F.col("first.prints").alias("its"))
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].alias("id"), fingerprint_column(docs[text], words, count).alias("prints"))
+    return marked.join(first, F.col("id").eqNullSafe(F.col("one")) & (F.col("prints") == F.col("its"))).dropDuplicates(["id", "prints"]).select("doc.*")

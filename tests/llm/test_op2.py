@@ -42,7 +42,7 @@ TEXTS = ["One two THREE four", "one  two\tthree\nfour", "", None, "  ", "a", "a
 def test_fingerprints(spark):
     for t in TEXTS[:-1]:
         assert simhash.fingerprint(None if t is None else t.encode()) == brute_print(t)
-    got = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string").select("i", simhash.hexed(simhash.fingerprint_column(F.col("text"))).alias("h")).collect()
+    got = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string").select("i", simhash.hexed(simhash.fingerprint_column(F.col("text"))[0]).alias("h")).collect()
     assert {r["i"]: r["h"] for r in got} == {i: f"{simhash.fingerprint(None if t is None else t.encode()):016x}" for i, t in enumerate(TEXTS)}
     shingles = spark.sql("select xxhash64('one two three') h").first()["h"] & (2**64 - 1)
     assert shingles == xxhash.xxh64_intdigest("one two three", 42)  # the same function as Spark's
@@ -85,6 +85,25 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_several_fingerprints_keep_more_copies_together(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    rows, found = [], {}
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(200)]
+        other = list(base)
+        for at in rng.sample(range(200), 2):
+            other[at] = "changed"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    for count in (1, 8):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents(spark, rows), count=count).collect()}
+        assert all(got[2 * g] == 2 * g for g in range(40))
+        found[count] = sum(got[2 * g + 1] == 2 * g for g in range(40))
+    plain = sum(min(bin(a ^ b).count("1") for a, b in zip(simhash.fingerprints(rows[2 * g][1].encode(), 3, 8), simhash.fingerprints(rows[2 * g + 1][1].encode(), 3, 8), strict=True)) <= 2 for g in range(40))
+    assert found[8] == plain and found[8] > 3 * found[1]
+    assert len(simhash.one_each(documents(spark, rows), count=8).collect()) == 80 - plain
+
+
 def test_thresholds_cost_least():
     cost, ts = simhash.allocate([[5.0, 9.0, 90.0], [4.0, 50.0, 60.0], [100.0, 200.0, 300.0]], 2)
     assert cost == 13.0 and ts == [1, 0, -1]
@@ -112,6 +131,7 @@ def test_documents_and_edge_cases(spark):
     want = sorted((str(i), by_root.get(roots[brute_print(t)])) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in got) == want
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in simhash.near_duplicates(documents(spark, rows), count=3).collect()) == want
     kept = simhash.one_each(documents(spark, rows)).collect()
     assert len(kept) == len(set(roots.values())) and all(r["fp"] == 7 for r in kept)
     plain = [(i, t) for i, t in rows[:34] if i is not None]

@@ -34,7 +34,7 @@ def test_stages(spark, tmp_path):
     kept = [dict(pipeline.STAGES)["language"](spark, docs, "")]
     assert sorted(r["doc_id"] for r in kept[0].collect()) == sorted(i for i, t, *_ in data if t and any(c.isalpha() for c in t))
     one = dict(pipeline.STAGES)["near_duplicates"](spark, kept[0], "")
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(kept[0]).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(kept[0], count=pipeline.FINGERPRINTS).collect()}
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(set(groups.values())) and not {200, 201} & set(groups.values())
     clean = dict(pipeline.STAGES)["personal_data"](spark, one, "")
     texts = {i: t for i, t, *_ in data}
