@@ -111,13 +111,14 @@ def repeated(docs: DataFrame, texts: DataFrame, key: str = "doc_id", text: str =
         raise ValueError("a string must hold a window")
     # only phrases whose bytes after the trigger stand elsewhere too can repeat; the others are most, and go first
     every = written(phrases(docs, key, text, length, window))
-    again = every.groupBy("follow").count().where("count > 1").select("follow")
+    # (a table of its own, as `shared` below: only a join of two plain inputs can split a trigger that many texts share)
+    again = written(every.groupBy("follow").count().where("count > 1").select("follow"))
     parse = written(every.join(again, "follow", "left_semi").select("id", "th", "first", "last", "phrase", "follow"))
     # the dictionary: one row for each distinct phrase, with one place where it stands
     words = written(parse.groupBy("phrase").agg(F.count("*").alias("n"), F.min("follow").alias("follow"), F.min(F.struct("id", "th", "first", "last")).alias("at")))
     often = parse.join(words.where("n > 1").select("phrase"), "phrase", "left_semi").select("id", "th", "first", "last")
     # triggers that several phrases share, at least one of them alone
-    shared = words.groupBy("follow").agg(F.count("*").alias("forms"), F.min("n").alias("least")).where("forms > 1 and least = 1").select("follow", (F.col("forms") > PAIRED_FORMS).alias("hot"))
+    shared = written(words.groupBy("follow").agg(F.count("*").alias("forms"), F.min("n").alias("least")).where("forms > 1 and least = 1").select("follow", (F.col("forms") > PAIRED_FORMS).alias("hot")))
     offset = F.conv(F.hex(F.substring("phrase", -2, 2)), 16, 10).cast("int")  # from the phrase's first byte to its trigger
     open_ = words.join(shared, "follow").select("at.*", "follow", "hot", (F.col("n") == 1).alias("alone"), offset.alias("before"))
     asked = written(open_.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last", "before", "follow", "hot", "alone")).alias("places")))  # bounded by the text
