@@ -344,7 +344,8 @@ def wireless_hints(recs: DataFrame) -> DataFrame:
     ssid = first_value(["ssid", "wlan", "wlanname", "wirelessname", "networkname"])
     context = _in_path(["wireless", "wlan", "ssid", "accesspoint", "ap", "radio"])
     value = F.coalesce(ssid, F.when(context, first_value(["name", "id", "label"])))
-    return recs.filter(value.isNotNull()).select("file_id", "path", F.when(ssid.isNotNull(), "ssid").otherwise("wireless").alias("type"), value.alias("value"),
+    # a list or object under such a key holds names, and is none itself
+    return recs.filter(value.isNotNull() & ~value.rlike(r"^[\[{]")).select("file_id", "path", F.when(ssid.isNotNull(), "ssid").otherwise("wireless").alias("type"), value.alias("value"),
                                                  first_value(["security", "auth", "authentication", "encryption", "wpa"]).alias("security"), vlan_id(first_value(["vlan", "vlanid"])).alias("vlan"))
 
 

@@ -105,15 +105,3 @@ def audit_event_filter(spark, sf):
     e = table(spark, sf, "events").select(
         F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.lit("Info").alias("severity"), F.lit("").alias("client"), F.col("props").alias("detail"))
     return S.filter_events(e, kind="error", severity="Info", text="7").select("id", "detail")
-
-
-@query("audit_timeline", """select coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), '') as time, event_type as type, 'Info' as severity, props as detail from events
-union all select strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'import', 'Info', concat('Imported ', o_orderkey) from orders""")
-def audit_timeline(spark, sf):
-    from ..operators.policy import timeline
-
-    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    e = table(spark, sf, "events").select(text("ts").alias("time"), F.col("event_type").alias("type"), F.lit("Info").alias("severity"), F.col("props").alias("detail"))
-    o = table(spark, sf, "orders").select(text("o_orderdate").alias("time"), F.lit("import").alias("type"), F.lit("Info").alias("severity"),
-                                          F.concat(F.lit("Imported "), F.col("o_orderkey").cast("string")).alias("detail"))
-    return timeline(e, o, e.limit(0))

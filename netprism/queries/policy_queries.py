@@ -9,7 +9,7 @@ from ..operators import extract as X
 from ..operators import policy as P
 from ..plans.importing import diff_of_lines
 from ..session import keep
-from .bindings import CONFIG_LINES_SQL, WIRELESS_SQL, clients, config_lines, ssids, wireless_events
+from .bindings import table, CONFIG_LINES_SQL, WIRELESS_SQL, clients, config_lines, ssids, wireless_events
 from .duck import block_cte, lit, m, x
 from .extract_queries import (
     ACL_CTES, ACL_HITS_CTES, COUNTER_CTES, DHCP_CTES, HARDENING_CTES, INTERFACE_CTES, TRUNK_CTES, annotated,
@@ -359,3 +359,18 @@ def policy_compliance_matrix(spark, sf):
     from .wireless_queries import dims
 
     return P.compliance_matrix(all_anomalies(spark, sf), W.client_matrix(*dims(spark, sf)), diffs_of(spark, sf), wireless_events(spark, sf))
+
+
+@query("audit_timeline", f"""{_DIFF_HEAD}
+select coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), '') as time, event_type as type, 'Info' as severity, props as detail from events
+union all select strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'import', 'Info', concat('Imported ', o_orderkey) from orders
+union all select '', 'policy_diff', severity, concat(file_id, ' ', id, ': ', actual) from diffs where status <> 'Pass'""")
+def audit_timeline(spark, sf):
+    """Events, imports and the open checks of the policy diff."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    e = table(spark, sf, "events").select(text("ts").alias("time"), F.col("event_type").alias("type"), F.lit("Info").alias("severity"), F.col("props").alias("detail"))
+    o = table(spark, sf, "orders").select(text("o_orderdate").alias("time"), F.lit("import").alias("type"), F.lit("Info").alias("severity"),
+                                          F.concat(F.lit("Imported "), F.col("o_orderkey").cast("string")).alias("detail"))
+    checks = diffs_of(spark, sf).filter("status <> 'Pass'").select(F.lit("").alias("time"), F.lit("policy_diff").alias("type"), "severity",
+                                                                   F.concat(F.col("file_id").cast("string"), F.lit(" "), "id", F.lit(": "), "actual").alias("detail"))
+    return P.timeline(e, o, checks)

@@ -91,7 +91,14 @@ def text_character_statistics(spark, sf):
         "doc_id", "chars", F.round(F.log2("chars") - F.col("w") / F.col("chars"), 4).alias("entropy"))
 
 
-@query("text_byte_statistics")
+_SIGNS = ", ".join(f"case when regexp_matches(h, '^(..)*{code}') then '{name}' end" for name, code in (("zip", "504B0304"), ("gzip", "1F8B08"), ("bzip2", "425A68"), ("zlib", "789C"), ("xz", "FD377A585A00")))
+
+
+@query("text_byte_statistics", f"""with d as (select doc_id, hex(encode(text)) as h from documents),
+b as (select doc_id, byte, count(*) as n from (select doc_id, unnest(regexp_extract_all(h, '..')) as byte from d) group by 1, 2),
+t as (select doc_id, cast(sum(n) as bigint) as bytes, sum(n) filter (byte between '20' and '7E' or byte in ('09', '0A', '0D')) as p, sum(n * log2(n)) as nlogn from b group by 1)
+select d.doc_id, coalesce(bytes, 0) as bytes, round(log2(bytes) - nlogn / bytes, 4) as entropy, round(coalesce(p, 0) / bytes, 4) as printable_ratio, concat_ws(',', {_SIGNS}) as signatures
+from d left join t on t.doc_id = d.doc_id""")
 def text_byte_statistics(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     return X.byte_statistics(docs, "doc_id", "content").withColumn("signatures", F.array_join("signatures", ","))

@@ -144,7 +144,8 @@ def tree_links(spark, sf):
     return T.links(r, T.devices(r)).drop("path")
 
 
-@query("tree_vlans")
+@query("tree_vlans", f"""select p_partkey as file_id, '10' as id, 'VLAN_10' as name, '$.network.vlans[1]' as path from part where {_V} <> 10
+union all select p_partkey, cast({_V} as varchar), concat('USERS ', {_V}), '$.network.nodes[0].interfaces[0]' from part""")
 def tree_vlans(spark, sf):
     return T.vlans(recs(spark, sf))
 
@@ -164,17 +165,22 @@ def tree_routes(spark, sf):
     return T.routes(recs(spark, sf)).filter(F.col("path").contains("routes")).select("file_id", "destination", "cidr", "next_hop")
 
 
-@query("tree_wireless_hints")
+@query("tree_wireless_hints", """select p_partkey as file_id, '$.network.wlan[0]' as path, 'ssid' as type, concat('Corp', p_size) as value, 'wpa2' as security, cast(null as varchar) as vlan from part""")
 def tree_wireless_hints(spark, sf):
     return T.wireless_hints(recs(spark, sf))
 
 
-@query("tree_endpoints")
+@query("tree_endpoints", f"""with e as (
+  select p_partkey as file_id, '$.network.nodes[1]' as path, concat('SW', p_partkey) as device, null as ip_address, concat('00:aa:bb:cc:dd:', p_partkey % 10 + 10) as mac, null as vlan, true as has_mac from part
+  union all select p_partkey, '$.network.nodes[0].interfaces[0]', concat('Gi0/', p_size), concat('10.0.', {_V}, '.', {_H}), null, cast({_V} as varchar), false from part
+  union all select p_partkey, '$.network.nodes[0].interfaces[0].ipv4', null, concat('10.0.', {_V}, '.', {_H}), null, null, false from part)
+select *, cast(null as varchar) as interface from e""")
 def tree_endpoints(spark, sf):
     return T.endpoints(recs(spark, sf))
 
 
-@query("tree_inventory_facts")
+@query("tree_inventory_facts", """select p_partkey as file_id, '$.network.nodes[0]' as path, concat('R', p_partkey) as device, concat('M', p_size) as model, cast(null as varchar) as serial, cast(null as varchar) as version from part
+union all select p_partkey, '$.network.nodes[1]', concat('SW', p_partkey), 'switch', null, null from part""")
 def tree_inventory_facts(spark, sf):
     return T.inventory_facts(recs(spark, sf))
 
@@ -184,7 +190,12 @@ def tree_access_tests(spark, sf):
     return T.access_tests(recs(spark, sf)).select("file_id", "client", "target", "service", "result", "actual_ssid", "actual_vlan")
 
 
-@query("tree_entities")
+@query("tree_entities", f"""with e as (select p_partkey as file_id, unnest([
+  struct_pack(p := '$.network.dhcpPools[0]', n := concat('P', p_partkey), t := 'route'), struct_pack(p := '$.network.nodes[0]', n := concat('n', p_partkey), t := 'ip_address'),
+  struct_pack(p := '$.network.nodes[1]', n := concat('SW', p_partkey), t := 'mac_address'), struct_pack(p := '$.network.vlans[0]', n := concat('USERS ', {_V}), t := 'vlan'),
+  struct_pack(p := '$.network.wlan[0]', n := concat('Corp', p_size), t := 'wireless_network'), struct_pack(p := '$.network.nodes[0].interfaces[0]', n := concat('Gi0/', p_size), t := 'vlan'),
+  struct_pack(p := '$.network.nodes[0].interfaces[0].switchport', n := cast({_V} as varchar), t := 'vlan')]) as e from part)
+select file_id, e.p as path, e.n as name, e.t as type, 0.74 as confidence from e""")
 def tree_entities(spark, sf):
     return T.generic_entities(recs(spark, sf))
 
@@ -194,7 +205,10 @@ def tree_embedded_configs(spark, sf):
     return T.embedded_configs(T.leaves(nodes(spark, sf)))
 
 
-@query("tree_schema_map")
+@query("tree_schema_map", f"""with n as (select count(*) as n, count(*) filter ({_V} <> 10) as other from part)
+select object_type, path, "count", rank from (
+  select 'cdp_links' as object_type, '$.network.links[]' as path, n as "count", 1 as rank from n union all select 'devices', '$.network.nodes[]', 2 * n, 1 from n
+  union all select 'interfaces', '$.network.nodes[].interfaces[]', 2 * n, 1 from n union all select 'vlans', '$.network.nodes[].interfaces[]', n, 1 from n union all select 'vlans', '$.network.vlans[]', other, 2 from n)""")
 def tree_schema_map(spark, sf):
     r = recs(spark, sf)
     plain = lambda df, kind: df.select(F.lit(kind).alias("object_type"), F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"))
