@@ -14,7 +14,7 @@ from ..session import cut_lineage, shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that go to a Python worker at once, where the session doesn't say.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 #: A side of a join is broadcast only when it has been counted and has at most so many rows.
 BROADCAST_ROWS = 100_000
 

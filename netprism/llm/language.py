@@ -201,7 +201,7 @@ def predicted(text: Column, model: Model, docs: DataFrame) -> Column:
                 if new and m.langs:
                     first = len(held[0])
                     memo.update((w, first + i) for i, w in enumerate(new))
-                    held[0] = np.concatenate([held[0], *(m.score(new[i : i + 20_000]) for i in range(0, len(new), 20_000))])
+                    held[0] = np.concatenate([held[0], *(m.score(new[i : i + 4000]) for i in range(0, len(new), 4000))])
                     store[:] = [held[0]]
                 for j, ws in enumerate(chunk):
                     if not m.langs or not ws or not any(map(str.isalpha, ws)) and not any(c.isalpha() for c in texts[at - len(chunk) + j]):

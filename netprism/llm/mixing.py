@@ -21,7 +21,7 @@ from ..session import cut_lineage
 from .common import numbered, small, word_count
 
 #: Words of an output shard, and the most shards (a longer mix has longer shards).
-SHARD_WORDS, MOST_SHARDS = 1 << 22, 4096
+SHARD_WORDS, MOST_SHARDS = 1 << 20, 4096
 #: Sources that one node of the tree splits at once; more sources are split in groups of groups.
 FAN = 1024
 
