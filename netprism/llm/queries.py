@@ -60,4 +60,28 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_language, op4_exact_top_k, op5_personal_data, op6_main_text, op7_repeated_passages, op8_token_counts, op9_nearest, op10_pack_sequences)}
 #: Checking SQL by query; the others are checked against brute-force versions in tests/llm.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_exact_top_k": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as q from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, cast(list_inner_product(a.q, b.q) as bigint) as score from v a join v b on b.vec_id <> a.vec_id and len(b.q) = len(a.q) where a.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20""",
+    # every 400 bytes of every text by digest; runs of starts that stand twice; what is left, put together again
+    "op7_repeated_passages": """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+p as (select r, unnest(range(0, greatest(0, len(h) // 2 - 399))) as i from d),
+w as (select p.r, p.i, md5(substr(d.h, 2 * p.i + 1, 800)) as m from p join d on d.r = p.r),
+dup as (select r, i from w where m in (select m from w group by m having count(*) > 1)),
+g as (select r, i, case when i - lag(i) over (partition by r order by i) <= 400 then 0 else 1 end as new from dup),
+s as (select r, i, sum(new) over (partition by r order by i) as k from g),
+runs as (select r, min(i) as a, max(i) + 400 as b from s group by r, k),
+c as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as before from runs),
+n as (select r, cast(sum(b - a) as bigint) as n_removed, count(*) as n_spans, max(b) as last from runs group by r),
+parts as (
+  select c.r, c.a as place, substr(d.h, 2 * c.before + 1, 2 * (c.a - c.before)) as x from c join d on d.r = c.r
+  union all select d.r, len(d.h), substr(d.h, 2 * coalesce(n.last, 0) + 1) from d left join n on n.r = d.r),
+kept as (select r, string_agg(x, '' order by place) as h from parts group by r)
+select d.doc_id, cast(len(d.h) // 2 as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(kept.h)) as kept_sha256
+from d join kept on kept.r = d.r left join n on n.r = d.r""",
+}
