@@ -40,7 +40,8 @@ BAD_WORDS = "nav menu header footer sidebar side aside ad ads advert advertiseme
 GOOD_WORDS = "article content main post entry story body text page blog news".split()
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|y|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 _TAGS = sorted(BLOCK)
@@ -62,8 +63,11 @@ class Node:
     features: list[int] = field(default_factory=list)
 
 
-def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block elements in page order (the first is the page), and the text blocks with their elements."""
+def parse(html: str, by_hand: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
+    """Block elements in page order (the first is the page), and the text blocks with their elements.
+
+    The attribute y is read as a label only on hand-labelled pages.
+    """
     nodes = [Node("html", -1, frozenset(), False, None)]
     stack, blocks, buffer = [0], [], []
     link, at, n = 0, 0, len(html)
@@ -130,15 +134,18 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 stack.pop()
             words, off, label = frozenset(), False, None
             if m[3].strip():
-                held = []
+                held, seen = [], set()
                 for a in _ATTR.finditer(m[3]):
                     name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+                    if name in seen:  # the first of a name counts
+                        continue
+                    seen.add(name)
                     if name in ("class", "id", "role"):
                         held += [w.lower() for w in _WORDS.findall(value)]
-                    elif name == "y":
+                    elif name == "y" and by_hand:
                         label = value
-                    else:
-                        off |= name == "hidden" or "none" in value and name == "style" or value == "true"
+                    elif name == "hidden" or name == "style" and _GONE.search(value) or name == "aria-hidden" and value.strip().lower() == "true":
+                        off = True
                 words = frozenset(held)
             nodes.append(Node(tag, stack[-1], words, off, label))
             if not m[0].endswith("/>"):
@@ -249,9 +256,9 @@ def train(pages: list[str]) -> Potentials:
     """Potentials from the labelled ones of these pages and the hand-labelled ones, which weigh as much together."""
     rows, ys, weights = [], [], []
     counts = [[[1.0, 1.0], [1.0, 1.0]], [[1.0, 1.0], [1.0, 1.0]]]
-    own = [(html, 1.0) for html in pages]
-    for html, weight in [*own, *((h, max(1.0, len(own) / len(PAGES))) for h in PAGES)]:
-        nodes, _ = parse(html)
+    own = [(html, 1.0, False) for html in pages]
+    for html, weight, by_hand in [*own, *((h, max(1.0, len(own) / len(PAGES)), True) for h in PAGES)]:
+        nodes, _ = parse(html, by_hand)
         y = labels(nodes)
         if y is None:
             continue
