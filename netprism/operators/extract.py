@@ -16,6 +16,7 @@ from ..functions.text import (
     ci, contains_any, expand_vlans, joined_groups, joined_nonempty, matches, normalize_interface,
     redact_command, redact_secret, rx, rx_any, stable_id,
 )
+from ..session import written
 from .carry import CHUNK_LINES, carry_forward, first_wins, last_wins
 
 def T() -> Column:
@@ -89,6 +90,52 @@ def block_lines(lines: DataFrame, *kinds: str, chunk: int | Column = CHUNK_LINES
     return annotate(lines, [f"blk_{kind}" for kind in kinds], chunk, T().rlike(_any_of(patterns)))
 
 
+def block_source(lines: DataFrame, *kinds: str) -> DataFrame:
+    """The lines that blocks of these kinds and their tables read, written once: every table then reads the few instead of all."""
+    patterns = [fv.BLOCK_CLOSER]
+    for kind in kinds:
+        patterns += [fv.BLOCK_HEADERS[kind], *BLOCK_ATTRIBUTES[kind], *PLAIN_ROWS.get(kind, [])]
+    return written(lines.select("file_id", "line_no", "text").filter(T().rlike(_any_of(patterns))))
+
+
+def _uses(state: str) -> Column | None:
+    """Lines that meet a state, as far as its table reads them; None where it reads every line."""
+    one = lambda *patterns: T().rlike(_any_of(list(patterns)))
+    stripped = lambda rows: STRIPPED().rlike(_any_of([r[1] for r in rows]))
+    return {
+        "cdp": lambda: one(fv.CDP_PORTS, fv.CDP_PLATFORM),
+        "lldp": lambda: one(fv.LLDP_LOCAL, fv.LLDP_REMOTE, fv.LLDP_PLATFORM),
+        "trunk_section": lambda: one(fv.TRUNK_ROW, fv.TRUNK_VLAN_ROW),
+        "trunk_seen": lambda: one(fv.TRUNK_ROW, fv.TRUNK_VLAN_ROW),
+        "inventory_name": lambda: one(fv.INVENTORY_PID),
+        "vlan_header": lambda: one(fv.VLAN_BRIEF_ROW),
+        "acl_active": lambda: one(fv.ACL_MATCHES),
+        "counter": lambda: one(fv.COUNTER_INPUT, fv.COUNTER_OUTPUT, fv.COUNTER_DROPS),
+        "stp": lambda: one(fv.STP_PRIORITY, fv.STP_ADDRESS, fv.STP_COST),
+        "stp_section": lambda: one(fv.STP_ROW),
+        "secure_port": lambda: one(fv.PORT_SECURITY_STATE, fv.PORT_SECURITY_MAX, fv.PORT_SECURITY_MODE, fv.PORT_SECURITY_COUNT, fv.PORT_SECURITY_LAST),
+        "secure_state": lambda: one(fv.PORT_SECURITY_STATE),
+        "blk_vty": lambda: F.lower(T()).rlike("transport|telnet|login"),
+        "line_context": lambda: stripped(fv.MANAGEMENT_PATTERNS),
+        "features": lambda: stripped(fv.FEATURE_PATTERNS),
+        "redundancy": lambda: STRIPPED().rlike(_any_of([FHRP_ROW, GLBP_ROW])),
+        "context": lambda: T().rlike(r"^\s+[A-Za-z0-9_-]") | stripped([(n, p) for n, p in fv.COMMAND_CATEGORIES]),
+        "blk_router": lambda: ~STRIPPED().isin("", "!"),
+    }[state]() if state not in ("blk_interface", "command_start") else None
+
+
+def state_lines(lines: DataFrame, *states: str, uses: str | None = None, chunk: int | Column = CHUNK_LINES) -> DataFrame:
+    """Lines that set or meet the states, with them; all other lines go before they are dealt out.
+
+    For the table that reads these states only. `uses` names what the table reads where it isn't the state's own.
+    """
+    meets = None
+    for name in [uses] if uses else states:
+        own = _uses(name)
+        meets = own if meets is None else meets | own
+    return annotate(lines, list(states), chunk, meets)
+
+
 # --- shared row tests -------------------------------------------------------
 def _trunk_heading() -> Column:
     low = F.lower(T())
@@ -214,6 +261,14 @@ INTERFACE_ATTRIBUTES = [
     ("sticky", r"^\s*switchport\s+port-security\s+mac-address\s+sticky", None),
     ("shutdown", r"^\s*shutdown\s*$", None),
 ]
+# rows outside blocks that go into the table of a kind
+PLAIN_ROWS = {
+    "interface": [fv.TRUNK_ROW, r"^\s*interface\s+(\S+)"],
+    "vlan": [fv.VLAN_ROW, r"encapsulation\s+dot1q\s+(\d+)"],
+    "acl": [r"^\s*access-list\s+(\S+)\s+(permit|deny)\s+(.+)"],
+}
+FHRP_ROW = r"^(standby|vrrp)\s+(\d+)\s+(ip|priority|preempt|track)\s*(.*)"
+GLBP_ROW = r"^(glbp)\s+(\d+)\s+(ip|priority|preempt|weighting)\s*(.*)"
 # lines that blocks of a kind read
 BLOCK_ATTRIBUTES = {
     "interface": [p for _, p, _ in INTERFACE_ATTRIBUTES],
@@ -243,9 +298,10 @@ def interfaces(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         F.when(matches(T(), p), F.struct(F.lit(n).alias("k"), value(p, form).alias("v"))) for n, p, form in INTERFACE_ATTRIBUTES])
     own = F.when(F.col("line_no") == blk["line"], F.struct(F.lit("header").alias("k"), T().alias("v")))
     body = a.filter(blk["open"]).select("file_id", "line_no", blk["line"].alias("_line"), _once(F.coalesce(own, attribute)).alias("kv"))
-    grouped = body.groupBy("file_id", "_line").agg(*[
-        F.max_by("kv.v", F.when(F.col("kv.k") == n, F.col("line_no"))).alias(f"_{n}") for n in ["header"] + [r[0] for r in INTERFACE_ATTRIBUTES]
-    ]).withColumns({
+    # one aggregate over (block, attribute), then the few attributes of a block side by side
+    last = body.groupBy("file_id", "_line", F.col("kv.k").alias("k")).agg(F.max(F.struct("line_no", "kv.v")).alias("m"))
+    held = last.groupBy("file_id", "_line").agg(F.map_from_entries(F.collect_list(F.struct("k", "m.v"))).alias("held"))
+    grouped = held.select("file_id", "_line", *[F.col("held")[n].alias(f"_{n}") for n in ["header"] + [r[0] for r in INTERFACE_ATTRIBUTES]]).withColumns({
         "_ip_address": F.split("_ip", " ").getItem(0), "_ip_mask": F.split("_ip", " ").getItem(1),
         "access_vlan": F.col("_access_vlan"), "native_vlan": F.col("_native_vlan"), "dot1q_vlan": F.col("_dot1q_vlan"),
     })
@@ -800,8 +856,7 @@ def management_services(a: DataFrame) -> DataFrame:
 
 def gateway_redundancy(a: DataFrame) -> DataFrame:
     blk = F.col("blk_interface")
-    fhrp = r"^(standby|vrrp)\s+(\d+)\s+(ip|priority|preempt|track)\s*(.*)"
-    glbp = r"^(glbp)\s+(\d+)\s+(ip|priority|preempt|weighting)\s*(.*)"
+    fhrp, glbp = FHRP_ROW, GLBP_ROW
     g = lambda i: F.coalesce(rx(STRIPPED(), fhrp, i), rx(STRIPPED(), glbp, i))
     word = F.lower(g(1))
     name = rx(blk["text"], r"^\s*interface\s+(\S+)")

@@ -20,6 +20,10 @@ def annotated(spark: SparkSession, sf: str, *states: str) -> DataFrame:
     return X.annotate(config_lines(spark, sf), list(states))
 
 
+def with_states(spark: SparkSession, sf: str, *states: str, uses: str | None = None) -> DataFrame:
+    return X.state_lines(config_lines(spark, sf), *states, uses=uses)
+
+
 def blocks(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
     return X.block_lines(config_lines(spark, sf), *kinds)
 
@@ -115,7 +119,8 @@ interfaces as (
 
 @query("extract_interfaces", with_lines("select * from interfaces", ctes=INTERFACE_CTES))
 def extract_interfaces(spark, sf):
-    return flat(X.interfaces(blocks(spark, sf, "interface"), lines(spark, sf)))
+    few = X.block_source(lines(spark, sf), "interface")
+    return flat(X.interfaces(X.block_lines(few, "interface"), few))
 
 
 @query("extract_interface_lines", with_lines(
@@ -246,7 +251,7 @@ group by file_id, neighbor, nl, nr)"""
 
 @query("extract_cdp_links", with_lines("select * from cdp_links", ctes=BINDINGS_SQL_CDP))
 def extract_cdp_links(spark, sf):
-    return flat(X.cdp_links(annotated(spark, sf, "cdp"), lines(spark, sf)))
+    return flat(X.cdp_links(with_states(spark, sf, "cdp"), lines(spark, sf)))
 
 
 _LD = f"{m(fv.LLDP_DEVICE)} and text not like '%Device ID:%'"
@@ -265,7 +270,7 @@ from (
 group by file_id, neighbor, nl, nr""", ctes=states_cte("st", {
     "dl": f"case when {_LD} then line_no end", "dt": f"case when {_LD} then text end"})))
 def extract_lldp_links(spark, sf):
-    return flat(X.lldp_links(annotated(spark, sf, "lldp"), lines(spark, sf)))
+    return flat(X.lldp_links(with_states(spark, sf, "lldp"), lines(spark, sf)))
 
 
 _B = fv.IP_BRIEF_ROW
@@ -332,7 +337,7 @@ trunk_operational as (
 
 @query("extract_trunk_operational", with_lines("select * from trunk_operational", ctes=TRUNK_CTES))
 def extract_trunk_operational(spark, sf):
-    return flat(X.trunk_operational(annotated(spark, sf, "trunk_section", "trunk_seen")))
+    return flat(X.trunk_operational(with_states(spark, sf, "trunk_section", "trunk_seen")))
 
 
 _RR = fv.ROUTE_ROW
@@ -363,7 +368,7 @@ union all
 select file_id, 'chassis', 'show version model', {x(fv.CHASSIS_ROW)}, null, null, line_no, 0.7 from config_lines where {m(fv.CHASSIS_ROW)}""",
     ctes=states_cte("st", {"nl": f"case when {m(fv.INVENTORY_NAME)} then line_no end", "nt": f"case when {m(fv.INVENTORY_NAME)} then text end"})))
 def extract_device_inventory(spark, sf):
-    return flat(X.device_inventory(annotated(spark, sf, "inventory_name"), lines(spark, sf)))
+    return flat(X.device_inventory(with_states(spark, sf, "inventory_name"), lines(spark, sf)))
 
 
 _VB = fv.VLAN_BRIEF_ROW
@@ -376,7 +381,7 @@ select file_id, {x(_VB, 1)} as vlan, trim({x(_VB, 2)}) as name, lower({x(_VB, 3)
   case when {x(_VB, 1)} in ('1002', '1003', '1004', '1005') then 0.55 when hs then 0.84 else 0.66 end as confidence
 from st where {m(_VB)} and not {m(fv.VLAN_BRIEF_HEADER)}""", ctes=states_cte("st", {"hs": f"case when {m(fv.VLAN_BRIEF_HEADER)} then true end"})))
 def extract_vlan_brief(spark, sf):
-    return flat(X.vlan_brief(annotated(spark, sf, "vlan_header")))
+    return flat(X.vlan_brief(with_states(spark, sf, "vlan_header")))
 
 
 _AH, _CH = fv.ACL_SHOW_HEADER, fv.ACL_CONFIG_HEADER
@@ -388,7 +393,7 @@ acl_hit_counts as (
 
 @query("extract_acl_hit_counts", with_lines("select * from acl_hit_counts", ctes=ACL_HITS_CTES))
 def extract_acl_hit_counts(spark, sf):
-    return flat(X.acl_hit_counts(annotated(spark, sf, "acl_active")))
+    return flat(X.acl_hit_counts(with_states(spark, sf, "acl_active")))
 
 
 _CC = fv.COUNTER_HEADER
@@ -405,7 +410,7 @@ interface_counters as (
 
 @query("extract_interface_counters", with_lines("select * from interface_counters", ctes=COUNTER_CTES))
 def extract_interface_counters(spark, sf):
-    return flat(X.interface_counters(annotated(spark, sf, "counter")))
+    return flat(X.interface_counters(with_states(spark, sf, "counter")))
 
 
 @query("extract_stp_root", with_lines(f"""
@@ -415,7 +420,7 @@ select file_id, {x(fv.STP_VLAN, 1, 'max(st_)')} as vlan, arg_min(case when line_
 from st where sl is not null group by file_id, sl""",
     ctes=states_cte("st", {"sl": f"case when {m(fv.STP_VLAN)} then line_no end", "st_": f"case when {m(fv.STP_VLAN)} then text end"})))
 def extract_stp_root(spark, sf):
-    return flat(X.stp_root(annotated(spark, sf, "stp")))
+    return flat(X.stp_root(with_states(spark, sf, "stp")))
 
 
 _SP = fv.STP_ROW
@@ -426,7 +431,7 @@ select file_id, sv as vlan, {x(_SP, 1)} as interface, {norm(x(_SP, 1))} as norma
   0.8 as confidence from st where {m(_SP)} and {m(fv.PORT_PREFIX, x(_SP, 1))}""",
     ctes=states_cte("st", {"sv": f"case when {m(fv.STP_SECTION)} then regexp_extract(text, '[0-9]+') end"})))
 def extract_spanning_tree(spark, sf):
-    return flat(X.spanning_tree(annotated(spark, sf, "stp_section")))
+    return flat(X.spanning_tree(with_states(spark, sf, "stp_section")))
 
 
 _EC = fv.ETHERCHANNEL_ROW
@@ -478,8 +483,8 @@ from (
 group by file_id, normalized_interface, source""", ctes=INTERFACE_CTES + ", " + states_cte("pst", {
     "pl": f"case when {m(_PP)} then line_no end", "pt": f"case when {m(_PP)} then text end", "seen": f"case when {m(fv.PORT_SECURITY_STATE)} then true end"})))
 def extract_port_security(spark, sf):
-    a = annotated(spark, sf, "blk_interface", "secure_port", "secure_state")
-    return flat(X.port_security(a, X.interfaces(a, lines(spark, sf))))
+    few = X.block_source(lines(spark, sf), "interface")
+    return flat(X.port_security(with_states(spark, sf, "secure_port", "secure_state"), X.interfaces(X.block_lines(few, "interface"), few)))
 
 
 def _groups(p: str, g: int, col: str = "text") -> str:
@@ -514,7 +519,7 @@ security_hardening as (""" + _union(
 
 @query("extract_security_hardening", with_lines("select * from security_hardening", ctes=HARDENING_CTES))
 def extract_security_hardening(spark, sf):
-    return flat(X.security_hardening(annotated(spark, sf, "blk_vty"), lines(spark, sf)))
+    return flat(X.security_hardening(with_states(spark, sf, "blk_vty"), lines(spark, sf)))
 
 
 @query("extract_wireless_hints", with_lines(_union([
@@ -577,7 +582,7 @@ select file_id, line_no, coalesce(ctx, 'global') as context, category, {redact(S
   case when category = 'context_child' then 0.68 else 0.82 end as confidence
 from (select *, {_CAT} as category from st where trim(text) not in ('', '!', 'end')) where category is not null""", ctes=states_cte("st", {"ctx": _CTX})))
 def extract_config_commands(spark, sf):
-    return flat(X.all_config_commands(annotated(spark, sf, "context")))
+    return flat(X.all_config_commands(with_states(spark, sf, "context")))
 
 
 def _values(p: str, g: int) -> str:
@@ -591,7 +596,7 @@ def _values(p: str, g: int) -> str:
     + _union([f"select file_id, {_IFNAME} as interface, '{n}' as feature, {_values(p, g)} as value, {EVL}, 0.84 as confidence from blk where line_no > hl and {m(p, S)}"
               for n, p, g in fv.FEATURE_PATTERNS]) + ")", ctes=block_cte("blk", "interface")))
 def extract_interface_features(spark, sf):
-    return flat(X.interface_features(annotated(spark, sf, "blk_interface")))
+    return flat(X.interface_features(with_states(spark, sf, "blk_interface", uses="features")))
 
 
 _LC = m(r"^line\s+(vty|console|aux)\b", S)
@@ -611,7 +616,7 @@ def _management_arm(service: str, p: str, g: int, family: str) -> str:
     f"select file_id, 'line_context' as service, null as family, {S} as context, {S} as value, null as command, null as risk, {EVL}, 0.78 as confidence from st where {_LC} union all "
     + _union([_management_arm(*row) for row in fv.MANAGEMENT_PATTERNS]), ctes=states_cte("st", {"ctx": f"case when {_LC} then {S} end"})))
 def extract_management_services(spark, sf):
-    return flat(X.management_services(annotated(spark, sf, "line_context")))
+    return flat(X.management_services(with_states(spark, sf, "line_context")))
 
 
 _FH = r"^(standby|vrrp|glbp)\s+([0-9]+)\s+(ip|priority|preempt|track)\s*(.*)"
@@ -622,7 +627,7 @@ select file_id, case when lower({x(_FH, 1, S)}) = 'standby' then 'hsrp' else low
   {x(_FH, 2, S)} as "group", lower({x(_FH, 3, S)}) as action, coalesce({x(_FH, 4, S)}, 'true') as value, {EVL}, 0.84 as confidence from blk where {m(_FH, S)}""",
     ctes=block_cte("blk", "interface")))
 def extract_gateway_redundancy(spark, sf):
-    return flat(X.gateway_redundancy(annotated(spark, sf, "blk_interface")))
+    return flat(X.gateway_redundancy(with_states(spark, sf, "blk_interface", uses="redundancy")))
 
 
 _RH = r"^\s*router\s+(ospf|eigrp|rip|bgp)\s*(.*)"
@@ -635,4 +640,4 @@ select *, case when type = 'process' then 0.88 when type = 'other' then 0.62 els
       when {m('^redistribute[ ]+', S)} then 'redistribution' when {m('^neighbor[ ]+', S)} then 'neighbor' when {m('^default-information[ ]+', S)} then 'default_origination' else 'other' end as type
   from blk where {S} not in ('', '!'))""", ctes=block_cte("blk", "router")))
 def extract_routing_details(spark, sf):
-    return flat(X.routing_protocol_details(annotated(spark, sf, "blk_router")))
+    return flat(X.routing_protocol_details(with_states(spark, sf, "blk_router")))
