@@ -40,7 +40,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.without_repeats(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +136,9 @@ n as (select r, cast(sum(b - a) as bigint) as n_removed, count(*) as n_spans, ma
 parts as (
   select c.r, c.a as place, substr(d.h, 2 * c.before + 1, 2 * (c.a - c.before)) as x from c join d on d.r = c.r
   union all select d.r, len(d.h), substr(d.h, 2 * coalesce(n.last, 0) + 1) from d left join n on n.r = d.r),
-kept as (select r, string_agg(x, '' order by place) as h from parts group by r)
-select d.doc_id, cast(len(d.h) // 2 as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(kept.h)) as kept_sha256
+-- characters cut in two at an end of a part are left out of the text
+whole as (select r, place, x, regexp_replace(regexp_replace(x, '^([89AB][0-9A-F])+', ''), '([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){0,2})$', '') as t from parts),
+kept as (select r, string_agg(x, '' order by place) as h, string_agg(t, '' order by place) as t from whole group by r)
+select d.doc_id, cast(len(d.h) // 2 as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(kept.h)) as kept_sha256, decode(unhex(kept.t)) as text
 from d join kept on kept.r = d.r left join n on n.r = d.r""",
 }

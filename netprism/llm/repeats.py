@@ -9,9 +9,10 @@ Dictionary: distinct phrases. A phrase that occurs twice settles all of its stri
 Parse: where a phrase occurs once, its strings can still repeat inside other phrases, but only those whose bytes from the
 trigger on are shared. For such triggers alone, once for each distinct phrase, the dictionary's suffixes (the bytes before
 the trigger, read back) and the parse behind them (the bytes from it on) are combined: two phrases hold a string in common
-where both sides together are long enough. A trigger with many forms has its strings named by 128-bit hashes instead, and
-equal names are neighbours in the corpus order with 400 equal bytes or more. Equality is asked for, not the order itself,
-so no class has to be sorted in one place.
+where both sides together are long enough. The forms of a trigger with many of them are sorted: by the bytes from the trigger
+on, then by those before it. What a form shares with its neighbours in either order bounds what it shares with any; strings
+that these bounds leave open are named by 128-bit hashes, and equal names are equal strings. Ranges of the order are tasks of
+their own, so no trigger has to be sorted in one place.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import written
 LENGTH = 400
 #: Places of a window, and bytes that a rolling hash looks at; together at most LENGTH.
 WINDOW, GRAM = 240, 16
-#: Phrases of one trigger that are held against each other; of more, the strings are named one by one.
+#: Phrases of one trigger that are held against each other; more are sorted, and what order leaves open is named.
 PAIRED_FORMS = 64
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -147,21 +148,108 @@ def repeated(docs: DataFrame, texts: DataFrame, key: str = "doc_id", text: str =
     forms = named.mapInPandas(bytes_of, "follow long, id string, th long, first int, last int, before int, alone boolean, data binary")
     few = forms.repartition("follow").sortWithinPartitions("follow").mapInPandas(paired, "id string, th long, first int, last int")
 
+    single = _named(_open_strings(named, length), length)
+    return often.union(few).union(single).groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # bounded by the text
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes that both begin with."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
+    return int((x != y).argmax())
+
+
+def _beside(batches: Iterator[pd.DataFrame], side, whole: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows, and the most bytes that the side of each has in common with its neighbours of one trigger.
+
+    In sorted order no other row has more. The first and last row of a partition may have neighbours elsewhere: they count as `whole`.
+    """
+    before: tuple | None = None
+    held: tuple[pd.DataFrame, list[int]] | None = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        keys = list(zip(pdf["follow"], map(side, pdf["data"], pdf["before"]), strict=True))
+        most = [0] * len(keys)
+        if before is None:
+            most[0] = whole
+        for i in range(len(keys)):
+            last = before if i == 0 else keys[i - 1]
+            if last is not None and last[0] == keys[i][0]:
+                c = _common(last[1], keys[i][1])
+                most[i] = max(most[i], c)
+                if i:
+                    most[i - 1] = max(most[i - 1], c)
+                elif held is not None:
+                    held[1][-1] = max(held[1][-1], c)
+        if held is not None:
+            yield held[0], np.array(held[1])
+        held, before = (pdf, most), keys[-1]
+    if held is not None:
+        held[1][-1] = whole
+        yield held[0], np.array(held[1])
+
+
+def _open_strings(named: DataFrame, length: int) -> DataFrame:
+    """Forms of triggers with many forms, as suffix order leaves them open: a string needs as many bytes on either side of the
+    trigger as another form shares.
+
+    Forms are sorted by their bytes from the trigger on, those that can't reach go, and the rest is sorted by the bytes before
+    it. Ranges of the order are dealt out, so a trigger with many forms is many tasks.
+    """
+    schema = "follow long, id string, th long, first int, last int, before int, alone boolean, data binary, low int, high int"
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p["follow"], i, th, p["first"], p["last"], p["before"], p["alone"], data[p["first"] : p["last"] + length], 0, 0) for i, th, data, places in zip(pdf["id"], pdf["th"], pdf["data"], pdf["places"], strict=True) for p in places if p["hot"]]
+            for lo in range(0, len(rows), 20_000):
+                yield pd.DataFrame(rows[lo : lo + 20_000], columns=[x.split()[0] for x in schema.split(", ")])
+
+    def right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, most in _beside(batches, lambda d, before: d[before:], length):
+            # bytes of a string before the trigger: as many as its other side leaves, as many as its phrase allows
+            low = np.maximum(length - most, pdf["before"].to_numpy() - (pdf["last"] - pdf["first"]).to_numpy())
+            pdf = pdf.assign(low=low.astype(np.int32))
+            if len(out := pdf[low <= pdf["before"].to_numpy()]):
+                yield out
+
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, most in _beside(batches, lambda d, before: d[:before][::-1], length):
+            pdf = pdf.assign(high=np.minimum(most, pdf["before"].to_numpy()).astype(np.int32))
+            if len(out := pdf[pdf["low"] <= pdf["high"]]):
+                yield out
+
+    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lambda df, *by: df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    hot = written(named.where(F.exists("places", lambda p: p["hot"])).mapInPandas(forms, schema))
+    after = hot.withColumn("side", F.expr("substring(data, before + 1)"))
+    kept = written(ordered(after, "follow", "side", "id", "first").drop("side").mapInPandas(right, schema))
+    ahead = kept.withColumn("side", F.reverse(F.hex(F.expr("substring(data, 1, before)"))))  # sorts by bytes backward: their two digits swap alike
+    return ordered(ahead, "follow", "side", "id", "first").drop("side").mapInPandas(left, schema)
+
+
+def _named(open_: DataFrame, length: int) -> DataFrame:
+    """(id, th, first, last) of open strings of phrases that stand alone and have the name of another: equal names are equal strings."""
+
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name = xxhash.xxh3_128_digest
         for pdf in batches:
-            for i, th, data, places in zip(pdf["id"], pdf["th"], pdf["data"], pdf["places"], strict=True):
+            rows = []
+            for i, th, first, before, alone, data, low, high in pdf[["id", "th", "first", "before", "alone", "data", "low", "high"]].itertuples(index=False, name=None):
                 view = memoryview(data)
-                at = [(s, bool(p["alone"])) for p in places if p["hot"] for s in range(p["first"], p["last"] + 1)]
-                for lo in range(0, len(at), 1 << 16):
-                    some = at[lo : lo + (1 << 16)]
-                    yield pd.DataFrame({"name": [name(view[s : s + length]) for s, _ in some], "id": i, "th": th, "start": [s for s, _ in some], "alone": [a for _, a in some]})
+                rows += [(name(view[before - b : before - b + length]), i, th, first + before - b, alone) for b in range(low, high + 1)]
+                if len(rows) > 1 << 16:
+                    yield pd.DataFrame(rows, columns=["name", "id", "th", "start", "alone"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["name", "id", "th", "start", "alone"])
 
-    # where a trigger has too many forms to pair, each of their strings gets its name; a name that no phrase alone holds isn't asked for
-    strings = named.where(F.exists("places", lambda p: p["hot"])).mapInPandas(names, "name binary, id string, th long, start int, alone boolean")
+    strings = written(open_.mapInPandas(names, "name binary, id string, th long, start int, alone boolean"))
+    # a name that no phrase alone holds isn't asked for
     twice = strings.groupBy("name").agg(F.count("*").alias("n"), F.max("alone").alias("alone")).where("n > 1 and alone").select("name")
-    single = strings.where("alone").join(twice, "name", "left_semi").select("id", "th", F.col("start").alias("first"), F.col("start").alias("last"))
-    return often.union(few).union(single).groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # bounded by the text
+    return strings.where("alone").join(twice, "name", "left_semi").select("id", "th", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
 def extended(forms: list[tuple], length: int, window: int) -> list[tuple]:
@@ -207,7 +295,9 @@ def spans(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept, removed) for every row: the bytes left, and the spans taken out.
+    """(key, n_bytes, n_removed, n_spans, kept, text, removed) for every row: the bytes left, and the spans taken out.
+
+    text is what is left without characters that a span cuts in two.
 
     Null and empty texts, and texts shorter than `length`, keep all. Rows of equal text are each other's repeats; matches
     never cross rows. Very long texts are parsed whole; an empty table gives no rows; other columns are not read.
@@ -216,7 +306,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     runs = repeated(docs, texts, key, text, length, window)  # with the same texts, so that Spark deals them out once
 
-    @F.pandas_udf("struct<n_removed:bigint,n_spans:bigint,kept:binary,removed:array<struct<start:bigint,end:bigint>>>")
+    @F.pandas_udf("struct<n_removed:bigint,n_spans:bigint,kept:binary,text:string,removed:array<struct<start:bigint,end:bigint>>>")
     def cut(data: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = []
         for d, f in zip(data, found, strict=True):
@@ -225,10 +315,11 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             for a, b in out:
                 kept.append(d[at:a])
                 at = b
-            rows.append((sum(b - a for a, b in out), len(out), b"".join([*kept, d[at:]]), [{"start": a, "end": b} for a, b in out]))
-        return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept", "removed"])
+            kept.append(d[at:])
+            rows.append((sum(b - a for a, b in out), len(out), b"".join(kept), "".join(x.decode("utf-8", "ignore") for x in kept), [{"start": a, "end": b} for a, b in out]))
+        return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept", "text", "removed"])
 
-    none = F.struct(F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("data").alias("kept"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"))
+    none = F.struct(F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("data").alias("kept"), F.col("data").cast("string").alias("text"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"))
     joined = texts.join(runs, ["id", "th"], "left")
     done = joined.withColumn("r", F.when(F.col("runs").isNull(), none).otherwise(cut(F.when(F.col("runs").isNotNull(), F.col("data")).otherwise(F.lit(b"")), F.coalesce("runs", F.array().cast("array<struct<first:int,last:int>>")))))
     return done.select(F.col("__key").alias(key), F.octet_length("data").cast("long").alias("n_bytes"), "r.*")
