@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions.net import DOTTED_STRICT, cidr_base, cidr_prefix, ip_to_long, prefix_mask
 
 from .wireless import _grade, _level
 
@@ -313,6 +314,23 @@ def subnet_inventory(members: DataFrame) -> DataFrame:
         *[F.min_by("name", F.when(F.col("kind") == k, F.col("line"))).alias(f"first_{k}") for k in kinds])
 
 
+def longest_match(addresses: DataFrame, ip: str, subnets: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """addresses with the narrowest subnet that holds them (`cidr`, null if none) and the number that do (`nets`).
+
+    subnets: `cidr` and the keys. An address becomes one prefix for each prefix length that its keys know (33 at most), and
+    prefixes meet subnets by equality, so no range is compared. Subnets that repeat count once; invalid ones are left out.
+    """
+    keys = keys or []
+    own = [c for c in addresses.columns if c not in ("cidr", "nets")]
+    nets = subnets.select(*keys, "cidr", cidr_base(F.col("cidr")).alias("_base"), cidr_prefix(F.col("cidr")).alias("_len")).filter("_base is not null and _len is not null").distinct()
+    rows = addresses.select(*own, F.when(F.col(ip).rlike(DOTTED_STRICT), ip_to_long(F.col(ip))).alias("_n"))
+    asked = rows.select(*keys, "_n").filter("_n is not null").distinct()
+    lens = asked.join(nets.groupBy(*keys).agg(F.collect_set("_len").alias("_lens")), keys) if keys else asked.withColumn("_lens", F.sequence(F.lit(0), F.lit(32)))
+    prefixes = lens.select(*keys, "_n", F.explode("_lens").alias("_len")).withColumn("_base", F.col("_n").bitwiseAND(prefix_mask(F.col("_len"))))
+    found = prefixes.join(nets, [*keys, "_base", "_len"]).groupBy(*keys, "_n").agg(F.max_by("cidr", F.struct("_len", "cidr")).alias("cidr"), F.count("*").alias("nets"))
+    return rows.join(found, [*keys, "_n"], "left").select(*own, "cidr", F.coalesce("nets", F.lit(0)).cast("long").alias("nets"))
+
+
 def evaluate_rules(rules: DataFrame, facts: DataFrame) -> DataFrame:
     """Declarative rules over a fact view.
 

@@ -213,11 +213,15 @@ def playbooks(found: DataFrame) -> DataFrame:
 
 
 def access_decisions(clients: DataFrame, ssids: DataFrame, isolation: DataFrame, actions: list[str]) -> DataFrame:
-    """Policy verdict for every client and action; isolation holds `ssid, isolation_status`."""
+    """Policy verdict for every client and action; isolation holds `ssid, isolation_status`, and `client` where it is known for each."""
     asked = clients.select("name", "role", F.explode(F.array(*[F.lit(a) for a in actions])).alias("action"))
     _, by_role = ssid_dimensions(ssids)
     df = asked.join(by_role, F.lower("role") == F.col("_role_key"), "left").withColumn("policy", F.col("_by_role"))
-    df = df.join(isolation.select(F.col("ssid").alias("_iso_ssid"), "isolation_status"), F.col("policy.ssid") == F.col("_iso_ssid"), "left")
+    same = F.col("policy.ssid") == F.col("_iso_ssid")
+    known = isolation.withColumnRenamed("ssid", "_iso_ssid")
+    if "client" in isolation.columns:
+        known, same = known.withColumnRenamed("client", "_iso_client"), same & (F.col("name") == F.col("_iso_client"))
+    df = df.join(known, same, "left")
     a = F.col("action")
     service = F.when(a.contains("Internal"), "Internal Portal").when(a.contains("Internet"), "Internet").when(a.contains("ERP"), "ERP").otherwise(a)
     allowed = F.coalesce(F.array_contains("policy.allowed_services", service), F.lit(False)) | (

@@ -257,18 +257,22 @@ def extract_cdp_links(spark, sf):
 _LD = f"{m(fv.LLDP_DEVICE)} and text not like '%Device ID:%'"
 
 
-@query("extract_lldp_links", with_lines(f"""
+LLDP_CTES = states_cte("st_lldp", {
+    "dl": f"case when {_LD} then line_no end", "dt": f"case when {_LD} then text end"}) + f""",
+lldp_links as (
 select file_id, arg_max(neighbor, line) as neighbor, arg_max(struct_pack(v := l), line)['v'] as local_interface, arg_max(struct_pack(v := r), line)['v'] as remote_interface,
   arg_max(struct_pack(v := platform), line)['v'] as platform, max(line) as evidence_line, arg_max(conf, line) as confidence
 from (
   select *, {norm('l')} as nl, {norm('r')} as nr from (
     select file_id, trim({x(fv.LLDP_DEVICE, col='max(dt)')}) as neighbor, arg_max({x(fv.LLDP_LOCAL)}, line_no) as l, arg_max({x(fv.LLDP_REMOTE)}, line_no) as r,
-      arg_max(trim({x(fv.LLDP_PLATFORM)}), line_no) as platform, dl as line, 0.78 as conf from st where dl is not null group by file_id, dl
+      arg_max(trim({x(fv.LLDP_PLATFORM)}), line_no) as platform, dl as line, 0.78 as conf from st_lldp where dl is not null group by file_id, dl
     union all
     select file_id, {x(fv.LLDP_TABLE_ROW, 1)}, {x(fv.LLDP_TABLE_ROW, 2)}, {x(fv.LLDP_TABLE_ROW, 3)}, 'lldp table', line_no, 0.7 from config_lines
     where {m(fv.LLDP_TABLE_ROW)} and {m(fv.PORT_PREFIX_LLDP, x(fv.LLDP_TABLE_ROW, 2))}))
-group by file_id, neighbor, nl, nr""", ctes=states_cte("st", {
-    "dl": f"case when {_LD} then line_no end", "dt": f"case when {_LD} then text end"})))
+group by file_id, neighbor, nl, nr)"""
+
+
+@query("extract_lldp_links", with_lines("select * from lldp_links", ctes=LLDP_CTES))
 def extract_lldp_links(spark, sf):
     return flat(X.lldp_links(with_states(spark, sf, "lldp"), lines(spark, sf)))
 

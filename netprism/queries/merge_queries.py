@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as X
 from ..operators import merge as M
-from ..session import keep
+from ..session import keep, written
 from .bindings import CONFIG_LINES_SQL, WIRELESS_SQL, aps, config_lines, ssids, table
 from .duck import m, norm, x
 from .extract_queries import BINDINGS_SQL_CDP, INTERFACE_CTES, IP_INVENTORY_CTE, STATUS_CTE, annotated
@@ -130,10 +130,18 @@ select distinct file_id, neighbor as id, 'inferred_from_link' as role from cdp_l
   select 1 from config_lines h where h.file_id = c.file_id and {x(r'^[ ]*hostname[ ]+([^ ]+)', col='h.text')} = c.neighbor)""")
 def merge_inferred_devices(spark, sf):
     plain = config_lines(spark, sf)
-    links = X.cdp_links(annotated(spark, sf, "cdp"), plain).select("file_id", F.lit(None).cast("string").alias("device"), "neighbor")
-    hosts = X.devices(plain).filter("role = 'network_device'")
-    none = spark.createDataFrame([], "file_id long, device string, access_vlan string, native_vlan string, dot1q_vlan string, trunk_allowed_vlans array<string>, id string")
-    return M.inferred_entities(hosts, none, links, none)[0]
+    return inferred(plain)[0]
+
+
+def inferred(plain):
+    """Over all devices, ports, links and VLANs; a port belongs to the device that its file names first."""
+    named = X.devices(plain)
+    host = named.filter("role = 'network_device'").groupBy("file_id").agg(F.min_by("hostname", "evidence.source_line").alias("device"))
+    few = X.block_source(plain, "interface")
+    ports = written(X.interfaces(X.block_lines(few, "interface"), few).join(host, "file_id", "left"))
+    links = X.cdp_links(X.state_lines(plain, "cdp"), plain).join(host, "file_id", "left").select("file_id", "device", "neighbor")
+    defined = plain.select("file_id", F.nullif(F.regexp_extract("text", r"(?i)^[ ]*vlan[ ]+([0-9]+)", 1), F.lit("")).alias("id")).filter("id is not null")
+    return M.inferred_entities(named.filter("role = 'network_device'"), ports, links, defined)
 
 
 @query("merge_inferred_vlans", f"""{_L}, {INTERFACE_CTES}, _ref as (
@@ -143,10 +151,7 @@ select file_id, id, case when min(p) = 0 then 'inferred_from_interface' else 'in
 where id is not null and regexp_full_match(id, '[0-9]+') and not exists (select 1 from _def d where d.file_id = r.file_id and d.id = r.id) group by 1, 2""")
 def merge_inferred_vlans(spark, sf):
     plain = config_lines(spark, sf)
-    ports = keep(X.interfaces(X.block_lines(plain, "interface"), plain)).withColumn("device", F.lit(None).cast("string"))
-    defined = plain.select("file_id", F.nullif(F.regexp_extract("text", r"(?i)^[ ]*vlan[ ]+([0-9]+)", 1), F.lit("")).alias("id")).filter("id is not null")
-    links = ports.limit(0).select("file_id", F.col("name").alias("device"), F.col("name").alias("neighbor"))
-    return M.inferred_entities(ports.limit(0).select("file_id", F.col("name").alias("id")), ports, links, defined)[1]
+    return inferred(plain)[1]
 
 
 @query("merge_snapshot_diff", """select coalesce(a.k, b.k) as object_type, coalesce(a.n, 0) as before, coalesce(b.n, 0) as after, coalesce(b.n, 0) - coalesce(a.n, 0) as delta

@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions.net import network_cidr
 from ..operators import extract as X
 from ..operators import policy as P
+from ..operators import wireless as W
 from ..plans.importing import diff_of_lines
-from ..session import keep
+from ..session import keep, written
 from .bindings import table, CONFIG_LINES_SQL, WIRELESS_SQL, clients, config_lines, ssids, wireless_events
 from .duck import block_cte, lit, m, x
 from .extract_queries import (
     ACL_CTES, ACL_HITS_CTES, COUNTER_CTES, DHCP_CTES, HARDENING_CTES, INTERFACE_CTES, TRUNK_CTES, annotated,
 )
-from .registry import query
-from .wireless_queries import ANOMALY_CTES, CHECK_CTES, MATRIX_CTES, all_anomalies
+from .registry import SQL, query
+from .wireless_queries import ACTIONS, ANOMALY_CTES, CHECK_CTES, MATRIX_CTES, all_anomalies
 
 _LINES = f"with {CONFIG_LINES_SQL}"
 
+
+def _number(ip: str) -> str:
+    return " + ".join(f"cast(split_part({ip}, '.', {i + 1}) as bigint) * {256 ** (3 - i)}" for i in range(4))
+
+
 BINDING_CTE = """
 bindings as (
   select file_id, acl_in as acl_name, name as interface, 'in' as direction, evidence_line as binding_line from interfaces where acl_in is not null
@@ -183,6 +190,22 @@ def policy_diff(spark, sf):
     return diffs_of(spark, sf)
 
 
+# a client is guarded where the configuration of one of its sites (the files of its orders) proves the isolation
+@query("wireless_access_decisions", f"""{_DIFF_HEAD},
+_guard as (select c_name as client, asset as ssid, max(status = 'Pass') as proven from diffs join orders on o_orderkey = file_id join customer on c_custkey = o_custkey where category = 'Guest Isolation' group by 1, 2),
+_asked as (select c.name, c.role, unnest([{', '.join(lit(a) for a in ACTIONS)}]) as action from clients c),
+_svc as (select a.*, s.*, g.proven, case when action like '%Internal%' then 'Internal Portal' when action like '%Internet%' then 'Internet' when action like '%ERP%' then 'ERP' else action end as service
+  from (select name, role as client_role, action from _asked) a left join ssids s on lower(s.role) = lower(a.client_role) left join _guard g on g.client = a.name and g.ssid = s.ssid),
+_res as (select *, case when internal_access = 'false' and (action like '%Internal%' or action like '%ERP%' or action like '%File%') then case when proven then 'Pass' else 'Fail' end
+  when list_contains(allowed_services, service) or (service = 'Internet' and internet) then 'Pass' else 'Review' end as status from _svc)
+select name as client, action, ssid, expected_vlan as vlan, service, status, case status when 'Pass' then 'Info' when 'Fail' then 'Critical' else 'Medium' end as severity from _res""")
+def wireless_access_decisions(spark, sf):
+    checks = diffs_of(spark, sf).filter("category = 'Guest Isolation'").select(F.col("file_id").alias("o_orderkey"), F.col("asset").alias("ssid"), "status")
+    sites = table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("client")), "o_custkey")
+    isolation = checks.join(sites, "o_orderkey").groupBy("client", "ssid").agg(F.when(F.max(F.col("status") == "Pass"), "Pass").otherwise("Fail").alias("isolation_status"))
+    return W.access_decisions(clients(spark, sf), ssids(spark), isolation, ACTIONS)
+
+
 _OWNER = "case category " + " ".join(f"when {lit(k)} then {lit(v[0])}" for k, v in fv.ROOT_CAUSE_TABLE.items()) + f" else {lit(fv.ROOT_CAUSE_DEFAULT[0])} end"
 _CMDS = "case category " + " ".join(f"when {lit(k)} then {lit(' ; '.join(v[1]))}" for k, v in fv.ROOT_CAUSE_TABLE.items()) + f" else {lit(' ; '.join(fv.ROOT_CAUSE_DEFAULT[1]))} end"
 
@@ -269,16 +292,14 @@ def policy_risk_atoms(spark, sf):
     return P.risk_atoms(X.security_hardening(a), X.interface_counters(a), P.vlan_crosscheck(cross_inputs(spark, sf)), X.acl_hit_counts(a))
 
 
-_LINKS = f"select file_id from config_lines where {m(fv.CDP_DEVICE)} or ({m(fv.LLDP_DEVICE)} and text not like '%Device ID:%')"
-
-
 @query("policy_controls", f"""{_CROSS_HEAD}, {HARDENING_CTES}, {COUNTER_CTES}, {ACL_HITS_CTES}, {ACL_CTES}, {BINDING_CTE},
+_ports as (select file_id from ({SQL['extract_port_security']})), _links as (select file_id from ({SQL['extract_cdp_links']}) union all select file_id from ({SQL['extract_lldp_links']})),
 _n as (
   select f.file_id, (select count(*) from acl_rules r where r.file_id = f.file_id and exists (select 1 from bindings b where b.file_id = r.file_id and b.acl_name = r.acl_name)) as acl,
     (select count(*) from trunk_operational t where t.file_id = f.file_id) as trunk, (select count(*) from interfaces i where i.file_id = f.file_id and (mode = 'trunk' or trunk_allowed_vlans <> '')) as trunk_config,
     (select count(*) from security_hardening h where h.file_id = f.file_id and posture = 'weak') as weak,
-    (select count(*) from interfaces i where i.file_id = f.file_id and (port_security_enabled or port_security_max is not null or port_security_violation is not null)) as secure,
-    (select count(*) from ({_LINKS}) l where l.file_id = f.file_id) as links, (select count(*) from interface_counters c where c.file_id = f.file_id and input_errors + output_errors + crc > 0) as errors,
+    (select count(*) from _ports p where p.file_id = f.file_id) as secure,
+    (select count(*) from _links l where l.file_id = f.file_id) as links, (select count(*) from interface_counters c where c.file_id = f.file_id and input_errors + output_errors + crc > 0) as errors,
     (select count(*) from acl_hit_counts h where h.file_id = f.file_id and matches > 0) as hits, (select count(*) from crosscheck x where x.file_id = f.file_id and missing_from_trunks) as missing
   from (select distinct file_id from config_lines) f)
 select file_id, 'SEG-ACL-APPLIED' as control, case when acl > 0 then 'pass' else 'review' end as status, case when acl > 0 then 'Info' else 'High' end as severity, acl as amount, case when acl > 0 then 0.9 else 0.45 end as confidence from _n
@@ -290,16 +311,18 @@ union all select file_id, 'INTERFACE-ERROR-HEALTH', case when errors > 0 then 'f
 union all select file_id, 'ACL-RUNTIME-HITS', case when hits > 0 then 'pass' else 'review' end, 'Medium', hits, case when hits > 0 then 0.83 else 0.42 end from _n
 union all select file_id, 'VLAN-TRUNK-CROSSCHECK', case when missing > 0 then 'fail' else 'pass' end, case when missing > 0 then 'High' else 'Info' end, missing, 0.84 from _n""")
 def policy_controls(spark, sf):
-    lines = config_lines(spark, sf)
-    a = keep(X.annotate(lines, ["blk_interface", "blk_vty", "blk_acl", "trunk_section", "trunk_seen", "counter", "acl_active"]))
-    interfaces = keep(X.interfaces(a, lines))
-    # per-port evidence of the running configuration; links are counted by their detail headers
-    secure = interfaces.filter(F.col("port_security_enabled") | F.col("port_security_max").isNotNull() | F.col("port_security_violation").isNotNull())
-    t = F.col("text")
-    links = lines.filter(t.rlike("(?i)" + fv.CDP_DEVICE) | (t.rlike("(?i)" + fv.LLDP_DEVICE) & ~t.contains("Device ID:")))
+    return controls_of(config_lines(spark, sf), cross_inputs(spark, sf))
+
+
+def controls_of(lines, observed):
+    few = X.block_source(lines, "interface", "acl")
+    interfaces = written(X.interfaces(X.block_lines(few, "interface"), few))
+    state = lambda *names: X.state_lines(lines, *names)
+    links = X.cdp_links(state("cdp"), lines).select("file_id").unionByName(X.lldp_links(state("lldp"), lines).select("file_id"))
     return P.policy_controls(
-        lines.select("file_id").distinct(), P.bind_acls(X.acl_rules(a, lines), interfaces), X.trunk_operational(a), interfaces, X.security_hardening(a, lines), secure, links,
-        X.interface_counters(a), X.acl_hit_counts(a), P.vlan_crosscheck(cross_inputs(spark, sf)))
+        lines.select("file_id").distinct(), P.bind_acls(X.acl_rules(X.block_lines(few, "acl"), few), interfaces), X.trunk_operational(state("trunk_section", "trunk_seen")), interfaces,
+        X.security_hardening(state("blk_vty"), lines), X.port_security(state("secure_port", "secure_state"), interfaces), links,
+        X.interface_counters(state("counter")), X.acl_hit_counts(state("acl_active")), P.vlan_crosscheck(observed))
 
 
 _RTE = r"^\s*ip route\s+(\S+)\s+(\S+)\s+(\S+)(?:\s+(.+))?"
@@ -318,6 +341,26 @@ def subnet_inventory(spark, sf):
     return P.subnet_inventory(P.subnet_members(interfaces, pools, X.static_routes(config_lines(spark, sf))))
 
 
+@query("subnet_of_address", f"""{_LINES}, {INTERFACE_CTES}, {DHCP_CTES},
+_nets as (
+  select distinct file_id, cidr, cast(split_part(cidr, '/', 2) as int) as len, {_number("split_part(cidr, '/', 1)")} as base from (
+    select file_id, cidr from interfaces where cidr is not null union all select file_id, cidr from dhcp_scopes where cidr is not null
+    union all select file_id, '0.0.0.0/0' from config_lines where {m(_RTE)}
+    union all select distinct file_id, '10.10.0.0/16' from config_lines where {m(r"^ network 10[.]10[.]0[.]0 0[.]0[.]255[.]255 area 0")})),
+_ips as (select distinct file_id, ip_address, {_number('ip_address')} as n from ({SQL['extract_ip_inventory']}) where ip_address is not null)
+select i.file_id, i.ip_address, arg_max(c.cidr, c.len) as cidr, count(c.cidr) as nets
+from _ips i left join _nets c on c.file_id = i.file_id and i.n >= c.base and i.n < c.base + (cast(1 as bigint) << (32 - c.len)) group by 1, 2""")
+def subnet_of_address(spark, sf):
+    """Addresses of the interface tables in the subnets of interfaces, pools, routes and routing networks of their file."""
+    interfaces, pools, _ = wired(spark, sf)
+    lines = config_lines(spark, sf)
+    nets = P.subnet_members(interfaces, pools, X.static_routes(lines)).select("file_id", "cidr")
+    area = r"^ network (\S+) (\S+) area"
+    routed = lines.filter(F.col("text").rlike(area)).select("file_id", network_cidr(F.regexp_extract("text", area, 1), F.regexp_extract("text", area, 2)).alias("cidr")).filter("cidr is not null")
+    addresses = X.ip_inventory(lines).filter("ip_address is not null").select("file_id", "ip_address").distinct()
+    return P.longest_match(addresses, "ip_address", nets.unionByName(routed), ["file_id"]).select("file_id", "ip_address", "cidr", "nets")
+
+
 @query("policy_rule_evaluation", f"""with {WIRELESS_SQL},
 rules(rule_id, condition_left, operator, condition_value, severity) as (values ('PS-ROLE-KNOWN', 'client.role', 'not_contains', 'Guest', 'High'), ('PS-VLAN-10', 'client.vlan', 'equals', '10', 'Medium'),
   ('PS-AP-SUPPORT', 'ap.supported_vlans', 'contains', '10', 'High'), ('PS-AP-CAPACITY', 'ap.max_clients', 'greater_than', '9', 'Low')),

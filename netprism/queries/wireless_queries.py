@@ -137,19 +137,6 @@ def wireless_playbooks(spark, sf):
 ACTIONS = ["Open Internal Portal", "Browse Internet", "Use ERP", "File Server"]
 
 
-@query("wireless_access_decisions", f"""{_W},
-_asked as (select c.name, c.role, unnest([{', '.join(lit(a) for a in ACTIONS)}]) as action from clients c),
-_svc as (select a.*, s.*, case when action like '%Internal%' then 'Internal Portal' when action like '%Internet%' then 'Internet' when action like '%ERP%' then 'ERP' else action end as service
-  from (select name, role as client_role, action from _asked) a left join ssids s on lower(s.role) = lower(a.client_role)),
-_res as (select *, case when internal_access = 'false' and (action like '%Internal%' or action like '%ERP%' or action like '%File%') then 'Fail'
-  when list_contains(allowed_services, service) or (service = 'Internet' and internet) then 'Pass' else 'Review' end as status from _svc)
-select name as client, action, ssid, expected_vlan as vlan, service, status, case status when 'Pass' then 'Info' when 'Fail' then 'Critical' else 'Medium' end as severity from _res""")
-def wireless_access_decisions(spark, sf):
-    c, s, _ = dims(spark, sf)
-    unproven = s.select("ssid", F.lit("Fail").alias("isolation_status"))
-    return W.access_decisions(c, s, unproven, ACTIONS)
-
-
 @query("wireless_roaming_transitions", f"""{_W},
 _prev as (select *, last_value(case when type in ('roaming', 'association') then coalesce(to_ap, ap) end ignore nulls)
   over (partition by client order by ts, id rows between unbounded preceding and 1 preceding) as previous_ap from wevents)
