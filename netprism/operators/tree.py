@@ -177,28 +177,73 @@ def embedded_configs(leaf: DataFrame) -> DataFrame:
 
 
 # --- records ----------------------------------------------------------------
+WRAPPER_LEVELS = 2
+
+
 def records(nodes: DataFrame) -> DataFrame:
     """Object nodes with their scalar and list fields as token -> text, wrappers lifted into them.
 
-    A field inside a known wrapper (attributes, ipv4, switchport ...) counts as
-    a field of the record, after its own fields, and as `wrapper_field`.
+    A field inside a known wrapper (attributes, ipv4, switchport ...), or inside a wrapper of a wrapper, counts as a field
+    of the record after its own fields, and as `wrapper_field`. Lists of {key, value} pairs in a wrapper are fields too, and
+    a record that is such a pair carries the field that it names.
     """
     objects = nodes.filter("type = 'object'")
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    is_a = lambda v, kind: F.schema_of_variant(v).startswith(kind)
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    entries = lambda v: F.coalesce(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+    field = lambda name, value: F.struct(key_token(name).alias("k"), value.alias("v"))
+    pick = lambda v, keys: F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in keys])
+
+    def pair(v: Column) -> Column:
+        name, value = pick(v, fv.PAIR_NAME_KEYS), pick(v, fv.PAIR_VALUE_KEYS)
+        return F.when(name.isNotNull() & value.isNotNull(), field(name, value))
+
+    def plain(v: Column) -> Column:
+        return F.transform(F.filter(entries(v), lambda e: ~is_a(e["value"], "OBJECT")), lambda e: field(e["key"], text(e["value"])))
+
+    def lifted(v: Column, levels: int) -> Column:
+        """Fields of the wrappers of an object, by their own name and with that of the wrapper before it."""
+        wraps = F.filter(entries(v), lambda e: e["key"].isin(*fv.WRAPPER_KEYS))
+
+        def of(e: Column) -> Column:
+            inner = F.transform(F.filter(entries(e["value"]), lambda x: ~is_a(x["value"], "OBJECT")), lambda x: F.array(
+                field(x["key"], text(x["value"])), field(F.concat(e["key"], F.lit("_"), x["key"]), text(x["value"]))))
+            deeper = lifted(e["value"], levels - 1) if levels > 1 else none
+            listed = F.filter(F.transform(F.coalesce(F.try_variant_get(e["value"], "$", "array<variant>"), F.array().cast("array<variant>")), pair), lambda x: x.isNotNull())
+            return F.when(is_a(e["value"], "OBJECT"), F.concat(F.flatten(inner), deeper)).when(is_a(e["value"], "ARRAY"), listed).otherwise(none)
 
-    def fields(v: Column, prefix: str = "") -> Column:
-        entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-        plain = F.filter(entries, lambda e: ~F.schema_of_variant(e["value"]).startswith("OBJECT"))
-        return F.coalesce(F.transform(plain, lambda e: F.struct(key_token(F.concat(F.lit(prefix), e["key"])).alias("k"), F.try_variant_get(e["value"], "$", "string").alias("v"))),
-                          F.array().cast("array<struct<k:string,v:string>>"))
+        return F.flatten(F.transform(wraps, of))
 
-    all_entries = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
-    wrapped = F.filter(all_entries, lambda e: e["key"].isin(*fv.WRAPPER_KEYS) & F.schema_of_variant(e["value"]).startswith("OBJECT"))
-    lifted = F.flatten(F.transform(wrapped, lambda e: fields(e["value"])))
     usable = lambda s: s["v"].isNotNull() & ~s["v"].isin("", "[]", "{}")
-    return objects.select("file_id", "path", "depth", F.filter(F.concat(fields(F.col("v")), lifted), usable).alias("fields"),
+    v = F.col("v")
+    own = F.concat(plain(v), lifted(v, WRAPPER_LEVELS), F.filter(F.array(pair(v)), lambda x: x.isNotNull()))
+    return objects.select("file_id", "path", "depth", F.filter(own, usable).alias("fields"),
                           F.split(F.regexp_replace(path_hint(F.col("path")), "[^a-z0-9]+", " "), " ").alias("terms"))
 
 
+def with_device(rows: DataFrame, device_rows: DataFrame, ref: str | None = None) -> DataFrame:
+    """rows with `device`: the device that they name in `ref`, else the nearest device record above their path.
+
+    Every prefix of the path is a possible owner; the longest one that is a device counts.
+    """
+    own = device_rows.groupBy("file_id", F.col("path").alias("up")).agg(F.min("id").alias("id"))
+    ancestors = rows.select("file_id", "path", F.explode(_prefixes(F.col("path"))).alias("up")).distinct().join(own, ["file_id", "up"]).groupBy("file_id", "path").agg(
+        F.max_by("id", F.length("up")).alias("_owner"))
+    out = rows.join(ancestors, ["file_id", "path"], "left")
+    if ref is None:
+        return out.withColumnRenamed("_owner", "device")
+    names = device_names(device_rows).select("file_id", F.col("ref").alias(ref), "device_name")
+    return out.join(names, ["file_id", ref], "left").withColumn("device", F.coalesce("device_name", ref, "_owner")).drop(ref, "_owner", "device_name")
+
+
+def first_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per file and key: that of the shortest, then first path. A record and the wrappers lifted into it name the same thing."""
+    held = [c for c in rows.columns if c not in ("file_id", *keys)]
+    best = rows.groupBy("file_id", *keys).agg(F.min_by(F.struct(*held), F.struct(F.length("path"), F.col("path"))).alias("_r"))
+    return best.select("file_id", *keys, "_r.*")
+
+
 def first_value(names: list[str], fields: str = "fields") -> Column:
     """Value of the first listed key that the record carries."""
     def one(n: str) -> Column:
@@ -266,12 +311,7 @@ def interfaces(recs: DataFrame, device_rows: DataFrame) -> DataFrame:
         F.lower(F.coalesce(first_value(["mode", "switchportmode", "portmode", "linkmode"]), F.when(F.size(listed) > 0, "trunk"), F.when(vlan.isNotNull(), "access"))).alias("mode"),
         vlan_id(vlan).alias("access_vlan"), listed.alias("trunk_allowed_vlans"), vlan_id(first_value(["nativevlan", "nativevid"])).alias("native_vlan"),
         vlan_id(first_value(["dot1q", "encapsulationvlan"])).alias("dot1q_vlan"), first_value(["status", "state", "adminstatus", "operstatus"]).alias("status"), first_value(MAC_KEYS).alias("mac"))
-    # every prefix of the path is a possible owner; the longest one that is a device counts
-    ancestors = rows.select("file_id", "path", F.explode(_prefixes(F.col("path"))).alias("up")).join(
-        device_rows.select("file_id", F.col("path").alias("up"), "id"), ["file_id", "up"]).groupBy("file_id", "path").agg(F.max_by("id", F.length("up")).alias("_owner"))
-    names = device_names(device_rows).select("file_id", F.col("ref").alias("_ref"), "device_name")
-    return rows.join(ancestors, ["file_id", "path"], "left").join(names, ["file_id", "_ref"], "left").withColumn(
-        "device", F.coalesce("device_name", "_ref", "_owner")).drop("_ref", "_owner", "device_name")
+    return with_device(rows, device_rows, "_ref")
 
 
 def _in_map(words: list[str]) -> Column:

@@ -25,9 +25,9 @@ _TEMPLATE = (
 )
 
 
-def _concat() -> str:
+def _concat(template: str = _TEMPLATE) -> str:
     parts = []
-    for piece in re.split(r"(\{[pzvhmb]\})", _TEMPLATE):
+    for piece in re.split(r"(\{[pzvhmb]\})", template):
         if re.fullmatch(r"\{[pzvhmb]\}", piece):
             parts.append(f"cast({_VARS[piece[1]]} as string)")
         elif piece:
@@ -113,9 +113,9 @@ def tree_payload_tables(spark, sf):
 
 
 @query("tree_list_contexts", f"""with {NODE_SQL} select list_filter(regexp_split_to_array(path, '[.\\[\\]/]+'), lambda t: t <> '' and t <> '$' and not regexp_full_match(t, '[0-9]+'))[-1] as key,
-  cast(sum(json_array_length(jval)) as bigint) as total from nodes where type = 'array' group by 1 order by total desc, key limit 30""")
+  cast(sum(json_array_length(jval)) as bigint) as total from nodes where type = 'array' group by 1""")
 def tree_list_contexts(spark, sf):
-    return T.list_contexts(nodes(spark, sf), limit=30)
+    return T.list_contexts(nodes(spark, sf))
 
 
 def recs(spark, sf):
@@ -160,9 +160,11 @@ def tree_acl_rules(spark, sf):
     return T.acl_rules(recs(spark, sf)).drop("path", "sequence")
 
 
-@query("tree_routes", f"select p_partkey as file_id, '0.0.0.0' as destination, '0.0.0.0/0' as cidr, concat('10.0.', {_V}, '.254') as next_hop from part")
+# a pool with a gateway is a route too
+@query("tree_routes", f"""select p_partkey as file_id, '0.0.0.0' as destination, '0.0.0.0/0' as cidr, concat('10.0.', {_V}, '.254') as next_hop from part
+union all select p_partkey, concat('10.0.', {_V}, '.0'), concat('10.0.', {_V}, '.0/24'), concat('10.0.', {_V}, '.1') from part""")
 def tree_routes(spark, sf):
-    return T.routes(recs(spark, sf)).filter(F.col("path").contains("routes")).select("file_id", "destination", "cidr", "next_hop")
+    return T.routes(recs(spark, sf)).select("file_id", "destination", "cidr", "next_hop")
 
 
 @query("tree_wireless_hints", """select p_partkey as file_id, '$.network.wlan[0]' as path, 'ssid' as type, concat('Corp', p_size) as value, 'wpa2' as security, cast(null as varchar) as vlan from part""")
@@ -200,6 +202,53 @@ def tree_entities(spark, sf):
     return T.generic_entities(recs(spark, sf))
 
 
+# every record two wrappers deep, under the device that holds it
+_NESTED = (
+    '{"site":{"devices":[{"properties":{"config":{"hostname":"R{p}","deviceType":"router"}},"metadata":[{"key":"serialNumber","value":"S{p}"},{"key":"model","value":"M{z}"}],'
+    '"ports":[{"attributes":{"data":{"ifName":"Gi0/{z}"}},"portConfig":{"ipv4":{"address":"10.0.{v}.{h}","mask":"255.255.255.0"},"switchport":{"mode":"Access","accessVlan":{v}}}}],'
+    '"dhcp":[{"settings":{"params":{"name":"P{p}","network":"10.0.{v}.0","mask":"255.255.255.0","gateway":"10.0.{v}.1"}}}],"acl":[{"data":{"meta":{"aclName":"GUEST","action":"Deny","source":"10.0.{v}.0"}}}],'
+    '"routes":[{"config":{"details":{"destination":"0.0.0.0","mask":"0.0.0.0","nextHop":"10.0.{v}.254"}}}],"nat":[{"props":{"params":{"inside":"10.0.{v}.5","outside":"203.0.113.{h}"}}}],'
+    '"vlans":[{"attributes":{"properties":{"vlanId":{v},"vlanName":"USERS {v}"}}}],"wlan":[{"settings":{"data":{"ssid":"Corp{z}","security":"wpa2"}}}]}]}}'
+)
+
+
+def nested(spark, sf):
+    docs_ = T.documents(table(spark, sf, "part").select(F.col("p_partkey").alias("file_id"), F.expr(_concat(_NESTED)).alias("j")), "file_id", "j")
+    r = keep(T.records(keep(T.walk(docs_))))
+    return r, keep(T.devices(r))
+
+
+@query("tree_nat_rules", f"select p_partkey as file_id, concat('10.0.', {_V}, '.5') as inside, concat('203.0.113.', {_H}) as outside, concat('R', p_partkey) as device from part")
+def tree_nat_rules(spark, sf):
+    r, d = nested(spark, sf)
+    return T.first_of(T.with_device(T.nat_rules(r), d).filter("inside is not null and outside is not null"), "inside", "outside").select("file_id", "inside", "outside", "device")
+
+
+@query("tree_nested_records", f"""with p as (select p_partkey as file_id, concat('R', p_partkey) as r, p_size as z, {_V} as v, {_H} as h from part)
+select file_id, 'device' as kind, r as name, 'router' as value, r as device from p
+union all select file_id, 'interface', concat('Gi0/', z), concat('10.0.', v, '.0/24 access ', v), r from p union all select file_id, 'dhcp', concat('P', file_id), concat('10.0.', v, '.0/24 10.0.', v, '.1'), r from p
+union all select file_id, 'acl', 'GUEST', concat('deny 10.0.', v, '.0 any'), r from p union all select file_id, 'route', '0.0.0.0', concat('0.0.0.0/0 10.0.', v, '.254'), r from p
+union all select file_id, 'route', concat('10.0.', v, '.0'), concat('10.0.', v, '.0/24 10.0.', v, '.1'), r from p
+union all select file_id, 'vlan', cast(v as varchar), concat('USERS ', v), r from p union all select file_id, 'ssid', concat('Corp', z), 'wpa2', r from p
+union all select file_id, 'inventory', r, concat('M', z, ' S', file_id), r from p""")
+def tree_nested_records(spark, sf):
+    r, d = nested(spark, sf)
+
+    def of(kind, rows, name, *value):
+        return T.first_of(T.with_device(rows, d) if "device" not in rows.columns else rows, name).select(
+            "file_id", F.lit(kind).alias("kind"), F.col(name).alias("name"), F.concat_ws(" ", *value).alias("value"), "device")
+
+    inventory = T.inventory_facts(r).filter("model is not null and serial is not null")
+    parts = [of("device", d.withColumn("device", F.col("id")), "id", "type"), of("interface", T.interfaces(r, d).filter("cidr is not null and access_vlan is not null"), "name", "cidr", "mode", "access_vlan"),
+             of("dhcp", T.dhcp_scopes(r).filter("cidr is not null"), "name", "cidr", "default_gateway"), of("acl", T.acl_rules(r), "acl_name", "action", "source", "destination"),
+             of("route", T.routes(r).filter("cidr is not null and next_hop is not null"), "destination", "cidr", "next_hop"), of("vlan", T.vlans(r), "id", "name"), of("ssid", T.wireless_hints(r).filter("type = 'ssid'"), "value", "security"),
+             of("inventory", inventory, "device", "model", "serial")]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 @query("tree_embedded_configs", f"select p_partkey as file_id, '$.config' as path, 'text' as encoding, concat('hostname R', p_partkey, ' interface GigabitEthernet0/', p_size, ' ip address 10.0.', {_V}, '.', {_H}, ' 255.255.255.0') as text from part")
 def tree_embedded_configs(spark, sf):
     return T.embedded_configs(T.leaves(nodes(spark, sf)))
