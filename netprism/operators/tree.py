@@ -422,6 +422,62 @@ def access_tests(recs: DataFrame) -> DataFrame:
         F.when(looks_like_ip(ip), ip).alias("actual_ip"), ap.alias("ap_name"), F.when(event == "", "access_test").otherwise(event).alias("event"))
 
 
+# columns of a tagged row, beside file_id, path and table
+LAB_COLUMNS = ["kind", "name", "device", "ip_address", "ssid", "vlan", "ap_name", "target", "status", "detail"]
+
+
+def lab_rows(recs: DataFrame) -> DataFrame:
+    """What lab results say about devices, endpoints, addresses, wireless networks, VLANs, services, roaming and controls.
+
+    One pass: a record becomes an array of rows, each tagged with its table and the key that is kept once per file (first
+    path). `sources.sinks.write_tagged` writes them all at once, a folder for each table.
+    """
+    from .findings import lab_result
+
+    client, target, service = first_value(["client", "username", "user", "host", "station", "endpoint"]), first_value(["target", "destination", "dst", "server", "resource", "targetip"]), first_value(
+        ["service", "application", "app", "protocol", "portname"])
+    result = first_value(["result", "status", "outcome", "state", "reachability"])
+    ssid, address, ap = first_value(["actualssid", "ssid", "wirelessssid", "networkname"]), first_value(["actualip", *IP_KEYS]), first_value(["apname", "ap", "accesspoint", "associatedap"])
+    vlan, event = vlan_id(first_value(["actualvlan", "vlan", "vlanid", "vid"])), F.lower(F.coalesce(first_value(["event", "eventtype", "type", "kind"]), F.lit("")))
+    ip = F.when(looks_like_ip(address), address)
+    near = F.exists("terms", lambda t: t.contains("matrix") | t.contains("result"))
+    matrix = client.isNotNull() & F.coalesce(target, service, result).isNotNull() & (F.coalesce(ssid, vlan, address, ap).isNotNull() | near)
+    check = event.isin("acl_check", "access_check", "connectivity_check", "reachability")
+    roaming = event.contains("roaming")
+    facts = recs.filter(matrix | check | (event == "roaming")).select(
+        "file_id", "path", client.alias("client"), target.alias("target"), service.alias("service"), result.alias("result"), ssid.alias("ssid"), vlan.alias("vlan"), ip.alias("ip"), ap.alias("ap"),
+        roaming.alias("roaming"), check.alias("check"), F.coalesce(first_value(["details", "detail", "message", "notes", "description"]), F.lit("")).alias("details"))
+    c = F.col
+    none = F.lit(None).cast("string")
+
+    def row(table: str, when: Column, keys: list[str], **values: Column | str) -> Column:
+        cols = {n: (F.lit(v) if isinstance(v, str) else v) for n, v in values.items()}
+        key = F.to_json(F.struct(*[F.coalesce(cols.get(k, none), F.lit("")).alias(k) for k in keys]))
+        return F.when(when, F.struct(F.lit(table).alias("table"), key.alias("key"), *[cols.get(n, none).alias(n) for n in LAB_COLUMNS]))
+
+    passed = lab_result(c("result")) == "success"
+    asked = c("service").isNotNull() | c("target").isNotNull()
+    judged = (c("result").isNotNull() | c("check")) & ~c("roaming")
+    goal = F.coalesce("service", "target")
+    rows = F.array(
+        row("devices", c("client").isNotNull(), ["name"], kind="endpoint", name=c("client")),
+        row("devices", c("ap").isNotNull(), ["name"], kind="access_point", name=c("ap")),
+        row("devices", looks_like_ip(c("target")) & ~c("roaming"), ["name"], kind="service", name=c("target"), ip_address=c("target"), detail=goal),
+        row("endpoint_inventory", c("client").isNotNull(), ["name", "ip_address", "ssid", "vlan"], name=c("client"), ip_address=c("ip"), ssid=c("ssid"), vlan=c("vlan"), ap_name=c("ap")),
+        row("ip_inventory", c("ip").isNotNull(), ["device", "name"], name=c("ip"), device=c("client"), ip_address=c("ip"), ssid=c("ssid"), vlan=c("vlan"), ap_name=c("ap"), status="observed"),
+        row("wireless_hints", c("ap").isNotNull(), ["kind", "name", "ssid"], kind="access_point", name=c("ap"), ssid=c("ssid"), vlan=c("vlan")),
+        row("wireless_hints", c("ssid").isNotNull(), ["kind", "name", "vlan"], kind="ssid", name=c("ssid"), vlan=c("vlan"), ap_name=c("ap")),
+        row("vlans", c("vlan").isNotNull(), ["name"], name=c("vlan"), detail=F.coalesce("ssid", F.concat(F.lit("VLAN_"), "vlan"))),
+        row("service_inventory", asked & ~c("roaming"), ["name", "target"], name=goal, target=c("target")),
+        row("roaming_events", c("roaming"), ["name", "ap_name", "detail"], name=c("client"), ap_name=F.coalesce("ap", "target"), target=c("target"), detail=c("details")),
+        row("policy_controls", judged, ["name", "detail"], name=F.concat(F.coalesce("client", F.lit("client")), F.lit(" to "), F.coalesce(goal, F.lit("target"))),
+            kind=F.when(passed, "Info").otherwise("Medium"), status=F.when(passed, "pass").otherwise("review"), ssid=c("ssid"), vlan=c("vlan"), target=c("target"),
+            detail=F.concat(F.when(passed, "reached").otherwise("did not reach"), F.lit(" "), F.coalesce("target", F.lit("an unknown target")))))
+    tagged = facts.select("file_id", "path", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("file_id", "path", "r.*")
+    first = tagged.groupBy("file_id", "table", "key").agg(F.min_by(F.struct("path", *LAB_COLUMNS), "path").alias("v"))
+    return first.select("file_id", "table", "v.*")
+
+
 def generic_entities(recs: DataFrame) -> DataFrame:
     """One entity per record with a name, typed by its keys and values."""
     name = first_value(["name", "hostname", "device", "devicename", "id", "interface", "ssid", "vlan", "ip"])

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..operators import tree as T
-from ..session import keep
+from ..session import keep, shared_folder
+from ..sources.sinks import write_tagged
 from .bindings import table
 from .duck import lit, norm
 from .registry import query
@@ -192,6 +194,36 @@ def tree_access_tests(spark, sf):
     return T.access_tests(recs(spark, sf)).select("file_id", "client", "target", "service", "result", "actual_ssid", "actual_vlan")
 
 
+_LAB = (
+    '{"results":[{"client":"c{p}","target":"10.9.9.{h}","service":"DNS","result":"Blocked","ssid":"Corp{z}","vlan":{v},"ip":"10.0.{v}.{h}","ap":"AP{m}"},'
+    '{"client":"c{p}","resource":"portal","result":"OK","ssid":"Corp{z}","vlan":{v}},{"event":"roaming","client":"c{p}","target":"AP9","details":"moved {z}"}]}'
+)
+
+
+@query("tree_lab_tables", f"""with p as (select p_partkey as file_id, concat('c', p_partkey) as c, concat('Corp', p_size) as s, cast({_V} as varchar) as v, concat('10.0.', {_V}, '.', {_H}) as ip, concat('10.9.9.', {_H}) as t,
+  concat('AP', p_partkey % 10 + 10) as ap, concat('moved ', p_size) as d from part)
+select file_id, 'devices' as "table", '$.results[0]' as path, 'endpoint' as kind, c as name, null as device, null as ip_address, null as ssid, null as vlan, null as ap_name, null as target, null as status, null as detail from p
+union all select file_id, 'devices', '$.results[0]', 'access_point', ap, null, null, null, null, null, null, null, null from p
+union all select file_id, 'devices', '$.results[0]', 'service', t, null, t, null, null, null, null, null, 'DNS' from p
+union all select file_id, 'endpoint_inventory', '$.results[0]', null, c, null, ip, s, v, ap, null, null, null from p
+union all select file_id, 'endpoint_inventory', '$.results[1]', null, c, null, null, s, v, null, null, null, null from p
+union all select file_id, 'endpoint_inventory', '$.results[2]', null, c, null, null, null, null, null, null, null, null from p
+union all select file_id, 'ip_inventory', '$.results[0]', null, ip, c, ip, s, v, ap, null, 'observed', null from p
+union all select file_id, 'wireless_hints', '$.results[0]', 'access_point', ap, null, null, s, v, null, null, null, null from p
+union all select file_id, 'wireless_hints', '$.results[0]', 'ssid', s, null, null, null, v, ap, null, null, null from p
+union all select file_id, 'vlans', '$.results[0]', null, v, null, null, null, null, null, null, null, s from p
+union all select file_id, 'service_inventory', '$.results[0]', null, 'DNS', null, null, null, null, null, t, null, null from p
+union all select file_id, 'service_inventory', '$.results[1]', null, 'portal', null, null, null, null, null, 'portal', null, null from p
+union all select file_id, 'roaming_events', '$.results[2]', null, c, null, null, null, null, 'AP9', 'AP9', null, d from p
+union all select file_id, 'policy_controls', '$.results[0]', 'Medium', concat(c, ' to DNS'), null, null, s, v, null, t, 'review', concat('did not reach ', t) from p
+union all select file_id, 'policy_controls', '$.results[1]', 'Info', concat(c, ' to portal'), null, null, s, v, null, 'portal', 'pass', 'reached portal' from p""")
+def tree_lab_tables(spark, sf):
+    docs_ = T.documents(table(spark, sf, "part").select(F.col("p_partkey").alias("file_id"), F.expr(_concat(_LAB)).alias("j")), "file_id", "j")
+    folder = f"{shared_folder(spark).rstrip('/')}/lab-{uuid4().hex}"
+    write_tagged(T.lab_rows(T.records(T.walk(docs_))), folder)
+    return spark.read.parquet(folder).select("file_id", F.col("table").cast("string"), "path", *T.LAB_COLUMNS)
+
+
 @query("tree_entities", f"""with e as (select p_partkey as file_id, unnest([
   struct_pack(p := '$.network.dhcpPools[0]', n := concat('P', p_partkey), t := 'route'), struct_pack(p := '$.network.nodes[0]', n := concat('n', p_partkey), t := 'ip_address'),
   struct_pack(p := '$.network.nodes[1]', n := concat('SW', p_partkey), t := 'mac_address'), struct_pack(p := '$.network.vlans[0]', n := concat('USERS ', {_V}), t := 'vlan'),

@@ -41,3 +41,14 @@ def report_tables(tables: dict[str, DataFrame], kind: str) -> dict[str, DataFram
     """The tables of one report; unknown kinds get the technical set."""
     wanted = REPORTS.get(kind, REPORTS["technical"])
     return {n: tables[n] for n in wanted if n in tables}
+
+
+def write_tagged(rows: DataFrame, folder: str, tag: str = "table", mode: str = "overwrite") -> None:
+    """Rows of many tables in one pass: a folder for each value of the tag; a task writes a file for each table it meets."""
+    rows.write.mode(mode).partitionBy(tag).parquet(folder)
+
+
+def read_tagged(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None, tag: str = "table") -> DataFrame:
+    """One table of `write_tagged`: only its folder is read, without the columns that it leaves empty if they are named."""
+    rows = spark.read.parquet(folder).filter(F.col(tag) == name).drop(tag)
+    return rows if columns is None else rows.select(*columns)
