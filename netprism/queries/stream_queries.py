@@ -102,14 +102,24 @@ def stream_run_client_state(spark, sf):
     folder = _folder(spark, "state")
     marks = L.register_marks(events, [r[0] for r in fv.SSID_ROWS])
 
-    def store(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+    L.run_available(L.client_registers(marks), "", f"{folder}/checkpoint", "update", L.state_versions(f"{folder}/state"))
+    return L.resolve_registers(L.read_state(spark, f"{folder}/state"), clients(spark, sf), ssids(spark))
 
-    L.run_available(L.client_registers(marks), f"{folder}/out", f"{folder}/checkpoint", "update", store)
-    return L.resolve_registers(spark.read.parquet(f"{folder}/out").drop("batch"), clients(spark, sf), ssids(spark))
+
+@query("stream_run_raw_log", f"with {LINE_SQL} select sha256(concat_ws('|', strftime(ts, '%Y-%m-%d %H:%M:%S'), client, event_type, ap, message)) as fp, message as raw_message, severity, event_type from parsed")
+def stream_run_raw_log(spark, sf):
+    """The raw log as a stream writes it, every event kept."""
+    expr = _LINE.replace("user_id % 50", "cast(user_id % 50 as string)").replace("user_id % 9)", "cast(user_id % 9 as string))")
+    lines = _stream(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.expr(expr).alias("line"))
+    folder = _folder(spark, "rawlog")
+    L.run_available(L.with_fingerprint(L.parse_syslog(lines)), "", f"{folder}/checkpoint", "append", L.raw_log_writer(f"{folder}/raw", "syslog_events", f"{folder}/log"))
+    return spark.read.parquet(f"{folder}/raw").select("fp", "raw_message", "severity", "event_type")
 
 
-@query("stream_run_log")
+# the events are one file, so one batch
+@query("stream_run_log", f"""with {LINE_SQL}, f as (select sha256(concat_ws('|', strftime(ts, '%Y-%m-%d %H:%M:%S'), client, event_type, ap, message)) as fp, client from parsed)
+select 'syslog_events' as connector, count(*) as records, count(*) - count(distinct fp) as duplicates, count(*) filter (client is null) as errors,
+  case when count(*) filter (client is null) > 0 then 'Medium' else 'Info' end as severity, cast(0 as int) as batch_id from f""")
 def stream_run_log(spark, sf):
     """One metrics row per micro-batch, written beside the data."""
     expr = _LINE.replace("user_id % 50", "cast(user_id % 50 as string)").replace("user_id % 9)", "cast(user_id % 9 as string))")

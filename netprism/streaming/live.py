@@ -6,12 +6,10 @@ forms add a watermark on event time. Late rows beyond it are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import fixed_values as fv
 from ..functions.text import live_fingerprint, lookup, message_event_type, message_severity, rx
@@ -68,8 +66,6 @@ def activity_sessions(events: DataFrame, gap: str = "6 hours", delay: str = "10
 
 # --- client state as last-write registers -----------------------------------
 REGISTERS = ["status", "ssid", "vlan", "ap", "ip", "assoc"]
-_STATE = ", ".join(f"{r}_t long, {r}_i long, {r} string" for r in REGISTERS) + ", seen_t long, seen_i long, last_event string"
-_OUT = "client string, " + _STATE
 
 
 def register_marks(events: DataFrame, known_ssids: list[str]) -> DataFrame:
@@ -85,31 +81,69 @@ def register_marks(events: DataFrame, known_ssids: list[str]) -> DataFrame:
     return events.select("client", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("id").alias("i"), "type", *[c.cast("string").alias(f"m_{n}") for n, c in marks.items()])
 
 
-def _update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold a group chunk by chunk; the newest write of each register wins, in any order of arrival."""
-    held = list(state.get) if state.exists else [-1, -1, None] * (len(REGISTERS) + 1)
-    for pdf in chunks:
-        for pos, name in enumerate([f"m_{r}" for r in REGISTERS] + ["type"]):
-            rows = pdf[pdf[name].notna()]
-            if rows.empty:
-                continue
-            newest = rows.sort_values(["t", "i"]).iloc[-1]
-            stamp = (int(newest["t"]), int(newest["i"]))
-            if stamp > (held[3 * pos], held[3 * pos + 1]):
-                held[3 * pos:3 * pos + 3] = [stamp[0], stamp[1], newest[name]]
-    state.update(tuple(held))
-    columns = [c.strip().split()[0] for c in _OUT.split(",")]
-    yield pd.DataFrame([[key[0], *held]], columns=columns)
+def client_registers(marks: DataFrame) -> DataFrame:
+    """Per client the newest write of every register with its time and event, and the last event.
 
+    The maximum of a struct is the same in any order of arrival, so the form holds for a batch, a stream in update mode (one
+    row per client that changed) and for `merged_registers`.
+    """
+    newest = lambda m: F.max(F.when(F.col(m).isNotNull(), F.struct("t", "i", F.col(m).alias("v"))))
+    names = {**{r: f"m_{r}" for r in REGISTERS}, "seen": "type"}
+    held = marks.groupBy("client").agg(*[newest(m).alias(f"_{n}") for n, m in names.items()])
+    stamp = lambda n, c: F.coalesce(F.col(f"_{n}.{c}").cast("long"), F.lit(-1).cast("long")).alias(f"{n}_{c}")
+    cols = [x for r in REGISTERS for x in (stamp(r, "t"), stamp(r, "i"), F.col(f"_{r}.v").alias(r))]
+    return held.select("client", *cols, stamp("seen", "t"), stamp("seen", "i"), F.col("_seen.v").alias("last_event"))
+
+
+def merged_registers(rows: DataFrame) -> DataFrame:
+    """Several rows of a client to one: of each register the newest write."""
+    def newest(n: str, value: str) -> Column:
+        return F.max(F.struct(F.col(f"{n}_t").alias("t"), F.col(f"{n}_i").alias("i"), F.col(value).alias("v"))).alias(f"_{n}")
+
+    held = rows.groupBy("client").agg(*[newest(r, r) for r in REGISTERS], newest("seen", "last_event"))
+    cols = [F.col(f"_{r}.{c}").alias(n) for r in REGISTERS for c, n in (("t", f"{r}_t"), ("i", f"{r}_i"), ("v", r))]
+    return held.select("client", *cols, F.col("_seen.t").alias("seen_t"), F.col("_seen.i").alias("seen_i"), F.col("_seen.v").alias("last_event"))
+
+
+def state_versions(path: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: the table of all clients after each batch, one row each, as version=<batch>; older versions are removed.
+
+    A batch that is tried again starts from the version before it and replaces its own, so it changes nothing. Readers take
+    the newest version with `read_state`.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        files, root = _file_system(spark, path)
+        known = sorted(_versions(files, root))
+        before = [v for v in known if v < batch_id]
+        rows = batch if not before else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/version={before[-1]}"))
+        merged_registers(rows).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        for v in before[: 1 - keep if keep > 1 else None]:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}"), True)
+    return write
 
-def client_registers(marks: DataFrame) -> DataFrame:
-    """Stateful operator: registers per client, one row per client and trigger."""
-    return marks.groupBy("client").applyInPandasWithState(_update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+def _file_system(spark: SparkSession, path: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+
+
+def _versions(files, root) -> list[int]:
+    """Versions whose writing ended; a few, as old ones are removed."""
+    if not files.exists(root):
+        return []
+    done = [s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("version=")]
+    return [int(p.getName().split("=")[1]) for p in done if files.exists(p.suffix("/_SUCCESS"))]
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    files, root = _file_system(spark, path)
+    return spark.read.parquet(f"{path}/version={max(_versions(files, root))}")
 
 
 def resolve_registers(registers: DataFrame, clients: DataFrame, ssids: DataFrame) -> DataFrame:
-    """Registers plus the client's inventory row to the client's state."""
-    latest = registers.groupBy("client").agg(F.max_by(F.struct(*[c for c in registers.columns if c != "client"]), F.struct("seen_t", "seen_i")).alias("r")).select("client", "r.*")
+    """Registers, one row per client, plus the client's inventory row to the client's state."""
+    latest = registers
     start = clients.select(F.col("name").alias("client"), F.struct("role", "ssid", "vlan", "ip", "ap", "status").alias("_c"))
     df = latest.join(start, "client", "left").withColumn("_ssid", F.coalesce("ssid", "_c.ssid"))
     df = df.join(ssids.select(F.lower("ssid").alias("_k"), F.struct(F.col("ssid").alias("ssid"), F.col("role").alias("role"), F.col("expected_vlan").alias("vlan")).alias("_p")), F.lower("_ssid") == F.col("_k"), "left")
@@ -137,6 +171,15 @@ def raw_log(events: DataFrame, connector: str) -> DataFrame:
     return events.select("fp", F.lit(connector).alias("connector_type"), F.col("message").alias("raw_message"), F.to_json(F.struct("*")).alias("normalized_json"), "severity", "event_type", "ts")
 
 
+def raw_log_writer(path: str, connector: str, counts: str | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: the raw log and, in `counts`, what each batch brought; a batch that is tried again replaces its rows."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        raw_log(batch, connector).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if counts:
+            run_log_writer(counts, connector)(batch, batch_id)
+    return write
+
+
 def event_stream(spark: SparkSession, folder: str, file_filter: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", file_filter).parquet(folder)
 
