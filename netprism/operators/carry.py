@@ -64,6 +64,23 @@ def running_count(
     return out.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in flags])
 
 
+def with_row_chunks(df: DataFrame, name: str, key: str, time: str, rows: int = CHUNK_LINES) -> DataFrame:
+    """Add the number of a chunk of about `rows` rows of its key in order of time, for `carry_forward` and `running_count`.
+
+    Rows are counted per second first, seconds are summed within their day, and days before it; so a key with most of all rows
+    becomes as many tasks as it has chunks, however its rows lie in time. Rows of one second share a chunk.
+    """
+    second = F.date_trunc("second", F.col(time))
+    counts = df.groupBy(key, second.alias("_second")).agg(F.count("*").alias("_n")).withColumn("_date", F.to_date("_second"))
+    days = counts.groupBy(key, "_date").agg(F.sum("_n").alias("_d"))
+    before = Window.partitionBy(key).orderBy("_date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(key, "_date", F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_days"))
+    earlier = Window.partitionBy(key, "_date").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    chunks = within.join(days, [key, "_date"]).select(key, "_second", F.floor((F.col("_days") + F.col("_before")) / rows).alias(name))
+    return df.withColumn("_second", second).join(chunks, [key, "_second"], "left").select(*df.columns, F.coalesce(name, F.lit(0)).alias(name))
+
+
 def last_wins(value: Column, order: str = "line_no") -> Column:
     """Aggregate: the value of the last line that has one."""
     return F.max_by(value, F.when(value.isNotNull(), F.col(order)))

@@ -218,7 +218,8 @@ def records(nodes: DataFrame) -> DataFrame:
     usable = lambda s: s["v"].isNotNull() & ~s["v"].isin("", "[]", "{}")
     v = F.col("v")
     own = F.concat(plain(v), lifted(v, WRAPPER_LEVELS), F.filter(F.array(pair(v)), lambda x: x.isNotNull()))
-    return objects.select("file_id", "path", "depth", F.filter(own, usable).alias("fields"),
+    # generated, so that the many readers of the fields take them and don't spell them out again
+    return objects.select("file_id", "path", "depth", F.explode(F.array(F.filter(own, usable))).alias("fields"),
                           F.split(F.regexp_replace(path_hint(F.col("path")), "[^a-z0-9]+", " "), " ").alias("terms"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.net import cidr_base, cidr_prefix, ip_to_long, nth_host, prefix_mask
 from ..functions.text import client_slug, lookup
-from .carry import carry_forward
+from .carry import carry_forward, running_count, with_row_chunks
 
 SSID_FIELDS = ["ssid", "role", "expected_vlan", "expected_subnet", "internet", "internal_access", "allowed_services"]
 
@@ -235,13 +235,13 @@ def access_decisions(clients: DataFrame, ssids: DataFrame, isolation: DataFrame,
 
 # --- event sourcing ---------------------------------------------------------
 def _with_order(events: DataFrame) -> DataFrame:
-    return events.withColumn("_o", F.struct("ts", "id")).withColumn("_day", F.date_trunc("day", "ts"))
+    return with_row_chunks(events.withColumn("_o", F.struct("ts", "id")), "_part", "client", "ts")
 
 
 def roaming_transitions(events: DataFrame) -> DataFrame:
     """Roams with the access point before them, from the client's own history when the event does not say."""
     new_ap = F.when(F.col("type").isin("roaming", "association"), F.coalesce("to_ap", "ap"))
-    df = carry_forward(_with_order(events), {"previous_ap": new_ap}, key="client", order="_o", chunk=F.col("_day"), inclusive=False)
+    df = carry_forward(_with_order(events), {"previous_ap": new_ap}, key="client", order="_o", chunk=F.col("_part"), inclusive=False)
     own = F.col("from_ap") if "from_ap" in events.columns else F.lit(None).cast("string")
     return df.filter(F.col("type") == "roaming").select(
         "id", "ts", "client", F.coalesce(own, "previous_ap").alias("from_ap"), F.coalesce("to_ap", "ap", "previous_ap").alias("to_ap"))
@@ -254,7 +254,7 @@ def client_sessions(events: DataFrame, clients: DataFrame, ssids: DataFrame) ->
     dims = ssid_dimensions(ssids)[0].withColumnsRenamed({"_ssid_key": "_key", "_by_name": "_p"})
     start = clients.select(F.col("name").alias("client"), F.struct("role", "ssid", "vlan", "ip", "ap", "status").alias("_c"))
     df = _with_order(events).join(dims.select("_key", F.col("_p.ssid").alias("_known")), F.lower("ssid") == F.col("_key"), "left").drop("_key")
-    df = carry_forward(df, {"_own": F.when(assoc, F.col("_known")), "_seen": F.lit(True)}, key="client", order="_o", chunk=F.col("_day"))
+    df = carry_forward(df, {"_own": F.when(assoc, F.col("_known")), "_seen": F.lit(True)}, key="client", order="_o", chunk=F.col("_part"))
     df = df.join(start, "client", "left").withColumn("_ssid", F.coalesce("_own", "_c.ssid"))
     df = df.join(dims, F.lower("_ssid") == F.col("_key"), "left").drop("_key")
     ap = F.coalesce("to_ap", "ap")
@@ -267,7 +267,7 @@ def client_sessions(events: DataFrame, clients: DataFrame, ssids: DataFrame) ->
         "s_first": F.when(F.col("_c").isNull(), F.struct(
             F.col("ssid").alias("ssid"), F.coalesce("_p.role", F.lit("Guest")).alias("role"), F.coalesce("vlan", "_p.expected_vlan", F.lit("")).alias("vlan"),
             F.coalesce("ip", "_p.first_ip", F.lit("10.10.30.41")).alias("ip"), F.coalesce(ap, F.lit("AP-01")).alias("ap"))),
-    }, key="client", order="_o", chunk=F.col("_day"))
+    }, key="client", order="_o", chunk=F.col("_part"))
     pick = lambda f: F.coalesce(f"s_{f}", f"_c.{f}", f"s_first.{f}").alias(f)
     return df.select(
         "id", "client", "ts", pick("role"), pick("ssid"), pick("ap"), pick("vlan"), pick("ip"),
@@ -283,11 +283,9 @@ def client_state(sessions: DataFrame) -> DataFrame:
 
 
 def number_sessions(sessions: DataFrame) -> DataFrame:
-    """Running session number per client, counted by day chunks."""
-    from .carry import running_count
-
-    df = sessions.withColumn("_o", F.struct("ts", "id")).withColumn("_day", F.date_trunc("day", "ts"))
-    return running_count(df, {"session_no": F.lit(True)}, key="client", order="_o", chunk=F.col("_day")).drop("_o", "_day")
+    """Running session number per client, counted by chunks of rows."""
+    df = _with_order(sessions)
+    return running_count(df, {"session_no": F.lit(True)}, key="client", order="_o", chunk=F.col("_part")).drop("_o", "_part")
 
 
 def role_changes(changes: DataFrame, clients: DataFrame, ssids: DataFrame) -> tuple[DataFrame, DataFrame]:
