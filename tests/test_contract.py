@@ -10,7 +10,8 @@ from check_oracle import TABLES, canonical
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["extract_vlans", "extract_trunk_operational", "wireless_client_matrix", "wireless_anomalies", "wireless_client_state", "policy_diff", "vlan_crosscheck", "graph_components",
-          "graph_attack_paths", "tree_interfaces", "merge_interface_enrichment", "audit_login_window", "lab_client_matrix", "findings_analysis", "stream_run_client_state"]
+          "graph_attack_paths", "tree_interfaces", "merge_interface_enrichment", "audit_login_window", "lab_client_matrix", "findings_analysis", "stream_run_client_state",
+          "subnet_of_address", "source_intake", "tree_lab_tables"]
 
 
 def test_names():
