@@ -71,3 +71,17 @@ def test_stages(spark, tmp_path):
 
 def test_no_documents(spark, tmp_path):
     assert pipeline.run(spark, table(spark, tmp_path, [])).count() == 0
+
+
+def test_extra_columns_null_keys_and_repeated_rows(spark):
+    data = [(i, f"only words of number {i} stand here and nowhere else at all", "aa", "s", 1) for i in range(6)] + [(None, "nobody knows the key of this text, mail me@here.org", "aa", "s", 1), (7, None, "aa", None, None)]
+    data += [data[2], data[6], (9, data[2][1], "aa", "s", 1)]
+    docs = spark.createDataFrame(data, DOCS).selectExpr("*", "1 as node", "2 as root", "3 as size", "4 as keys", "5 as h", "'k' as `key`", "6 as component_id", "7 as id", "8 as t")
+    one = dict(pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert one.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in one.collect()) == [(False, i) for i in (0, 1, 2, 3, 4, 5, 7)] + [(True, 0)]
+    clean = dict(pipeline.STAGES)["personal_data"](spark, docs, "")
+    assert clean.columns == docs.columns and clean.count() == len(data)
+    assert not any("@" in (r["text"] or "") for r in clean.collect()) and {(r["node"], r["key"], r["t"]) for r in clean.collect()} == {(1, "k", 8)}
+    mixed = dict(pipeline.STAGES)["mixing"](spark, docs, "")
+    assert mixed.columns == docs.columns and {r["h"] for r in mixed.collect()} == {5}
