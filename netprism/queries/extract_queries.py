@@ -24,6 +24,12 @@ def with_states(spark: SparkSession, sf: str, *states: str, uses: str | None = N
     return X.state_lines(config_lines(spark, sf), *states, uses=uses)
 
 
+def few_lines(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Block lines of a kind with their state, and the lines that its table reads, from one reading of the source."""
+    few = X.block_source(lines(spark, sf), kind)
+    return X.block_lines(few, kind), few
+
+
 def blocks(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
     return X.block_lines(config_lines(spark, sf), *kinds)
 
@@ -80,7 +86,7 @@ select file_id, id, arg_min(name, pl) as name, arg_min(source, pl) as source, ar
       from config_lines where {m(r'encapsulation\s+dot1q\s+([0-9]+)')}))
 group by file_id, id""", ctes=block_cte("blk", "vlan")))
 def extract_vlans(spark, sf):
-    return flat(X.vlans(blocks(spark, sf, "vlan"), lines(spark, sf))).drop("status", "ports_hint")
+    return flat(X.vlans(*few_lines(spark, sf, "vlan"))).drop("status", "ports_hint")
 
 
 _IFNAME = x(r"^\s*interface\s+(\S+)", col="ht")
@@ -172,7 +178,7 @@ acl_rules as (
 
 @query("extract_acl_rules", with_lines("select * from acl_rules", ctes=ACL_CTES))
 def extract_acl_rules(spark, sf):
-    return flat(X.acl_rules(blocks(spark, sf, "acl"), lines(spark, sf)))
+    return flat(X.acl_rules(*few_lines(spark, sf, "acl")))
 
 
 # the rule's words one after the other: protocol, then twice an address of one word (any), of host and a word, or of a word
@@ -194,7 +200,7 @@ select file_id, evidence_line, acl_name, case when type = 'extended' then t[1] e
   case when type = 'extended' then {_side('i')[0]} end as dst, case when type = 'extended' then {_side('i')[1]} end as dst_wildcard,
   case when type = 'extended' then t[j] end as operator, case when type = 'extended' then t[j + 1] end as port from _2""", ctes=f"{ACL_CTES}, {_WORDS}"))
 def extract_acl_expressions(spark, sf):
-    return X.acl_rules(blocks(spark, sf, "acl"), lines(spark, sf)).select(
+    return X.acl_rules(*few_lines(spark, sf, "acl")).select(
         "file_id", F.col("evidence.source_line").alias("evidence_line"), "acl_name", "parsed.protocol", F.col("parsed.source").alias("src"),
         F.col("parsed.source_wildcard").alias("src_wildcard"), F.col("parsed.destination").alias("dst"),
         F.col("parsed.destination_wildcard").alias("dst_wildcard"), "parsed.operator", "parsed.port")
