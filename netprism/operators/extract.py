@@ -111,7 +111,7 @@ def needed_lines(lines: DataFrame, *names: str, once: bool = True) -> DataFrame:
     if len(patterns) <= AUTOMATON_FROM:
         few = lines.filter(T().rlike(_any_of(patterns)))
     else:
-        few = lines.select("file_id", "line_no", _once(F.when(may_match(T(), patterns), T())).alias("text"))
+        few = _held(lines, ["file_id", "line_no"], [F.when(may_match(T(), patterns), T())], "text")
     return written(few) if once else few
 
 
@@ -218,12 +218,8 @@ def _relevant(state: Column, patterns: list[str]) -> Column:
 
 def _pattern_rows(df: DataFrame, rows: list[tuple[Column, dict[str, Column]]]) -> DataFrame:
     """One output row per matching pattern of a line, in one pass over the lines."""
-    hits = F.filter(
-        F.array(*[F.when(test, F.struct(*[c.alias(n) for n, c in cols.items()])) for test, cols in rows]),
-        lambda h: h.isNotNull(),
-    )
-    return df.select("file_id", "line_no", "text", F.explode(hits).alias("hit")).select(
-        "file_id", "line_no", "text", "hit.*")
+    hits = [F.when(test, F.struct(*[c.alias(n) for n, c in cols.items()])) for test, cols in rows]
+    return _held(df, ["file_id", "line_no", "text"], hits, "hit").select("file_id", "line_no", "text", "hit.*")
 
 
 # --- configuration tables ---------------------------------------------------
@@ -348,7 +344,7 @@ def interfaces(a: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     attribute = F.coalesce(*[
         F.when(matches(T(), p), F.struct(F.lit(n).alias("k"), value(p, form).alias("v"))) for n, p, form in INTERFACE_ATTRIBUTES])
     own = F.when(F.col("line_no") == blk["line"], F.struct(F.lit("header").alias("k"), T().alias("v")))
-    body = a.filter(blk["open"]).select("file_id", "line_no", blk["line"].alias("_line"), _once(F.coalesce(own, attribute)).alias("kv"))
+    body = _held(a.filter(blk["open"]), ["file_id", "line_no", blk["line"].alias("_line")], [F.coalesce(own, attribute)], "kv")
     # one aggregate over (block, attribute), then the few attributes of a block side by side
     last = body.groupBy("file_id", "_line", F.col("kv.k").alias("k")).agg(F.max(F.struct("line_no", "kv.v")).alias("m"))
     held = last.groupBy("file_id", "_line").agg(F.map_from_entries(F.collect_list(F.struct("k", "m.v"))).alias("held"))
@@ -836,14 +832,21 @@ def raw_evidence(lines: DataFrame) -> DataFrame:
 
 def deep_evidence_index(lines: DataFrame) -> DataFrame:
     tags = words_found(T(), fv.EVIDENCE_TAXONOMY)
-    return lines.select("file_id", "line_no", "text", _once(F.nullif(tags, F.lit(""))).alias("_t")).select(
+    return _held(lines, ["file_id", "line_no", "text"], [F.nullif(tags, F.lit(""))], "_t").select(
         "file_id", "line_no", "text", F.split("_t", ",").alias("tags")
     ).withColumn("weight", F.least(F.lit(1.0), F.round(F.lit(0.35) + F.lit(0.12) * F.size("tags"), 2)))
 
 
-def _once(value: Column) -> Column:
-    """Generator that keeps rows with a value and computes it a single time, not in a filter and again in the output."""
-    return F.explode(F.filter(F.array(value), lambda x: x.isNotNull()))
+def _held(df: DataFrame, columns: list[str | Column], values: list[Column], name: str) -> DataFrame:
+    """The columns beside each value of a row that is not null; a value is computed once, not in a filter and again in the output.
+
+    A single value is exploded as it is, and null goes after that: a lambda over the array would be evaluated line by line without
+    generated code. Many values keep the lambda, as the generated method of them all is too long for the JVM.
+    """
+    each = F.array(*values)
+    if len(values) > 1:
+        return df.select(*columns, F.explode(F.filter(each, lambda v: v.isNotNull())).alias(name))
+    return df.select(*columns, F.explode(each).alias(name)).filter(F.col(name).isNotNull())
 
 
 def all_config_commands(a: DataFrame) -> DataFrame:
@@ -853,7 +856,7 @@ def all_config_commands(a: DataFrame) -> DataFrame:
     category = F.coalesce(
         *[F.when(matches(cmd, p), F.lit(n)) for n, p in fv.COMMAND_CATEGORIES],
         F.when((context != "global") & T().rlike(r"^\s+[A-Za-z0-9_-]"), F.lit("context_child")))
-    return a.select("file_id", "line_no", "_s", context.alias("context"), _once(category).alias("category")).select(
+    return _held(a, ["file_id", "line_no", "_s", context.alias("context")], [category], "category").select(
         "file_id", "line_no", "context", "category", redact_command(cmd).alias("command"), F.length(cmd).alias("raw_length"),
     ).withColumn(
         "evidence", evidence(F.col("line_no"), F.col("command"), F.when(F.col("category") == "context_child", 0.68).otherwise(0.82)))
@@ -865,11 +868,9 @@ def interface_features(a: DataFrame) -> DataFrame:
         "file_id", "line_no", "text", blk["text"].alias("_header"), STRIPPED().alias("_s")
     ).filter(F.col("_s").rlike(_any_of([r[1] for r in fv.FEATURE_PATTERNS])))
     cmd = F.col("_s")
-    hits = F.filter(F.array(*[
-        F.when(matches(cmd, p), F.struct(F.lit(n).alias("feature"), joined_nonempty(cmd, p, g).alias("value")))
-        for n, p, g in fv.FEATURE_PATTERNS]), lambda h: h.isNotNull())
+    hits = [F.when(matches(cmd, p), F.struct(F.lit(n).alias("feature"), joined_nonempty(cmd, p, g).alias("value"))) for n, p, g in fv.FEATURE_PATTERNS]
     name = rx(F.col("_header"), r"^\s*interface\s+(\S+)")
-    return body.select("file_id", "line_no", "text", name.alias("interface"), F.explode(hits).alias("h")).select(
+    return _held(body, ["file_id", "line_no", "text", name.alias("interface")], hits, "h").select(
         "file_id", "interface", normalize_interface(F.col("interface")).alias("normalized_interface"), "h.feature", "h.value",
         F.when(F.col("h.feature").isin("voice_vlan", "switchport_allowed_vlan_add"), expand_vlans(F.col("h.value"))).alias("vlans"),
         evidence(F.col("line_no"), redact_command(T()), 0.84).alias("evidence"))
@@ -898,8 +899,8 @@ def management_services(a: DataFrame) -> DataFrame:
             "service": F.lit(service), "family": F.lit(family),
             "context": text(F.col("line_context")) if family == "line_access" else F.lit("global"),
             "value": value, "command": redact_command(cmd), "risk": risk, "confidence": F.lit(0.82)}))
-    hits = F.filter(F.array(*[F.when(t, F.struct(*[c.alias(n) for n, c in cols.items()])) for t, cols in rows]), lambda h: h.isNotNull())
-    return a.select("file_id", "line_no", "_s", F.explode(hits).alias("h")).select("file_id", "line_no", "_s", "h.*").select(
+    hits = [F.when(t, F.struct(*[c.alias(n) for n, c in cols.items()])) for t, cols in rows]
+    return _held(a, ["file_id", "line_no", "_s"], hits, "h").select("file_id", "line_no", "_s", "h.*").select(
         "file_id", "service", "family", "context", "value", "command", "risk",
         evidence(F.col("line_no"), F.coalesce("command", cmd), F.col("confidence")).alias("evidence"))
 

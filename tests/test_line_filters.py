@@ -59,3 +59,12 @@ def test_lines_are_put_together_from_small_expressions(spark, sf):
     """One expression of all templates is too long to be compiled: no case of them is left in the plan."""
     plan = config_lines(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN ((l_linenumber" not in plan
+
+
+def test_single_values_are_exploded_by_generated_code(spark):
+    lines = odd_lines(spark)
+    plan = X.deep_evidence_index(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array(" in plan and "lambda" not in plan
+    a, b = F.when(F.col("text").contains("Gi0/1"), F.lit("a")), F.when(F.col("line_no") == 11, F.lit("b"))
+    rows = lambda *values: sorted((r["line_no"], r["v"]) for r in X._held(lines, ["line_no"], list(values), "v").collect())
+    assert rows(a) == [(11, "a"), (12, "a")] and rows(a, F.lit(None).cast("string"), b) == [(11, "a"), (11, "b"), (12, "a")]
