@@ -31,12 +31,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one of the smallest doc_id.
 
-    Documents are linked where their five-word shingles have an exact Jaccard similarity of 0.8 or more. Null, empty and blank
+    Documents are linked where their SimHash fingerprints differ by 2 bits or less (as in `op2`, all pairs), and where their
+    five-word shingles have an exact Jaccard similarity of 0.8 or more: near copies of few words differ by more bits. Null, empty and blank
     texts are copies of each other; of rows that repeat the smallest doc_id one stays; a row without doc_id stays only where no
     row of its group has one.
     """
     reach(spark)
-    return shingles.one_each(docs)
+    return shingles.one_each(docs, prints=True)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ Bands of min-hashes give candidates: two sets of similarity j share one of 25 ba
    large band as pairs of blocks; a component with blocks of its own is not held against itself. A cell compares every two
    nodes of different components: sizes, then the min-hashes they agree in, then the sets. Only links leave it.
 
+With `prints`, the SimHash components of `simhash` come first (all fingerprints, every pair within its radius): they are links
+like any other, and the bands then compare only what is still apart. What both methods link is one component.
+
 So no link depends on how many documents share a band. A pair of 80 % is left out where its min-hashes agree in under 62 %,
 five standard deviations below.
 """
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import simhash
 from .common import components, small, written
 
 WORDS, HASH_SEED = 5, 42
@@ -203,8 +207,21 @@ def low_bytes(h: str) -> Column:
     return run(h)
 
 
-def links(docs: DataFrame, text: str, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of like nodes that join all nodes linked through bands. sets: node, size, keys, sig, read (hash of a text that has the set)."""
+def print_links(marked: DataFrame) -> DataFrame:
+    """(a, b): the nodes of each SimHash component, linked with its smallest one; marked: node, fp. Rows grow as the nodes."""
+    own = cut_lineage(marked.select("fp", "node").distinct())
+    prints = cut_lineage(own.select("fp").distinct())
+    roots = components(simhash.links(prints, prints.count()).select("a", "b")).withColumnRenamed("node", "fp")
+    grouped = own.join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    hubs = grouped.groupBy("root").agg(F.min("node").alias("a"))
+    return grouped.join(hubs, "root").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
+def links(docs: DataFrame, text: str, sets: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of like nodes that join all nodes linked through bands, or by the links found before.
+
+    sets: node, size, keys, sig, read (hash of a text that has the set).
+    """
     own = sets.select("node", "size", F.posexplode("keys").alias("band", "key"))
     shared = own.groupBy("band", "key").count().where("count > 1").select("band", "key")
     own = written(own.join(shared, ["band", "key"], "left_semi"))
@@ -217,7 +234,7 @@ def links(docs: DataFrame, text: str, sets: DataFrame) -> DataFrame:
             return own.withColumn("root", F.col("node"))
         return own.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    found, turn = None, 0
+    turn = 0
     while True:
         rows = cut_lineage(rooted(found).select("band", "key", "node", "size", "root"))
         many = cut_lineage(_open(rows).where(F.col("rows") > BLOCK_ROWS))
@@ -233,24 +250,26 @@ def links(docs: DataFrame, text: str, sets: DataFrame) -> DataFrame:
     return last if found is None else found.union(last)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", prints: bool = False) -> DataFrame:
     """(key, component_id, root, read) for every row; component_id is the component's smallest non-null key, read a hash of the text.
 
-    Null, empty and blank texts are duplicates of each other. Repeated rows each get a row. Other columns are not read.
+    prints: texts within the SimHash radius are linked too. Null, empty and blank texts are duplicates of each other. Repeated rows each get a row. Other columns are not read.
     """
-    marked = docs.select(docs[key].alias("id"), docs[text].alias("t")).select("id", F.xxhash64("t").alias("read"), sketch_column(F.col("t")).alias("k"))
-    marked = cut_lineage(marked.select("id", "read", "k.*"))
+    fp = [simhash.fingerprint_column(F.col("t"))[0].alias("fp")] if prints else []
+    marked = docs.select(docs[key].alias("id"), docs[text].alias("t")).select("id", F.xxhash64("t").alias("read"), sketch_column(F.col("t")).alias("k"), *fp)
+    marked = cut_lineage(marked.select("id", "read", "k.*", *(["fp"] if prints else [])))
     first = cut_lineage(marked.groupBy("node").agg(F.min("id").alias("least"), F.first("read").alias("read"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sig").alias("sig")))
-    roots = components(links(docs, text, first.select("node", "size", "keys", "sig", "read")))
+    found = cut_lineage(print_links(marked)) if prints else None
+    roots = components(links(docs, text, first.select("node", "size", "keys", "sig", "read"), found))
     joined = first.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(ids, "root").select("node", "component_id", "root")
     return marked.join(named, "node").select(F.col("id").alias(key), "component_id", "root", "read")
 
 
-def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", prints: bool = False) -> DataFrame:
     """docs with one row of each component: that of its smallest key (of several such rows, one); rows keep their columns as they were."""
-    found = cut_lineage(near_duplicates(docs, key, text).withColumnRenamed(key, "id"))
+    found = cut_lineage(near_duplicates(docs, key, text, prints).withColumnRenamed(key, "id"))
     if found.groupBy("id").count().where("id is null or count > 1").isEmpty():
         dropped = cut_lineage(found.where("id <> component_id").select(F.col("id").alias(key)))
         return docs.join(small(dropped, dropped.count()), key, "left_anti").select(*docs.columns)
