@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -151,7 +151,7 @@ def _reads(name: str) -> list[str]:
         "hardening": lambda: [r[1] for r in fv.HARDENING_PATTERNS],
         "cdp": lambda: [fv.CDP_DEVICE, fv.CDP_PORTS, fv.CDP_PLATFORM, fv.CDP_TABLE_ROW],
         "lldp": lambda: [fv.LLDP_DEVICE, fv.LLDP_LOCAL, fv.LLDP_REMOTE, fv.LLDP_PLATFORM, fv.LLDP_TABLE_ROW],
-        "trunk_section": lambda: ["vlans allowed on trunk", "vlans allowed and active", "vlans in spanning tree forwarding", fv.TRUNK_ROW, fv.TRUNK_VLAN_ROW],
+        "trunk_section": lambda: ["vlans (?:allowed on trunk|allowed and active|in spanning tree forwarding)", fv.TRUNK_ROW, fv.TRUNK_VLAN_ROW],
         "trunk_seen": lambda: [fv.TRUNK_ROW, fv.TRUNK_VLAN_ROW],
         "inventory_name": lambda: [fv.INVENTORY_NAME, fv.INVENTORY_PID, fv.CHASSIS_ROW],
         "vlan_header": lambda: [fv.VLAN_BRIEF_HEADER, fv.VLAN_BRIEF_ROW],
@@ -617,35 +617,40 @@ def interface_status(lines: DataFrame) -> DataFrame:
 
 
 def trunk_operational(a: DataFrame) -> DataFrame:
+    """One row per port and file, and one for each further status row of it.
+
+    A line is reduced to its port and values once; one window over the lines of a port then gives both kinds of rows, so the
+    states are carried once and no row is joined with another.
+    """
     g = lambda i: rx(T(), fv.TRUNK_ROW, i)
     empty = F.array().cast("array<string>")
-    is_row = _trunk_row()
+    sections = ("allowed", "active", "forwarding")
     v = lambda i: rx(T(), fv.TRUNK_VLAN_ROW, i)
-    is_list = ~_trunk_heading() & ~is_row & F.col("trunk_seen") & matches(T(), fv.TRUNK_VLAN_ROW) & matches(v(1), fv.PORT_PREFIX)
     section = F.when(F.col("trunk_section").isin("allowed", "active"), F.col("trunk_section")).otherwise("forwarding")
-    vlan_text = lambda s: last_wins(F.when(is_list & (section == s), v(2)))
-    ports = a.filter(is_row | is_list).groupBy("file_id", F.when(is_row, g(1)).otherwise(v(1)).alias("interface")).agg(
-        first_wins(F.when(is_row, F.struct(
-            F.lower(g(2)).alias("mode"), g(3).alias("encapsulation"), F.lower(g(4)).alias("status"),
-            F.trim(g(5)).alias("native_vlan"), F.col("line_no").alias("line"), T().alias("text")))).alias("r"),
-        first_wins(F.when(is_list, F.struct(F.col("line_no").alias("line"), T().alias("text")))).alias("s"),
-        *[vlan_text(s).alias(f"_{s}") for s in ("allowed", "active", "forwarding")],
-    )
-    lists = {f"{s}_vlans": F.coalesce(expand_vlans(F.col(f"_{s}")), empty) for s in ("allowed", "active", "forwarding")}
-    main = ports.select(
+    of = lambda **cols: F.struct(*[cols.get(n, F.lit(None).cast("string")).alias(n) for n in ("interface", "mode", "encapsulation", "status", "native_vlan", "section", "vlans")])
+    row = F.when(_trunk_row(), of(interface=g(1), mode=F.lower(g(2)), encapsulation=g(3), status=F.lower(g(4)), native_vlan=F.trim(g(5))))
+    listed = ~_trunk_heading() & F.col("trunk_seen") & matches(T(), fv.TRUNK_VLAN_ROW) & matches(v(1), fv.PORT_PREFIX)
+    hit = F.coalesce(row, F.when(listed, of(interface=v(1), section=section, vlans=v(2))))
+    hits = _held(a, ["file_id", "line_no", "text"], [hit], "h").select("file_id", "line_no", "text", "h.*")
+    port = Window.partitionBy("file_id", "interface").orderBy("line_no")
+    whole = port.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_row = F.col("section").isNull()
+    shown = F.when(is_row, F.struct("mode", "encapsulation", "status", "native_vlan", F.col("line_no").alias("line"), "text"))
+    placed = hits.select(
+        "file_id", "interface", "line_no", is_row.alias("_is_row"), shown.alias("_own"), F.row_number().over(port).alias("_nth"),
+        F.first(shown, ignorenulls=True).over(whole).alias("_r"),
+        F.first(F.when(~is_row, F.struct(F.col("line_no").alias("line"), "text")), ignorenulls=True).over(whole).alias("_s"),
+        *[F.last(F.when(F.col("section") == s, F.col("vlans")), ignorenulls=True).over(whole).alias(f"_{s}") for s in sections])
+    # the first line of a port stands for it; status rows after its first one are rows of their own
+    repeat = F.when(F.col("_is_row") & (F.col("line_no") > F.col("_r.line")), F.struct(F.lit(False).alias("main"), F.col("_own").alias("r")))
+    main = F.when(F.col("_nth") == 1, F.struct(F.lit(True).alias("main"), F.col("_r").alias("r")))
+    out = _held(placed, ["file_id", "interface", "_s", *[f"_{s}" for s in sections]], [F.coalesce(main, repeat)], "o")
+    r, first = F.col("o.r"), F.col("o.main")
+    return out.select(
         "file_id", "interface", normalize_interface(F.col("interface")).alias("normalized_interface"),
-        "r.mode", "r.encapsulation", "r.status", "r.native_vlan", *[c.alias(n) for n, c in lists.items()],
-        evidence(F.coalesce("r.line", "s.line"), F.coalesce("r.text", "s.text"),
-                 F.when(F.col("r").isNotNull(), 0.86).otherwise(0.72)).alias("evidence"))
-    repeats = (
-        a.filter(is_row).select("file_id", "line_no", "text", g(1).alias("interface"))
-        .join(ports.filter("r is not null").select("file_id", "interface", F.col("r.line").alias("_first")), ["file_id", "interface"])
-        .filter(F.col("line_no") > F.col("_first"))
-        .select("file_id", "interface", normalize_interface(F.col("interface")).alias("normalized_interface"),
-                F.lower(g(2)).alias("mode"), g(3).alias("encapsulation"), F.lower(g(4)).alias("status"),
-                F.trim(g(5)).alias("native_vlan"), *[empty.alias(n) for n in lists], EV(0.86))
-    )
-    return main.unionByName(repeats)
+        r["mode"].alias("mode"), r["encapsulation"].alias("encapsulation"), r["status"].alias("status"), r["native_vlan"].alias("native_vlan"),
+        *[F.coalesce(F.when(first, expand_vlans(F.col(f"_{s}"))), empty).alias(f"{s}_vlans") for s in sections],
+        evidence(F.coalesce(r["line"], F.col("_s.line")), F.coalesce(r["text"], F.col("_s.text")), F.when(r.isNotNull(), 0.86).otherwise(0.72)).alias("evidence"))
 
 
 def route_table(lines: DataFrame) -> DataFrame:

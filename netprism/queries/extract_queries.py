@@ -349,7 +349,7 @@ trunk_operational as (
 
 @query("extract_trunk_operational", with_lines("select * from trunk_operational", ctes=TRUNK_CTES))
 def extract_trunk_operational(spark, sf):
-    few = X.needed_lines(lines(spark, sf), "trunk_section", "trunk_seen")
+    few = X.needed_lines(lines(spark, sf), "trunk_section", "trunk_seen", once=False)
     return flat(X.trunk_operational(X.state_lines(few, "trunk_section", "trunk_seen")))
 
 
