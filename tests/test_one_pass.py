@@ -34,3 +34,31 @@ def test_trunk_rows_repeats_and_lists(spark):
     assert sorted(tuple(r) for r in out if r[0] == "Gi0/1") == [
         ("Gi0/1", "auto", "9", "", "", "", 9, 0.86), ("Gi0/1", "on", "1", "5", "20", "", 2, 0.86)]
     assert [tuple(r) for r in out if r[0] == "Gi0/2"] == [("Gi0/2", None, None, "7", "", "", 6, 0.72)]
+
+
+def test_findings_take_their_lines_from_one_reading(spark, sf, monkeypatch):
+    from netprism.queries import findings_queries as Q
+
+    df = Q.found(spark, sf)
+    # what is still to run reads the lines that were written once, not the source again
+    assert "l_orderkey" not in plan(df)
+
+
+def test_a_line_names_a_secret_once(spark):
+    df = lines(spark, ["password abcd secret efgh password ijkl", "no word", " community: pubs "])
+    rows = sorted((r["line_no"], r["name"], r["source_text"]) for r in X.text_credentials(df).collect())
+    whole = X.text_entities(df).filter("type = 'credential'").collect()
+    assert rows == sorted((r["line_no"], r["name"], r["source_text"]) for r in whole)
+    assert [r[:2] for r in rows] == [(1, "password"), (1, "secret"), (3, "community")]
+
+
+def test_access_ports_need_their_own_lines_only(spark):
+    texts = ["interface Fa0/1", " switchport mode access", " ip address 10.0.0.1 255.0.0.0", "interface Fa0/2", " switchport mode ACCESS", " switchport access vlan 7",
+             "interface Fa0/3", " switchport access vlan 8", " switchport mode access", " shutdown", "interface Fa0/4", " switchport mode access", " shutdown",
+             "interface Fa0/5", " encapsulation dot1q 9", " switchport mode trunk", " switchport mode access", "vlan 4", " switchport access vlan 5", "interface Gi0/6", "Gi0/7  on  802.1q  trunking  1"]
+    every = lines(spark, texts)
+    missing = lambda df: sorted(r["name"] for r in df.filter("lower(mode) = 'access' and not shutdown and access_vlan is null").collect())
+    few = X.needed_lines(every, "blk_interface", "access_ports", "credential", "counted")
+    assert few.filter("text like '%ip address%'").count() == 0
+    got = missing(X.interfaces(X.state_lines(few, "blk_interface", uses="access_ports"), few))
+    assert got == missing(X.interfaces(X.block_lines(every, "interface"), every)) == ["Fa0/1", "Fa0/5"]
