@@ -110,24 +110,22 @@ def key_values(leaf: DataFrame) -> DataFrame:
     """Leaf index with the fact class of each value."""
     t = F.trim("value")
     fact = F.when(t != "", _fact(F.col("path"), F.col("key"), t))
-    return leaf.withColumn("_f", fact).select(
+    # exploded, so that a filter on the class does not work it out a second time
+    return leaf.select("*", F.explode(F.array(fact)).alias("_f")).select(
         "file_id", "path", "key", F.col("type").alias("value_type"), "value", F.coalesce("_f.fact_type", F.lit("generic_value")).alias("fact_type"),
         F.coalesce("_f.confidence", F.lit(0.45)).alias("confidence"))
 
 
 def network_facts(kv: DataFrame) -> DataFrame:
-    """Classified facts, and the addresses and interfaces inside configuration texts."""
-    first = kv.filter("fact_type <> 'generic_value'").select("file_id", "path", "key", "fact_type", "value", "confidence")
-    config = first.filter("fact_type = 'config_or_cli'")
-
-    def inner(kind: str, pattern: str, conf: float, lower: bool = False) -> DataFrame:
+    """Classified facts, and the addresses and interfaces inside configuration texts: each value is classed and read once."""
+    def inner(kind: str, pattern: str, conf: float, lower: bool = False) -> Column:
         found = F.array_distinct(F.regexp_extract_all("value", F.lit(pattern), F.lit(0)))
-        one = F.lower("_x") if lower else F.col("_x")
-        return config.select("file_id", "path", "key", F.explode(found).alias("_x")).select(
-            "file_id", "path", "key", F.lit(kind).alias("fact_type"), one.alias("value"), F.lit(conf).alias("confidence"))
+        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("fact_type"), (F.lower(x) if lower else x).alias("value"), F.lit(conf).alias("confidence")))
 
-    return first.unionByName(inner("ip_address", fv.ENTITY_IP, 0.80)).unionByName(inner("mac_address", fv.FACT_MAC, 0.78, True)).unionByName(
-        inner("interface", fv.FACT_INTERFACE, 0.72))
+    own = F.array(F.struct("fact_type", "value", "confidence"))
+    held = F.concat(own, inner("ip_address", fv.ENTITY_IP, 0.80), inner("mac_address", fv.FACT_MAC, 0.78, True), inner("interface", fv.FACT_INTERFACE, 0.72))
+    facts = F.when(F.col("fact_type") == "config_or_cli", held).otherwise(own)
+    return kv.filter("fact_type <> 'generic_value'").select("file_id", "path", "key", F.explode(facts).alias("_x")).select("file_id", "path", "key", "_x.*")
 
 
 def payload_tables(nodes: DataFrame) -> DataFrame:

@@ -62,3 +62,15 @@ def test_access_ports_need_their_own_lines_only(spark):
     assert few.filter("text like '%ip address%'").count() == 0
     got = missing(X.interfaces(X.state_lines(few, "blk_interface", uses="access_ports"), few))
     assert got == missing(X.interfaces(X.block_lines(every, "interface"), every)) == ["Fa0/1", "Fa0/5"]
+
+
+def test_network_facts_class_a_value_once(spark):
+    from netprism.operators import tree as T
+
+    kv = spark.createDataFrame([(1, "$.a", "a", "string", "hostname R1 ip address 10.0.0.1 mac 00:AA:BB:CC:DD:01 Gi0/1 10.0.0.1", "config_or_cli", 0.76), (1, "$.b", "b", "string", "10.0.0.9", "ip_address", 0.9),
+                                (1, "$.c", "c", "string", "x", "generic_value", 0.45)], "file_id bigint, path string, key string, value_type string, value string, fact_type string, confidence double")
+    df = T.network_facts(kv)
+    assert "Union" not in plan(df)
+    rows = sorted((r["path"], r["fact_type"], r["value"]) for r in df.collect())
+    assert ("$.a", "ip_address", "10.0.0.1") in rows and ("$.a", "mac_address", "00:aa:bb:cc:dd:01") in rows and ("$.b", "ip_address", "10.0.0.9") in rows
+    assert not any(p == "$.c" for p, _, _ in rows) and len(rows) == len(set(rows))
